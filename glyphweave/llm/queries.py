@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_audio, water_filling
+from . import mpeg_audio, suffix_tree_lm, water_filling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_lm": suffix_tree_lm.op1,
     "op2_mpeg_audio": mpeg_audio.op2,
     "op10_water_filling": water_filling.op10,
 }
