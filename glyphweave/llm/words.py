@@ -41,12 +41,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def blocks(texts: Iterable[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """(first text, number of texts, buffer, where each text's words begin)."""
+def blocks(texts: Iterable[str | None], lower: bool = True, table: bytes | None = None) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(first text, number of texts, buffer, where each text's words begin).
+
+    ``table`` translates bytes before the split."""
     first, parts, size, starts = 0, [b"\n"], 1, []
     n = 0
     for text in texts:
-        words = b" ".join((text or "").encode().lower().split())
+        raw = (text or "").encode()
+        raw = raw.lower() if lower else raw
+        words = b" ".join((raw.translate(table) if table else raw).split())
         starts.append(size + PAD)
         parts.append(b"\n" * PAD + words + b"\n")
         size += PAD + len(words) + 1
@@ -60,6 +64,14 @@ def blocks(texts: Iterable[str | None]) -> Iterator[tuple[int, int, bytes, np.nd
 
 def hashed_words(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and how many words each text has."""
+    value, _, _, per_text = hashed_spans(buffer, starts)
+    return value, per_text
+
+
+def hashed_spans(buffer: bytes, starts: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash, begin and end of every word, how many words each text has, then
+    for each of ``prefixes`` the hash of that many first bytes (of the whole
+    word where it is shorter)."""
     data = np.frombuffer(buffer, np.uint8)
     blank = data <= 32
     blank &= (data == 32) | (data == 10)
@@ -69,9 +81,11 @@ def hashed_words(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     sums = BYTE_VALUES[data]
     sums *= up[: len(data)]
     np.cumsum(sums, out=sums)
-    value = (sums[end - 1] - sums[begin - 1]) * down[begin]
+    before, scale = sums[begin - 1], down[begin]
+    value = mix((sums[end - 1] - before) * scale)
     places = np.searchsorted(begin, starts)
-    return mix(value), np.diff(np.append(places, len(begin)))
+    heads = [mix((sums[np.minimum(end, begin + size) - 1] - before) * scale) for size in prefixes]
+    return value, begin, end, np.diff(np.append(places, len(begin))), *heads
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
