@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_audio, prob_minhash, suffix_tree_lm, trie_tokens, water_filling
+from . import mpeg_audio, prob_minhash, quality_crf, suffix_tree_lm, trie_tokens, water_filling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1,
     "op2_mpeg_audio": mpeg_audio.op2,
+    "op7_quality_crf": quality_crf.op7,
     "op8_trie_tokens": trie_tokens.op8,
     "op9_prob_minhash": prob_minhash.op9,
     "op10_water_filling": water_filling.op10,
