@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_audio, prob_minhash, quality_crf, secret_forest, suffix_tree_lm, toxicity_ordinal, trie_tokens, water_filling
+from . import (
+    mpeg_audio,
+    pii_boosting,
+    prob_minhash,
+    quality_crf,
+    secret_forest,
+    spaced_seeds,
+    suffix_tree_lm,
+    toxicity_ordinal,
+    trie_tokens,
+    water_filling,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1,
     "op2_mpeg_audio": mpeg_audio.op2,
     "op3_secret_forest": secret_forest.op3,
     "op4_toxicity_ordinal": toxicity_ordinal.op4,
+    "op5_spaced_seeds": spaced_seeds.op5,
+    "op6_pii_boosting": pii_boosting.op6,
     "op7_quality_crf": quality_crf.op7,
     "op8_trie_tokens": trie_tokens.op8,
     "op9_prob_minhash": prob_minhash.op9,
