@@ -11,11 +11,15 @@ at or above the threshold.
 
 Scale: equal texts are one node from the start (by a 128-bit digest). In a
 bucket every member is first held against the bucket's least member only, so a
-family of copies gives a star, not all pairs. Buckets that hold more than one
-class after that are settled exactly: their members meet in blocks of bounded
-size inside a task, where only pairs whose signatures agree go on to the exact
-comparison. Hot buckets span many block pairs; labels, edges and members stay
-distributed.
+family of copies gives a star, not all pairs. Where a bucket holds more than
+one class after that, its members are held against the one nearest to the
+bucket's commonest registers (an original among its copies), then against the
+next such one for those far from it. What still differs is settled inside
+tasks, in blocks of bounded size: members with a partner of another class
+whose signature agrees get their texts, pairs are compared exactly in the
+order of agreement, and a pair that a link has meanwhile put into one class is
+skipped. Only links go out. Hot buckets span many blocks; labels, edges and
+members stay distributed.
 
 Defined results: null text is empty; equal texts share a class, empty ones
 included; texts without words have no shingles and join no other class; one to
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .sieve import thinned
 from .storage import documents, small_batches, written
 from .words import blocks, hashed_words, mix
 
@@ -40,8 +45,9 @@ WORDS_IN_SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, IN_BAND = 25, 5
 REGISTERS = BANDS * IN_BAND
-AGREE = 0.6  # of byte-wide signatures, before an exact comparison in settled buckets; 5 sd below 0.8
-BLOCK_ROWS = 2048
+AGREE = 0.66  # of byte-wide signatures, before an exact comparison: 3.9 sd below 0.8, the miss rate of the bands
+BLOCK_ROWS = 512
+STAR_ROWS = 65536
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,13 +66,11 @@ def shingles(words: np.ndarray, per_text: np.ndarray, k: int = WORDS_IN_SHINGLE)
     hashes = mix(full[at]) if len(at) else np.zeros(0, np.uint64)
     short = np.flatnonzero((per_text > 0) & (per_text < k))
     if len(short):
-        own = []
-        for i in short:
-            value = np.uint64(per_text[i])
-            for w in words[starts[i] : ends[i]]:
-                value = value * STEP + w
-            own.append(value)
-        hashes, text = np.append(hashes, mix(np.array(own, np.uint64))), np.append(text, short)
+        value = per_text[short].astype(np.uint64)
+        for j in range(k - 1):
+            more = per_text[short] > j
+            value[more] = value[more] * STEP + words[starts[short[more]] + j]
+        hashes, text = np.append(hashes, mix(value)), np.append(text, short)
     return hashes, text
 
 
@@ -147,64 +151,161 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [batch.column(x).to_pylist() for x in ("a", "b", "text_a", "text_b")]
         texts = dict(zip(sides[0], sides[2], strict=True)) | dict(zip(sides[1], sides[3], strict=True))
         place = {x: i for i, x in enumerate(texts)}
-        sets: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, n, buffer, starts in blocks(texts.values()):
-            hashes, text = shingles(*hashed_words(buffer, starts))
-            order = np.argsort(text, kind="stable")
-            cut = np.searchsorted(text[order], np.arange(n + 1))
-            sets += [np.unique(hashes[order[cut[i] : cut[i + 1]]], return_counts=True) for i in range(n)]
+        sets = multisets(list(texts.values()))
         similarity = [probability_jaccard(*sets[place[a]], *sets[place[b]]) for a, b in zip(sides[0], sides[1], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similarity, pa.float64())], ["a", "b", "similarity"])
 
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in a block pair whose signatures agree.
-
-    Rows come sorted by block pair; both sides of one are held, each of about
-    BLOCK_ROWS rows."""
-    now, rows = None, []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        digests, sides = [r[0] for r in rows], np.array([r[1] for r in rows])
-        signature = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
-        label = np.unique([r[3] for r in rows], return_inverse=True)[1]
-        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-        for i in left:
-            others = right[(label[right] != label[i]) & (right != i)]
-            if sides[i] == 2:
-                others = others[others > i]
-            agree = (signature[others] == signature[i]).mean(1) if len(others) else np.zeros(0)
-            if len(hits := others[agree >= AGREE]):
-                low = [min(digests[i], digests[j]) for j in hits]
-                high = [max(digests[i], digests[j]) for j in hits]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["a", "b"])
+def in_blocks(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """``make`` of the rows of each (band, i, j), which come sorted so."""
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def table() -> pa.Table:
+        return pa.Table.from_batches(held).combine_chunks()
 
     for batch in batches:
-        for band, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("band", "i", "j", "digest", "side", "signature", "component")), strict=True):
-            if (band, i, j) != now:
-                if rows:
-                    yield from pairs()
-                now, rows = (band, i, j), []
-            rows.append(row)
-    if rows:
-        yield from pairs()
+        keys = list(zip(*(batch.column(x).to_pylist() for x in ("band", "i", "j")), strict=True))
+        cut = [0] + [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if b > a and keys[a] != now:
+                if held:
+                    yield from make(table())
+                held, now = [], keys[a]
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from make(table())
+
+
+def columns_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, signatures, labels of classes, and sides (0, 1, or 2: both)."""
+    digests = table["digest"].to_pylist()
+    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(digests), REGISTERS)
+    label = np.unique(table["component"].to_pylist(), return_inverse=True)[1]
+    return digests, signature, label, np.array(table["side"].to_pylist())
+
+
+def pair_rows(digests: list[bytes], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    found = [sorted((digests[i], digests[j])) for i, j in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def near_originals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row against the row nearest to the commonest registers of those left."""
+
+    def make(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        digests, signature, label, _ = columns_of(table)
+        left = np.arange(len(signature))
+        while len(left) > 1:
+            rows = signature[left]
+            common = np.array([np.bincount(rows[:, r], minlength=256).argmax() for r in range(REGISTERS)], np.uint8)
+            center = left[int((rows == common).sum(1).argmax())]
+            near = (rows == signature[center]).mean(1) >= AGREE
+            yield pair_rows(digests, [(center, j) for j in left[near & (label[left] != label[center])]])
+            left = left[~near & (left != center)]
+
+    return in_blocks(batches, make)
+
+
+def open_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of different classes whose signatures agree, and the
+    agreement; each pair in the first band only that both rows share."""
+    _, signature, label, side = columns_of(table)
+    keys = np.array(table["bands"].to_pylist(), np.int64)
+    own = int(np.flatnonzero(keys[0] == table["band"][0].as_py())[0])
+    right = np.flatnonzero(side != 0)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in np.flatnonzero(side != 1):
+        others = right[(label[right] != label[i]) & (right > i if side[i] == 2 else True)]
+        agree = (signature[others] == signature[i]).mean(1) if len(others) else np.zeros(0)
+        others, agree = others[agree >= AGREE], agree[agree >= AGREE]
+        first = (keys[others] == keys[i]).argmax(1) == own if len(others) else np.zeros(0, bool)
+        out.append((np.full(int(first.sum()), i), others[first], agree[first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that have an open pair in their block pair."""
+
+    def make(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, _ = open_pairs(table)
+        yield from table.take(np.unique(np.append(i, j))).to_batches()
+
+    return in_blocks(batches, make)
+
+
+def settle(threshold: float):
+    """Links between classes, by exact comparison of all open pairs that no
+    other link has put into one class."""
+
+    def make(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        digests, _, label, _ = columns_of(table)
+        i, j, agree = open_pairs(table)
+        sets = multisets(table["text"].to_pylist())
+        root = list(range(int(label.max()) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for k in np.argsort(-agree, kind="stable"):
+            a, b = find(label[i[k]]), find(label[j[k]])
+            if a != b and probability_jaccard(*sets[i[k]], *sets[j[k]]) >= threshold:
+                root[a] = b
+                links.append((i[k], j[k]))
+        yield pair_rows(digests, links)
+
+    return lambda batches: in_blocks(batches, make)
+
+
+def multisets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles and counts of each text."""
+    sets: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, n, buffer, starts in blocks(texts):
+        hashes, text = shingles(*hashed_words(buffer, starts))
+        order = np.argsort(text, kind="stable")
+        cut = np.searchsorted(text[order], np.arange(n + 1))
+        sets += [np.unique(hashes[order[cut[i] : cut[i + 1]]], return_counts=True) for i in range(n)]
+    return sets
+
+
+def texts_of(wanted: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """One text for each wanted digest."""
+    wanted = written(wanted.distinct(), f"{label}-wanted")
+    # an inner join stays above the bitmap; a semi-join would be pushed below it
+    return written(thinned(texts, "digest", wanted).join(wanted, "digest").dropDuplicates(["digest"]), f"{label}-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
     """``pairs`` (a, b) at or above the threshold; texts travel for the digests in pairs alone."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    own = texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    own = written(own, f"{label}-texts")
+    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")), texts, label)
     sided = pairs.join(own.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(own.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     found = sided.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
-    return written(found.where(F.col("similarity") >= threshold), f"{label}-edges")
+    return written(found.where(F.col("similarity") >= threshold).select("a", "b"), f"{label}-edges")
+
+
+def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, crossed: bool) -> DataFrame:
+    """Members of the buckets that hold several classes, dealt to blocks of
+    about ``rows``; ``crossed``: to pairs of blocks."""
+    named = shared.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
+    members = named.join(mixed, "band").withColumn("n_blocks", F.ceil(F.col("n") / rows).cast("int")).join(nodes, "digest")
+    members = members.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)") if crossed else F.array("own")))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "digest", "component", *[c for c in nodes.columns if c != "digest"])
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text): one row for each distinct text (``digest``,
     ``class_id``: the least doc_id of its class, ``class_size`` in rows), and
-    the links found (``a``, ``b``: digests, ``similarity``)."""
+    the links found (``a``, ``b``: digests)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = with_digest(docs).select("digest", F.coalesce("text", F.lit("")).alias("text"))
@@ -212,28 +313,26 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     nodes = written(signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")), "minhash-nodes")
 
     members = nodes.select("digest", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("digest").alias("center"), F.max("digest").alias("last")).where("center != last")
-    shared = written(members.join(buckets.select("band", "center"), "band"), "minhash-buckets")
-    star = shared.where("digest != center").select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct()
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.join(buckets, "band"), "minhash-buckets")
+    centers = shared.groupBy("band").agg(F.min("digest").alias("a"))
+    star = written(shared.join(centers, "band").where("digest != a").select("a", F.col("digest").alias("b")).distinct(), "minhash-star")
     edges = verified(star, texts, threshold, "star")
     labels = components(edges)
 
-    named = shared.select("band", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    open_ = named.join(mixed.select("band", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("n_blocks")), "band")
-    open_ = open_.join(nodes.select("digest", "signature"), "digest")
-    own = F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
-    dealt = dealt.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "digest", "signature", "component",
-    )
-    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = dealt.mapInArrow(settle, "a binary, b binary").distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "minhash-rest")
-    if rest.limit(1).count():
-        edges = written(edges.unionByName(verified(rest, texts, threshold, "rest")), "minhash-edges")
-        labels = components(edges)
+    near = open_blocks(shared, nodes.select("digest", "signature"), labels, STAR_ROWS, crossed=False)
+    near = near.mapInArrow(near_originals, "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
+    near = verified(written(near, "minhash-near"), texts, threshold, "near")
+    edges = written(edges.unionByName(near), "minhash-edges")
+    labels = components(edges)
+
+    dealt = open_blocks(shared, nodes, labels, BLOCK_ROWS, crossed=True)
+    left = written(dealt.mapInArrow(still_open, dealt.schema), "minhash-open")
+    own = texts_of(left.select("digest"), texts, "open")
+    met = left.join(own, "digest").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    links = written(met.mapInArrow(settle(threshold), "a binary, b binary"), "minhash-links")
+    edges = edges.unionByName(links)
+    labels = components(edges)
 
     rows = with_digest(docs).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     rows = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
