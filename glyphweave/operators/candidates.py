@@ -14,7 +14,8 @@ def by_page(rows: DataFrame):
     Python does with a page outweighs its bytes, by which Spark would join partitions."""
     spark = rows.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(n, "doc_id").groupBy("doc_id")
+    # new names, as both sides of a co-group may come from one table
+    return rows.toDF(*rows.columns).repartition(n, "doc_id").groupBy("doc_id")
 
 
 CANDIDATES = "doc_id long, norm string, clean_form string, score double, first_seq long"

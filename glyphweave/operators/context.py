@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .words import with_neighbours
+from .words import reading, with_neighbours
 
-READING = W.partitionBy("doc_id").orderBy("seq")
 EDGE = "\u0000"  # stands for a page edge in join keys; no word holds it
 
 
@@ -40,7 +39,7 @@ def linked(words: DataFrame, tokens: DataFrame) -> DataFrame:
     last = tokens.groupBy("doc_id").agg(F.max("seq").alias("last_tok"))
     vocab = tokens.select("doc_id", "norm").distinct().withColumn("has_candidate", F.lit(True))
     rows = words.join(perfect_choices(words, tokens), ["doc_id", "seq"], "left").join(last, "doc_id", "left").join(vocab, ["doc_id", "norm"], "left")
-    rows = rows.withColumn("left_tok", F.lag("tok_seq").over(READING)).withColumn("right_tok", F.lead("tok_seq").over(READING))
+    rows = rows.withColumn("left_tok", F.lag("tok_seq").over(reading())).withColumn("right_tok", F.lead("tok_seq").over(reading()))
     left = F.coalesce(F.col("left_tok") == F.col("tok_seq") - 1, F.lit(False))
     right = F.coalesce(F.col("right_tok") == F.col("tok_seq") + 1, F.lit(False))
     pending = ((F.col("tok_seq") > 0) & ~left) | ((F.col("tok_seq") < F.col("last_tok")) & ~right)

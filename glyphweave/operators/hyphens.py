@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
-
-READING = W.partitionBy("doc_id").orderBy("seq")
+from .words import reading
 
 
 def broken_words(tokens: DataFrame, every: int = 19, shortest: int = 6) -> DataFrame:
@@ -34,7 +33,7 @@ def merged_pairs(words: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def triplets(tokens: DataFrame) -> DataFrame:
     """Three tokens in a row whose middle one is a lone hyphen: (doc_id, seq, left_word, right_word)."""
-    rows = tokens.select("doc_id", "seq", "word", F.lead("word", 1).over(READING).alias("middle"), F.lead("word", 2).over(READING).alias("right_word"))
+    rows = tokens.select("doc_id", "seq", "word", F.lead("word", 1).over(reading()).alias("middle"), F.lead("word", 2).over(reading()).alias("right_word"))
     return rows.where(F.col("middle").isin("-", "–", "—") & F.col("right_word").isNotNull()).select("doc_id", "seq", F.col("word").alias("left_word"), "right_word")
 
 

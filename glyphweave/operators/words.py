@@ -8,13 +8,16 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 
-READING = W.partitionBy("doc_id").orderBy("seq")
+
+def reading():
+    """Rows of a page in reading order."""
+    return W.partitionBy("doc_id").orderBy("seq")
 
 
 def with_neighbours(words: DataFrame, *columns: str) -> DataFrame:
     """Adds ``before_x`` and ``after_x`` for the given columns."""
     for c in columns:
-        words = words.withColumn(f"before_{c}", F.lag(c).over(READING)).withColumn(f"after_{c}", F.lead(c).over(READING))
+        words = words.withColumn(f"before_{c}", F.lag(c).over(reading())).withColumn(f"after_{c}", F.lead(c).over(reading()))
     return words
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from ..operators.words import reading
 
 WORDS_A_LINE, LINES_A_COLUMN = 10, 25
 CHAR, LINE, COLUMN, HEIGHT = 12, 40, 1000, 30
-READING = W.partitionBy("doc_id").orderBy("seq")
 
 
 def clean_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,7 +27,7 @@ def clean_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def ocr_words(docs: DataFrame) -> DataFrame:
     """(doc_id, seq, line_seq, block_seq, content, norm, hpos, vpos, width, height, wc)."""
-    rows = clean_tokens(docs).withColumn("following", F.lead("word").over(READING))
+    rows = clean_tokens(docs).withColumn("following", F.lead("word").over(reading()))
     at = F.instr("word", "e")
     misread = F.when(at > 0, F.concat(F.expr("substring(word, 1, instr(word, 'e') - 1)"), F.lit("c"), F.expr("substring(word, instr(word, 'e') + 1)"))).otherwise(F.col("word"))
     content = (
