@@ -292,7 +292,7 @@ def score_texts(shared, n_parts: int):
                 of = np.repeat(np.arange(n), per_text)
                 count = head.get(words)
                 known = count >= 0
-                base = np.bincount(of[known], np.log10(count[known] + 1.0), n)
+                base = np.bincount(of[known], np.log10(count[known] + 1.0), n).astype(np.float64)  # integers where nothing is known
                 tail.append((words[~known], (of[~known] + row).astype(np.int32)))
                 some = [i is None for i in ids[first : first + n]]
                 columns.append((np.array([i or 0 for i in ids[first : first + n]], np.int64), np.array(some), np.array(held[first : first + n]), per_text + 1, np.bincount(of[known], minlength=n), base, score))
@@ -330,7 +330,7 @@ def count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 rows, c = rows[:0], counts[:0]
             own, n = counted(rows)
-            sums = np.bincount(np.searchsorted(own, rows), np.log10(c + 1.0), len(own))
+            sums = np.bincount(np.searchsorted(own, rows), np.log10(c + 1.0), len(own)).astype(np.float64)
             yield packed_batch([(TAIL, int(pid), pid, pack(own, n, sums))])
 
 

@@ -1,0 +1,218 @@
+"""Language model, quality, toxicity, token counts, secrets."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import prose
+from pyspark.sql import functions as F
+
+from glyphweave.llm import quality_crf as crf
+from glyphweave.llm import secret_forest as secrets
+from glyphweave.llm import suffix_tree_lm as lm
+from glyphweave.llm import toxicity_ordinal as toxicity
+from glyphweave.llm import trie_tokens as trie
+
+
+def key_of(i):
+    return str(i) if i is not None else ""
+
+
+def test_base_scores_match_brute_force(docs, corpus):
+    count = Counter()
+    split = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    for i, t, *_ in corpus:
+        if zlib.crc32(key_of(i).encode()) % 7 != 2:
+            count.update(split(t))
+    n, v = sum(count.values()), len(count)
+    want = sorted((key_of(i), zlib.crc32(key_of(i).encode()) % 7 == 2, len(w := split(t)), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t, *_ in corpus)
+    rows = lm.suffix_tree_scores(docs).collect()
+    assert sorted((key_of(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want
+    assert {r.train_tokens for r in rows} == {n}
+    assert all(r.score < 0 for r in rows)
+
+
+def test_rare_words_reach_their_counts_without_a_broadcast_head(docs, monkeypatch):
+    want = sorted((key_of(r.doc_id), r.n_known, round(r.base_score, 6)) for r in lm.suffix_tree_scores(docs).collect())
+    monkeypatch.setattr(lm, "HEAD", 0)
+    assert sorted((key_of(r.doc_id), r.n_known, round(r.base_score, 6)) for r in lm.suffix_tree_scores(docs).collect()) == want
+
+
+def plain_tree_score(texts, text, least):
+    """The tree again, over dictionaries."""
+    count = [Counter() for _ in range(lm.DEPTH + 1)]
+    seq = lambda t: b" ".join((t or "").encode().lower().split()) + b"\n"
+    for t in texts:
+        s = b"\n" * lm.DEPTH + seq(t)
+        for i in range(lm.DEPTH, len(s)):
+            for d in range(lm.DEPTH + 1):
+                count[d][s[i - d : i], s[i]] += 1
+    total, types = [Counter() for _ in count], [Counter() for _ in count]
+    for d, c in enumerate(count):
+        for (ctx, _), n in c.items():
+            total[d][ctx] += n
+            types[d][ctx] += 1
+    kept = [dict() for _ in count]
+
+    def p(ctx, s):
+        d = len(ctx)
+        if d == 0:
+            return (count[0][b"", s] + 1) / (total[0][b""] + 256)
+        low = p(ctx[1:], s)
+        if not retained(ctx):
+            return low
+        return (max(count[d][ctx, s] - lm.DISCOUNT, 0) + lm.DISCOUNT * types[d][ctx] * low) / total[d][ctx]
+
+    follow = [dict() for _ in count]
+    for d, c in enumerate(count):
+        for ctx, s in c:
+            follow[d].setdefault(ctx, []).append(s)
+
+    def retained(ctx):
+        d = len(ctx)
+        if ctx not in kept[d]:
+            n = total[d][ctx]
+            ok = n >= least
+            if ok:
+                gain = sum(count[d][ctx, s] * math.log(count[d][ctx, s] / n / p(ctx[1:], s)) for s in follow[d][ctx])
+                ok = gain > lm.DIVERGENCE * types[d][ctx]
+            kept[d][ctx] = ok
+        return kept[d][ctx]
+
+    s = b"\n" * lm.DEPTH + seq(text)
+    return sum(math.log10(p(s[i - lm.DEPTH : i], s[i])) for i in range(lm.DEPTH, len(s)))
+
+
+def test_suffix_tree_matches_plain_tree(spark):
+    draw = random.Random(4)
+    rows = [(i, prose(draw, 25)) for i in range(60)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r.score for r in lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[::9] + [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2][:3]:
+        assert got[i] == pytest.approx(plain_tree_score(train, t, lm.LEAST), abs=2e-3)
+
+
+def test_models_take_empty_tables(spark, no_docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert lm.suffix_tree_scores(no_docs).count() == 0
+    assert crf.quality_scores(no_docs, labels, ["doc_id"]).count() == 0
+    assert toxicity.toxicity_scores(no_docs, labels, ["doc_id"]).count() == 0
+    assert trie.token_counts(no_docs, ["doc_id"]).count() == 0
+    assert secrets.secret_findings(no_docs).count() == 0
+
+
+def junk(draw):
+    return draw.choice([" | ".join(prose(draw, 1) for _ in range(40)), "The " * 50, prose(draw, 40).upper().replace(" ", "!! ")])
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    draw = random.Random(8)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        lines = [prose(draw, draw.randint(8, 30)) for _ in range(draw.randint(1, 5))] + ([junk(draw) for _ in range(3)] if bad else [])
+        toxic = i % 5 == 0
+        if toxic:
+            lines[0] += " you idiotic clown, what trashy scum"
+        rows.append((i, "\n".join(lines), i, "clash"))
+        labels.append((i, int(not bad), int(toxic)))
+    labels += [labels[0], (None, 1, 0), (9999, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score long, p_toxic string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_on_held_out_rows(graded):
+    docs, labels = graded
+    scored = crf.quality_scores(docs, labels, ["doc_id", "score"]).join(labels.dropDuplicates(["doc_id"]), "doc_id").withColumn("held", crf.held_out(F.col("doc_id"))).collect()
+    held = [r for r in scored if r.held]
+    assert len(held) > 30 and all(0 <= r.score <= 1 for r in scored)
+    assert np.mean([(r.score >= crf.THRESHOLD) == (r.quality == 1) for r in held]) > 0.95
+    kept = crf.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    marginals = crf.line_marginals(docs, labels).collect()
+    assert len(marginals) == sum(len(r.text.split("\n")) for r in docs.collect())
+
+
+def test_quality_takes_odd_rows(docs, corpus, graded):
+    assert crf.quality_scores(docs, graded[1], ["doc_id"]).count() == len(corpus)
+    one_kind = graded[1].where("quality = 1")
+    assert {r.score for r in crf.quality_scores(docs, one_kind, ["doc_id"]).collect()} == {0.5}
+
+
+def test_crf_marginals_match_enumeration():
+    draw = np.random.default_rng(1)
+    lines = np.array([3, 1, 4])
+    emit, link = draw.normal(size=8), draw.normal(size=(2, 2))
+    got, pairs = crf.Chains(lines).marginals(emit, link)
+    at, want, expected = 0, [], np.zeros((2, 2))
+    for n in lines:
+        weight, good = 0.0, np.zeros(n)
+        own = np.zeros((2, 2))
+        for code in range(2**n):
+            y = [code >> k & 1 for k in range(n)]
+            w = math.exp(sum(emit[at + k] * y[k] for k in range(n)) + sum(link[a, b] for a, b in zip(y, y[1:])))
+            weight += w
+            good += w * np.array(y)
+            for a, b in zip(y, y[1:]):
+                own[a, b] += w
+        want += list(good / weight)
+        expected += own / weight
+        at += n
+    assert got == pytest.approx(want) and pairs == pytest.approx(expected)
+
+
+def test_toxicity_on_held_out_rows(graded, docs, corpus):
+    table, labels = graded
+    scored = toxicity.toxicity_scores(table, labels, ["doc_id", "p_toxic"]).join(labels.dropDuplicates(["doc_id"]), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert all((r.grade >= 1) == (r.toxic == 1) for r in scored)
+    assert all(0 <= r.severity <= toxicity.GRADES - 1 for r in scored)
+    assert toxicity.toxicity_scores(docs, labels, ["doc_id"]).count() == len(corpus)
+
+
+def test_ordinal_gradient_keeps_cuts_in_order():
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=400)
+    grade = np.digitize(2 * x + draw.logistic(size=400), [-1, 1, 2])
+    w, cuts = toxicity.fit(400, np.arange(400), np.zeros(400, np.int64), x, grade, 1)
+    assert np.all(np.diff(cuts) > 0) and 1.5 < w[0] < 2.6
+
+
+def test_token_counts_match_the_library(docs, corpus):
+    from tokenizers import Tokenizer, models
+
+    pieces = trie.vocabulary_pieces()
+    scores = (trie.piece_scores(len(pieces)) / 1e6).tolist()
+    vocabulary = [("<unk>", min(scores)), *((f"<0x{i:02X}>", -1e5) for i in range(256)), *zip(pieces, scores)]
+    library = Tokenizer(models.Unigram(vocabulary, 0, True))
+    want = sorted((key_of(i), len(w := (t or "").encode().split()), sum(len(library.encode(trie.MARK + x.decode()).ids) for x in w)) for i, t, *_ in corpus)
+    assert sorted((key_of(r.doc_id), r.n_words, r.n_tokens) for r in trie.token_counts(docs, ["doc_id"]).collect()) == want
+
+
+def test_trie_equals_single_words():
+    pieces = trie.Pieces(trie.vocabulary_pieces())
+    words = sorted({trie.MARK + w for w in ["a", "abc", "abcd", "日本語", "🙂x", "the", "there", "x" * 50, "ö" * 20, "1234567"]})
+    assert pieces.counts(words).tolist() == [pieces.count_one(w) for w in words]
+    assert pieces.count_one(trie.MARK + "z" * 500) > 1
+
+
+def test_secrets(spark, docs):
+    draw = random.Random(6)
+    hexes = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    rows, secret = [], {}
+    for i in range(200):
+        kind = i % 4
+        value = hexes(40) if kind == 0 else "AKIA" + "".join(draw.choice("ABCDEFGH234567") for _ in range(16)) if kind == 1 else f"{prose(draw, 1)[:-1]}.{i}@mail.example.com" if kind == 2 else f"{draw.randint(10**15, 10**16 - 1)}"
+        before = "é token = " if kind == 0 else prose(draw, 5) + " "
+        text = f"{before}{chr(34) if kind == 0 else ''}{value}{chr(34) if kind == 0 else ''} {prose(draw, 5)}"
+        rows.append((i, text))
+        secret[i] = kind < 2, text.index(value), value
+    table = spark.createDataFrame([*rows, (None, "x " + rows[0][1]), (7, None)], "doc_id long, text string")
+    found = [r for r in secrets.secret_findings(table).collect() if r.doc_id is not None]
+    assert {r.doc_id for r in found} == set(secret)
+    for r in found:
+        is_secret, at, value = secret[r.doc_id]
+        assert (r.start, r.end, r.is_secret) == (at, at + len(value), is_secret)
+    assert secrets.secret_findings(docs).where("is_secret and score < 1").count() == 0
