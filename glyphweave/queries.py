@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import similarity, text as tx
-from .operators import candidates, context, gates, geometry, hyphens, words
+from .operators import candidates, context, gates, geometry, hyphens, reports, words
 from .plans import align as aligning
 from .plans import refine as refining
-from .sources import derived, hocr, sinks
+from .sources import derived, files, hocr, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +265,30 @@ def _(s, d):
     return context.cross_block(ocr(s, d)).select("doc_id", "seq", "before_crossed", "after_crossed")
 
 
+MISSING = """,
+mi AS (SELECT doc_id, seq, vpos, tok_seq, 'left' AS side, tok_seq - 1 AS expected FROM st WHERE tok_seq > 0 AND NOT ll UNION ALL SELECT doc_id, seq, vpos, tok_seq, 'right', tok_seq + 1 FROM st WHERE tok_seq < last_tok AND NOT rl)"""
+
+
+@query("missing_neighbours", f"WITH {OCR}{KEYED}{MISSING} SELECT doc_id, seq, side, expected FROM mi")
+def _(s, d):
+    return reports.missing_neighbours(statuses(s, d))
+
+
+@query("swap_edges", f"""WITH {OCR}{KEYED}{MISSING} SELECT a.doc_id, a.seq AS src, b.seq AS dst FROM mi a JOIN mi b ON a.doc_id = b.doc_id AND a.side = 'right' AND b.side = 'left' AND a.expected = b.tok_seq AND b.expected = a.tok_seq
+WHERE abs(a.vpos - b.vpos) <= 50 AND abs(a.seq - b.seq) <= 200 AND a.seq <> b.seq""")
+def _(s, d):
+    return reports.swap_edges(statuses(s, d))
+
+
+@query("gap_fill_scores", f"""WITH {OCR}{KEYED}, g AS (SELECT *, lag(tok_seq) OVER w AS lt, lead(tok_seq) OVER w AS rt FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+pw AS (SELECT st.doc_id, sum(st.width)::DOUBLE / sum(length(tok.word)) AS cw FROM st JOIN tok ON tok.doc_id = st.doc_id AND tok.seq = st.tok_seq GROUP BY 1),
+r AS (SELECT g.doc_id, g.seq, g.lt + 1 AS tok_seq, length(g.content) AS n, length(t.word) AS m, length(t.word) * pw.cw / g.width AS q FROM g JOIN tok t ON t.doc_id = g.doc_id AND t.seq = g.lt + 1 JOIN pw ON pw.doc_id = g.doc_id WHERE g.tok_seq IS NULL AND g.rt = g.lt + 2)
+SELECT doc_id, seq, tok_seq, round(0.6::DOUBLE * (CASE WHEN q < 0.65::DOUBLE OR q > 1.35::DOUBLE THEN greatest(0.0::DOUBLE, 100.0::DOUBLE - abs(q - 1.0::DOUBLE) * 200) ELSE 100.0::DOUBLE END) + 0.4::DOUBLE * 100 * (1 - abs(n - m)::DOUBLE / greatest(n, m, 1)), 6) AS score FROM r""")
+def _(s, d):
+    t, rows = tokens(s, d), statuses(s, d)
+    return reports.gap_scores(rows, t, reports.page_widths(rows, t))
+
+
 # hyphens and parts
 
 
@@ -505,6 +529,40 @@ def _(s, d):
     return aligning.quality(aligning.align(ocr(s, d), tokens(s, d)), "doc_id")
 
 
+@query("mapping_report")
+def _(s, d):
+    return reports.mapping(aligning.align(ocr(s, d), tokens(s, d)), tokens(s, d))
+
+
+@query("status_summary")
+def _(s, d):
+    return reports.summary(aligning.align(ocr(s, d), tokens(s, d)), "doc_id")
+
+
+@query("render_list")
+def _(s, d):
+    return reports.render_list(aligning.align(ocr(s, d), tokens(s, d)))
+
+
+@query("aligned_hocr")
+def _(s, d):
+    rows = aligning.align(ocr(s, d), tokens(s, d)).withColumn("line_seq", F.floor(F.col("seq") / 10).cast("int")).withColumn("block_seq", F.floor(F.col("line_seq") / 25).cast("int"))
+    return sinks.hocr(rows)
+
+
+@query("word_trace")
+def _(s, d):
+    return aligning.traced(ocr(s, d), tokens(s, d)).groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+@query("natural_page_order", r"SELECT page_id, row_number() OVER (ORDER BY length(regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1)), regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1), page_id) AS place FROM pages".replace("\\\\", "\\"))
+def _(s, d):
+    from pyspark.sql.window import Window as W
+
+    rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    return rows.select("page_id", F.row_number().over(W.orderBy(*files.natural_order(F.col("url")), "page_id")).alias("place"))
+
+
 @query("cutoff_sweep")
 def _(s, d):
     out = None
