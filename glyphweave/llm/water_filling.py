@@ -13,8 +13,9 @@ crosses the mark gives its first words only, so that a source's words meet
 its target to within one word.
 
 Scale: the hash order is cut into 4096 buckets, so that a hot source spreads
-over 4096 keys. Only (source, bucket) sums are shuffled; the sort within a
-bucket happens in the one bucket of each source that holds the mark.
+over 4096 keys. Only (source, bucket) sums are shuffled, texts are not; the
+sort within a bucket happens in the one bucket of each source that holds the
+mark. Of the plan there is one row a source, broadcast up to a stated number.
 
 Defined results: null text is empty and has size 0; a null source is a source
 of its own, ordered last; sources without words get target 0 and nothing is
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .storage import documents
+from .storage import documents, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_HEX = 3  # 16**3 buckets
 SEED = "mix-1"
+BROADCAST = 10_000  # sources
 RESULTS = ("size", "source_size", "target", "taken")
 
 
@@ -90,14 +92,20 @@ def water_filling_mix(
     rest = F.floor(F.col("target") - F.col("__whole") * F.col("source_size") + F.lit(0.5)).cast("long")
     targets = targets.withColumn("__rest", rest)
     ahead = F.coalesce(F.sum("__in_bucket").over(W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    plan = buckets.withColumn("__ahead", ahead).join(targets, "__source")
-    plan = plan.withColumn("__marked", (F.col("__ahead") < F.col("__rest")) & (F.col("__ahead") + F.col("__in_bucket") > F.col("__rest")))
-
-    placed = rows.join(plan, ["__source", "__bucket"])
-    sure = F.when(F.col("__ahead") < F.col("__rest"), F.col("size")).otherwise(F.lit(0))
-    plain = placed.where(~F.col("__marked")).withColumn("__part", sure.cast("long"))
-    line = W.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
-    crossing = placed.where(F.col("__marked")).withColumn("__run", F.col("__ahead") + F.coalesce(F.sum("size").over(line), F.lit(0)))
+    line = buckets.withColumn("__ahead", ahead).join(targets, "__source")
+    # the bucket where a source's fraction ends: those before it are taken, those behind it not
+    beyond = F.col("__ahead") + F.col("__in_bucket") > F.col("__rest")
+    mark = F.min(F.when(beyond, F.struct("__bucket", "__ahead")))
+    plan = line.groupBy("__source", "source_size", "target", "__whole", "__rest").agg(mark.alias("__m"))
+    plan = plan.select("__source", "source_size", "target", "__whole", "__rest", F.col("__m.__bucket").alias("__mark"), F.col("__m.__ahead").alias("__ahead"))
+    plan = written(plan, "mix-plan")
+    placed = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST else plan, "__source")
+
+    at_mark = F.coalesce(F.col("__bucket") == F.col("__mark"), F.lit(False))
+    sure = F.when(F.col("__mark").isNull() | (F.col("__bucket") < F.col("__mark")), F.col("size")).otherwise(F.lit(0))
+    plain = placed.where(~at_mark).withColumn("__part", sure.cast("long"))
+    before = W.partitionBy("__source").orderBy("__order", "doc_id", F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
+    crossing = placed.where(at_mark).withColumn("__run", F.col("__ahead") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__run")))
     crossing = crossing.withColumn("__part", part.cast("long")).drop("__run")
     out = plain.unionByName(crossing)
