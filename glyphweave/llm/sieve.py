@@ -12,13 +12,29 @@ def place(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
 
 
-def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be in ``wanted`` (one column): all that
-    are, and a share of others that grows with the number of wanted keys."""
+def marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``__hit``: false where the key surely isn't in ``wanted``
+    (one column), true for all that are and for a share of others that grows
+    with the number of wanted keys."""
     own = wanted.select(place(F.col(wanted.columns[0])).alias("p"))
     bits = own.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
     at = df.withColumn("__p", place(F.col(key))).withColumn("__bucket", F.bitmap_bucket_number("__p")).withColumn("__p", F.bitmap_bit_position("__p"))
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(__p div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = F.expr("shiftleft(1, cast(__p % 8 as int))").bitwiseAND(byte) != 0
-    joined = at.join(F.broadcast(bits), "__bucket")  # 2048 rows of 4 KB at most
-    return joined.where(hit).select(*df.columns)
+    joined = at.join(F.broadcast(bits), "__bucket", "left")  # 2048 rows of 4 KB at most
+    return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("__hit"))
+
+
+def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``wanted``."""
+    return marked(df, key, wanted).where("__hit").drop("__hit")
+
+
+def without(df: DataFrame, gone: DataFrame, on: Column, key: str, gone_key: str, broadcast: int = 1_000_000) -> DataFrame:
+    """``df`` without the rows that ``gone`` meets by ``on``. Wide rows stay where
+    they are: ``gone`` is broadcast up to a number of rows, and beyond it only
+    rows that the bitmap doesn't clear are shuffled."""
+    if gone.limit(broadcast + 1).count() <= broadcast:
+        return df.join(F.broadcast(gone), on, "left_anti")
+    parted = marked(df, key, gone.select(gone_key))
+    return parted.where("__hit").drop("__hit").join(gone, on, "left_anti").unionByName(parted.where("not __hit").drop("__hit"))

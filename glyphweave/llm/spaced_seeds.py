@@ -25,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sieve import thinned
-from .storage import documents
+from .sieve import thinned, without
+from .storage import documents, written
 
 #: Positions that count, out of SPAN; fixed, as seeds of items and documents must agree.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 2, 5, 8, 9))
@@ -81,8 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) ->
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    leaky = leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leaky")).distinct()
-    return docs.join(leaky, F.col("doc_id").eqNullSafe(F.col("__leaky")), "left_anti")
+    leaky = written(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leaky")).distinct(), "leaky-ids")
+    return without(docs, leaky, F.col("doc_id").eqNullSafe(F.col("__leaky")), "doc_id", "__leaky")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
