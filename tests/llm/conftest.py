@@ -1,16 +1,11 @@
 import random
 
 import pytest
+from made_texts import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(draw, n):
-    parts = ["th", "er", "on", "an", "re", "ti", "es", "or", "é", "ll"]
-    words = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 4))) for _ in range(n)]
-    return " ".join(words).capitalize() + "."
-
-
 @pytest.fixture(scope="session")
 def corpus():
     """Rows with every odd case: nulls, empty, blank, long, repeated rows and shared ids."""

@@ -7,8 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import prose
-from pyspark.sql import functions as F
+from made_texts import prose
 
 from glyphweave.llm import mpeg_audio as mpeg
 from glyphweave.llm import pii_boosting as pii
@@ -327,4 +326,3 @@ def test_digest_columns(spark, tmp_path, docs, corpus):
     assert sorted((key_of(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in mpeg.op2(spark, str(tmp_path)).collect()) == want
     rows = pii.op6(spark, str(tmp_path)).collect()
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.n_email + r.n_ip + r.n_card + r.n_phone == 0)
-    assert F is not None

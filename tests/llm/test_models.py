@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from made_texts import prose
 from pyspark.sql import functions as F
 
 from glyphweave.llm import quality_crf as crf
