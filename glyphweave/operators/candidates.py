@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ def fuzzy_candidates(words: DataFrame, tokens: DataFrame, cutoff: float) -> Data
         a, b = left["norm"].tolist(), right["norm"].tolist()
         i, j, score = word_ratios(a, b, cutoff)
         page = left["doc_id"].iloc[0] if len(left) else 0
-        return pd.DataFrame({"doc_id": page, "norm": [a[k] for k in i], "clean_form": [b[k] for k in j], "score": score, "first_seq": right["first_seq"].to_numpy()[j]})
+        columns = {"doc_id": np.full(len(i), page, np.int64), "norm": np.array(a, object)[i], "clean_form": np.array(b, object)[j], "score": score, "first_seq": right["first_seq"].to_numpy()[j]}
+        return pd.DataFrame(columns)
 
     found = by_page(rest).cogroup(by_page(vocab.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"))).applyInPandas(match, CANDIDATES)
     return exact.unionByName(found)

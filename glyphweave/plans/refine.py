@@ -206,8 +206,9 @@ def refine(docs: DataFrame, refiner: Callable[[str], str] = identity, rounds: in
                     rows.append(refine_chunk(text, refiner, table or probable_table(text), rounds))
                 except Exception as e:  # the refiner is foreign code, and one chunk shall not end the job
                     rows.append((text, 0, [type(e).__name__]))
-            frame["refined"] = [r[0] or t for r, t in zip(rows, frame["text"], strict=True)]
-            frame["rounds"], frame["objections"] = [r[1] for r in rows], [r[2] for r in rows]
+            column = lambda values: pd.Series(values, index=frame.index, dtype=object)  # noqa: B023, E731
+            frame["refined"] = column([r[0] or t for r, t in zip(rows, frame["text"], strict=True)])
+            frame["rounds"], frame["objections"] = column([r[1] for r in rows]), column([r[2] for r in rows])
             yield frame
 
     return chunks(docs, **sizes).mapInPandas(run, REFINED)

@@ -34,6 +34,14 @@ def test_fuzzy_candidates_match_brute_force(docs):
     assert found == pytest.approx(want)
 
 
+def test_pages_without_any_match(spark):
+    words_ = spark.createDataFrame([(1, 0, "xxxx"), (2, 0, "abcd")], "doc_id long, seq int, norm string")
+    clean = spark.createDataFrame([(1, 0, "mmmm"), (2, 0, "abcx"), (3, 0, "abcd")], "doc_id long, seq int, norm string")
+    assert [(r.doc_id, r.clean_form, r.score) for r in candidates.fuzzy_candidates(words_, clean, 60.0).collect()] == [(2, "abcx", 75.0)]
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert refining.refine(none).count() == 0 and aligning.align(derived.ocr_words(none), derived.clean_tokens(none)).count() == 0
+
+
 def test_best_match_prefers_score_then_order(spark):
     rows = spark.createDataFrame([(1, "a", "x", 80.0, 5), (1, "a", "y", 90.0, 9), (1, "a", "z", 90.0, 3)], "doc_id long, norm string, clean_form string, score double, first_seq long")
     assert candidates.best_matches(rows).first().clean_form == "z"
