@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, small_batches
+from .storage import documents, lean, small_batches
 
 UNIT = 576  # payload bytes in a frame
 PAD = 255
@@ -240,7 +240,7 @@ def store_as_audio(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     small_batches(df.sparkSession)
     kept = df.select(*keep, F.col(column).cast("binary").alias("__payload"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__payload")
-    return kept.mapInArrow(_encode_batches, f"{schema}, n_bytes long, media binary")
+    return kept.mapInArrow(lean(_encode_batches), f"{schema}, n_bytes long, media binary")
 
 
 PARSED = (
@@ -272,7 +272,7 @@ def parse_audio(df: DataFrame, column: str = "media") -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names)
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, f"{schema}, {PARSED}")
+    return df.mapInArrow(lean(run), f"{schema}, {PARSED}")
 
 
 DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -301,4 +301,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_as_audio(documents(spark, sf_dir), "text", ["doc_id"])
-    return stored.mapInArrow(_digest, f"doc_id long, n_bytes long, {DIGEST}")
+    return stored.mapInArrow(lean(_digest), f"doc_id long, n_bytes long, {DIGEST}")

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .sieve import thinned
-from .storage import documents, small_batches, written
+from .sieve import thinned, without
+from .storage import documents, lean, small_batches, written
 from .words import blocks, hashed_words, mix
 
 WORDS_IN_SHINGLE = 5
@@ -46,8 +46,9 @@ THRESHOLD = 0.8
 BANDS, IN_BAND = 25, 5
 REGISTERS = BANDS * IN_BAND
 AGREE = 0.66  # of byte-wide signatures, before an exact comparison: 3.9 sd below 0.8, the miss rate of the bands
-BLOCK_ROWS = 512
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 200_000  # of a side of a block pair
 STAR_ROWS = 65536
+PAIRS_AT_ONCE = 32  # pairs of texts in a Python worker's memory
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +142,8 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = per_text > 0
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * BANDS)).astype(np.int32)), pa.array(keys[some].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest").slice(first, n), bands, pa.array([x.tobytes() for x in narrow], pa.binary())], ["digest", "bands", "signature"]
+                [batch.column("digest").slice(first, n), bands, pa.array([x.tobytes() for x in narrow], pa.binary()), pa.array(per_text)],
+                ["digest", "bands", "signature", "length"],
             )
 
 
@@ -275,7 +277,7 @@ def multisets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def texts_of(wanted: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     """One text for each wanted digest."""
-    wanted = written(wanted.distinct(), f"{label}-wanted")
+    wanted = written(wanted.distinct(), f"{label}-wanted", narrow=True)
     # an inner join stays above the bitmap; a semi-join would be pushed below it
     return written(thinned(texts, "digest", wanted).join(wanted, "digest").dropDuplicates(["digest"]), f"{label}-texts")
 
@@ -285,8 +287,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -
     own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")), texts, label)
     sided = pairs.join(own.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(own.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    found = sided.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
-    return written(found.where(F.col("similarity") >= threshold).select("a", "b"), f"{label}-edges")
+    small_batches(pairs.sparkSession, PAIRS_AT_ONCE)
+    found = sided.select("a", "b", "text_a", "text_b").mapInArrow(lean(compare), "a binary, b binary, similarity double")
+    edges = written(found.where(F.col("similarity") >= threshold).select("a", "b"), f"{label}-edges", narrow=True)
+    small_batches(pairs.sparkSession)
+    return edges
 
 
 def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, crossed: bool) -> DataFrame:
@@ -294,8 +299,9 @@ def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: in
     about ``rows``; ``crossed``: to pairs of blocks."""
     named = shared.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    members = named.join(mixed, "band").withColumn("n_blocks", F.ceil(F.col("n") / rows).cast("int")).join(nodes, "digest")
-    members = members.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
+    members = named.join(mixed, "band").join(nodes, "digest")
+    sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("length") / (rows / BLOCK_ROWS * BLOCK_SHINGLES))).cast("int").alias("n_blocks"))
+    members = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)") if crossed else F.array("own")))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "digest", "component", *[c for c in nodes.columns if c != "digest"])
@@ -304,40 +310,42 @@ def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: in
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text): one row for each distinct text (``digest``,
-    ``class_id``: the least doc_id of its class, ``class_size`` in rows), and
+    ``component``: the least digest of its class, ``class_id``: the least doc_id of its class, ``class_size`` in rows), and
     the links found (``a``, ``b``: digests)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = with_digest(docs).select("digest", F.coalesce("text", F.lit("")).alias("text"))
-    signed = texts.mapInArrow(sign, "digest binary, bands array<long>, signature binary")
-    nodes = written(signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")), "minhash-nodes")
+    signed = texts.mapInArrow(lean(sign), "digest binary, bands array<long>, signature binary, length long")
+    nodes = written(signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("length").alias("length")), "minhash-nodes")
 
     members = nodes.select("digest", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(buckets, "band"), "minhash-buckets")
     centers = shared.groupBy("band").agg(F.min("digest").alias("a"))
-    star = written(shared.join(centers, "band").where("digest != a").select("a", F.col("digest").alias("b")).distinct(), "minhash-star")
+    star = written(shared.join(centers, "band").where("digest != a").select("a", F.col("digest").alias("b")).distinct(), "minhash-star", narrow=True)
     edges = verified(star, texts, threshold, "star")
     labels = components(edges)
 
-    near = open_blocks(shared, nodes.select("digest", "signature"), labels, STAR_ROWS, crossed=False)
-    near = near.mapInArrow(near_originals, "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
-    near = verified(written(near, "minhash-near"), texts, threshold, "near")
-    edges = written(edges.unionByName(near), "minhash-edges")
+    near = open_blocks(shared, nodes.select("digest", "signature", "length"), labels, STAR_ROWS, crossed=False)
+    near = near.mapInArrow(lean(near_originals), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
+    near = verified(written(near, "minhash-near", narrow=True), texts, threshold, "near")
+    edges = written(edges.unionByName(near), "minhash-edges", narrow=True)
     labels = components(edges)
 
     dealt = open_blocks(shared, nodes, labels, BLOCK_ROWS, crossed=True)
-    left = written(dealt.mapInArrow(still_open, dealt.schema), "minhash-open")
+    left = written(dealt.mapInArrow(lean(still_open), dealt.schema), "minhash-open")
     own = texts_of(left.select("digest"), texts, "open")
     met = left.join(own, "digest").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    links = written(met.mapInArrow(settle(threshold), "a binary, b binary"), "minhash-links")
+    small_batches(spark, PAIRS_AT_ONCE)
+    links = written(met.mapInArrow(lean(settle(threshold)), "a binary, b binary"), "minhash-links", narrow=True)
+    small_batches(spark)
     edges = edges.unionByName(links)
     labels = components(edges)
 
     rows = with_digest(docs).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     rows = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    return rows.join(classes, "component").select("digest", "class_id", "class_size"), edges
+    return rows.join(classes, "component").select("digest", "component", "class_id", "class_size"), edges
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -353,11 +361,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = edges.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
     rows = with_digest(ids).select("doc_id", "digest").join(classes, "digest").join(links, "digest", "left")
     # of several rows with the class's id one is kept
-    copies = rows.groupBy("doc_id", "digest", "class_id", "class_size", "n_links").agg(F.count("*").alias("copies"), F.min("digest").alias("d"))
-    first = copies.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "class_size").agg(F.min("digest").alias("d"))
-    marked = copies.join(first.select(F.col("d").alias("digest"), F.lit(True).alias("first")), "digest", "left")
-    each = marked.withColumn("nth", F.explode(F.expr("sequence(1L, copies)")))
-    kept = F.coalesce("first", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("nth") == 1)
+    copies = rows.groupBy("doc_id", "digest", "component", "class_id", "class_size", "n_links").agg(F.count("*").alias("copies"))
+    own = F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("digest"))
+    chosen = copies.groupBy("component").agg(F.min(own).alias("chosen"))
+    each = copies.join(chosen, "component").withColumn("nth", F.explode(F.expr("sequence(1L, copies)")))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen")) & (F.col("nth") == 1)
     return each.select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("is_kept"))
 
 
@@ -365,16 +373,20 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """``docs`` without the rows that another row of their class stands for."""
     columns = docs.columns
     classes, _ = duplicate_classes(docs.select("doc_id", "text"), threshold)
-    chosen = with_digest(docs.select("doc_id", "text")).groupBy("digest", "doc_id").agg(F.count("*").alias("n")).join(classes, "digest")
-    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # an id may stand on several texts of a class
-    chosen = written(chosen.groupBy("class_id", "class_size").agg(F.min(F.struct("digest", "n")).alias("x")).select("class_id", "x.digest", "x.n"), "minhash-chosen")
+    rows = with_digest(docs.select("doc_id", "text")).groupBy("digest", "doc_id").agg(F.count("*").alias("n")).join(classes, "digest")
+    # of a class's texts with its id the first one stays, an id may stand on several
+    own = F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("digest"))
+    chosen = rows.groupBy("component").agg(F.min(own).alias("chosen"))
+    fates = rows.join(chosen, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen")))
+    # most rows have no entry here: those stand for their class and aren't repeated
+    apart = fates.where("not stays or n > 1").select(F.col("digest").alias("__gone"), F.col("doc_id").alias("__id"), "stays")
+    apart = written(apart, "minhash-apart", narrow=True)
     at = docs.select(*columns, with_digest_column().alias("__digest"))
-    on = lambda c: (F.col("__digest") == c["digest"]) & F.col("doc_id").eqNullSafe(c["class_id"])
-    single, several = chosen.where("n = 1"), chosen.where("n > 1")
-    once = at.join(single, on(single), "left_semi")
-    repeated = at.join(several, on(several), "left_semi").dropDuplicates(["__digest"])
-    return once.unionByName(repeated).select(*columns)
+    on = (F.col("__digest") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = without(at, apart.drop("stays"), on, "__digest", "__gone")
+    repeated = apart.where("stays").drop("stays")
+    several = thinned(at, "__digest", repeated.select("__gone")).join(repeated, on).select(*columns, "__digest").dropDuplicates(["__digest"])
+    return once.unionByName(several).select(*columns)
 
 
 def with_digest_column():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, small_batches
+from .storage import documents, lean, small_batches
 from .words import BLOCK, BYTE_VALUES, mix, powers
 
 SAMPLE = 6000
@@ -248,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")  # `sample` rows at most
     # equal rows are in a fixed order, so that reruns agree
-    found = rows.mapInArrow(sample_features, "quality int, lines binary").orderBy("quality", "lines").limit(2 * sample).collect()
+    found = rows.mapInArrow(lean(sample_features), "quality int, lines binary").orderBy("quality", "lines").limit(2 * sample).collect()
     if not found:
         return None
     x = [np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES)) for r in found]
@@ -272,7 +272,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataF
     rows = docs.select(*keep, docs["text"].alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(score_texts(shared, keep), f"{schema}score double")
+    return rows.mapInArrow(lean(score_texts(shared, keep)), f"{schema}score double")
 
 
 def line_marginals(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def line_marginals(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 number = np.arange(len(x)) - np.repeat(np.cumsum(lines) - lines, lines)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(p)], ["doc_id", "line", "good"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line long, good double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, line long, good double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -310,7 +310,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             on = np.round(np.concatenate(out), 6) >= threshold if out else np.zeros(0, bool)
             yield batch.filter(pa.array(on))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

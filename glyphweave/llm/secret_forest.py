@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, small_batches, written
+from .storage import documents, lean, small_batches, written
 from .suffix_tree_lm import PACKED, WORDS, by_part, count_of_counts, frequent_words, merge_counts, narrow, packed_batch
 from .words import BLOCK, BYTE_VALUES, Counter, Table, blocks, hashed_spans, mix, pack, powers, unpack
 
@@ -291,22 +291,22 @@ def corpus_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     DICTIONARY frequent words, from all documents."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = docs.select("text").mapInArrow(corpus_statistics(n_parts), PACKED)
+    counted = docs.select("text").mapInArrow(lean(corpus_statistics(n_parts)), PACKED)
     dealt = counted.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part")
-    merged = written(dealt.mapInArrow(merge_statistics, PACKED), "secret-statistics")
+    merged = written(dealt.mapInArrow(lean(merge_statistics), PACKED), "secret-statistics")
     pairs = np.ones(1 << 16, np.float64)
     for r in merged.where(F.col("kind") == TRANSITIONS).collect():  # a row a part at most
         pairs += unpack(r.blob)[0]
     pairs = pairs.reshape(256, 256)
     words = merged.where(F.col("kind") == WORDS)
-    sizes = words.mapInArrow(count_of_counts, "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types")).collect()
+    sizes = words.mapInArrow(lean(count_of_counts), "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types")).collect()
     floor, so_far = None, 0
     for x in sorted(sizes, key=lambda x: -x.bits):
         so_far += x.types
         if so_far > DICTIONARY:
             break
         floor = x.bits
-    head = [unpack(x.blob)[0] for x in words.mapInArrow(frequent_words(floor), PACKED).collect()] if floor is not None else []  # DICTIONARY words at most
+    head = [unpack(x.blob)[0] for x in words.mapInArrow(lean(frequent_words(floor)), PACKED).collect()] if floor is not None else []  # DICTIONARY words at most
     return np.log(pairs / pairs.sum(1, keepdims=True)), np.concatenate(head) if head else np.zeros(0, np.uint64)
 
 
@@ -332,7 +332,7 @@ def rule_labels(proposed: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("end"), pa.array(secret, pa.int32())], ["doc_id", "start", "end", "secret"])
             yield out.filter(out.column("secret").is_valid())
 
-    return proposed.mapInArrow(run, "doc_id long, start long, end long, secret int")
+    return proposed.mapInArrow(lean(run), "doc_id long, start long, end long, secret int")
 
 
 def learn(proposed: DataFrame, labelled: DataFrame, transitions: np.ndarray, dictionary: np.ndarray, sample: int = SAMPLE) -> Forest | None:
@@ -375,11 +375,11 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    proposed = written(rows.mapInArrow(propose, PROPOSED), "secret-proposed")
+    proposed = written(rows.mapInArrow(lean(propose), PROPOSED), "secret-proposed")
     transitions, dictionary = corpus_model(docs)
     forest = learn(proposed, rule_labels(proposed) if labelled is None else labelled, transitions, dictionary)
     shared = spark.sparkContext.broadcast({"forest": forest, "transitions": transitions, "dictionary": dictionary})
-    return proposed.mapInArrow(score_findings(shared), RESULT)
+    return proposed.mapInArrow(lean(score_findings(shared)), RESULT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

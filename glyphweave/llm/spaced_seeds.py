@@ -81,7 +81,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) ->
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    leaky = written(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leaky")).distinct(), "leaky-ids")
+    leaky = written(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leaky")).distinct(), "leaky-ids", narrow=True)
     return without(docs, leaky, F.col("doc_id").eqNullSafe(F.col("__leaky")), "doc_id", "__leaky")
 
 

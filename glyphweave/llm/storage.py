@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,13 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The files go when the JVM ends. A lost executor costs at most the tasks
-    it was running, since the table lies outside the executors.
+    it was running, since the table lies outside the executors. A ``narrow``
+    table (keys and numbers, no texts) gets two files a core at most, whatever
+    the number of shuffle partitions that it comes from.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/glyphweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
@@ -34,11 +43,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> None:
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
     """Bound the Arrow batches that Python workers get, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def lean(function: Callable) -> Callable:
+    """``function`` over Arrow batches; at a task's end the worker gives the
+    memory back that it no longer uses, as workers stay for later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

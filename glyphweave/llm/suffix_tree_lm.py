@@ -26,6 +26,7 @@ as the empty string where documents are held out; repeated rows are scored
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, small_batches, written
+from .storage import documents, lean, small_batches, written
 from .words import PAD, Counter, Table, blocks, counted, hashed_words, mix, pack, unpack
 
 DEPTH = 6
@@ -373,21 +374,21 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"))
-    counts = texts.where("not held").select("text").mapInArrow(count_strings(n_parts), PACKED)
+    counts = texts.where("not held").select("text").mapInArrow(lean(count_strings(n_parts)), PACKED)
     dealt = counts.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part")
-    merged = written(dealt.mapInArrow(merge_or_keep, PACKED), "suffix-counts")
+    merged = written(dealt.mapInArrow(lean(merge_or_keep), PACKED), "suffix-counts")
 
     grams, words = merged.where(F.col("kind") == GRAMS), merged.where(F.col("kind") == WORDS)
     pairs = np.zeros(1 << 16, np.int64)
-    for x in grams.mapInArrow(two_byte_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+    for x in grams.mapInArrow(lean(two_byte_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         pairs[x.pair] = x.n
     ends = sum(int(unpack(x.blob)[0].sum()) for x in merged.where(F.col("kind") == ROWS).collect())  # one row a part
     least = max(float(LEAST), P_MIN * pairs.sum())
-    levels = [(x.kind, x.blob) for x in grams.mapInArrow(retained_contexts(pairs, least), PACKED).collect()]  # DEPTH / P_MIN contexts at most
+    levels = [(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(pairs, least)), PACKED).collect()]  # DEPTH / P_MIN contexts at most
     levels.sort()
     tree = build_tree(pairs, least, levels)
 
-    sizes = words.mapInArrow(count_of_counts, "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 64 * 16 rows at most
+    sizes = words.mapInArrow(lean(count_of_counts), "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 64 * 16 rows at most
     n_types = sum(x.types for x in sizes) + (ends > 0)
     n_train = sum(x.tokens for x in sizes) + ends
     floor, so_far = None, 0
@@ -396,22 +397,16 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
         if so_far > HEAD:
             break
         floor = x.bits
-    head = [unpack(x.blob) for x in words.mapInArrow(frequent_words(floor), PACKED).collect()] if floor is not None else []  # HEAD words at most
+    head = [unpack(x.blob) for x in words.mapInArrow(lean(frequent_words(floor)), PACKED).collect()] if floor is not None else []  # HEAD words at most
     keys = np.concatenate([x[0] for x in head]) if head else np.zeros(0, np.uint64)
     values = np.concatenate([x[1] for x in head]).astype(np.int64) if head else np.zeros(0, np.int64)
-    shared = spark.sparkContext.broadcast({"id": f"{id(tree)}-{n_train}-{len(keys)}-{TOKEN()}", "tree": tree, "head": (keys, values)})
+    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "tree": tree, "head": (keys, values)})
 
-    scored = written(texts.mapInArrow(score_texts(shared, n_parts), PACKED), "suffix-scores")
+    scored = written(texts.mapInArrow(lean(score_texts(shared, n_parts)), PACKED), "suffix-scores")
     tails = words.unionByName(scored.where(F.col("kind") == TAIL)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    sums = tails.mapInArrow(count_tails, PACKED)
+    sums = tails.mapInArrow(lean(count_tails), PACKED)
     rows = sums.unionByName(scored.where(F.col("kind") == ROWS)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    return rows.mapInArrow(finish(ends, n_train, n_types), RESULT)
-
-
-def TOKEN() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
+    return rows.mapInArrow(lean(finish(ends, n_train, n_types)), RESULT)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:

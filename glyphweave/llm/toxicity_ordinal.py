@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, small_batches
+from .storage import documents, lean, small_batches
 from .words import Counter, Table, blocks, hashed_spans, pack, unpack
 
 SAMPLE = 20_000
@@ -143,8 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     if len(sizes) < 2:
         return None
     # the sample bounds what meets in this one partition
-    merged = rows.mapInArrow(count_features, "blob binary").repartition(1)
-    chosen = merged.mapInArrow(indicative(sizes[1], sizes[0]), "key long, z double, ratio double").collect()
+    merged = rows.mapInArrow(lean(count_features), "blob binary").repartition(1)
+    chosen = merged.mapInArrow(lean(indicative(sizes[1], sizes[0])), "key long, z double, ratio double").collect()
     if not chosen:
         return None
     chosen.sort(key=lambda c: c.key)
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["toxic", "words", "blob"])
 
-    found = rows.mapInArrow(rows_of, "toxic int, words long, blob binary").orderBy("toxic", "words", "blob").limit(2 * sample).collect()
+    found = rows.mapInArrow(lean(rows_of), "toxic int, words long, blob binary").orderBy("toxic", "words", "blob").limit(2 * sample).collect()
     toxic = np.array([r.toxic for r in found])
     parts = [unpack(r.blob) for r in found]
     row = np.repeat(np.arange(len(found)), [len(p[0]) for p in parts])
@@ -205,7 +205,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> Data
     rows = docs.select(*keep, docs["text"].alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(score_texts(shared, keep), f"{schema}{RESULT}")
+    return rows.mapInArrow(lean(score_texts(shared, keep)), f"{schema}{RESULT}")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

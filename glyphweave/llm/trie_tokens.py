@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .storage import documents, small_batches
+from .storage import documents, lean, small_batches
 from .words import Table, blocks, hashed_spans, mix
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -181,7 +181,7 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
     rows = docs.select(*keep, docs[text].alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
     shared = spark.sparkContext.broadcast(vocabulary_pieces(vocabulary))
-    return rows.mapInArrow(count_tokens(shared, vocabulary, keep), f"{schema}n_words long, n_tokens long")
+    return rows.mapInArrow(lean(count_tokens(shared, vocabulary, keep)), f"{schema}n_words long, n_tokens long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

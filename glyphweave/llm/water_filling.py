@@ -29,7 +29,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .storage import documents, written
@@ -98,7 +97,7 @@ def water_filling_mix(
     mark = F.min(F.when(beyond, F.struct("__bucket", "__ahead")))
     plan = line.groupBy("__source", "source_size", "target", "__whole", "__rest").agg(mark.alias("__m"))
     plan = plan.select("__source", "source_size", "target", "__whole", "__rest", F.col("__m.__bucket").alias("__mark"), F.col("__m.__ahead").alias("__ahead"))
-    plan = written(plan, "mix-plan")
+    plan = written(plan, "mix-plan", narrow=True)
     placed = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST else plan, "__source")
 
     at_mark = F.coalesce(F.col("__bucket") == F.col("__mark"), F.lit(False))

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 PAD = 5
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
