@@ -2,17 +2,19 @@
 
 A text is the sequence of its lower-cased words, each followed by a space, the
 last by an end symbol. The tree holds contexts of up to six preceding bytes. A
-context is retained if it makes up at least ``P_MIN`` of all positions and the
-likelihood gain of its next-symbol distribution over that of its suffix (count
-times Kullback-Leibler divergence) exceeds ``DIVERGENCE`` for each symbol that
-follows it. Retained distributions are smoothed by absolute discounting
+context is retained if it occurs at least ``LEAST`` times, whatever the corpus,
+and the likelihood gain of its next-symbol distribution over that of its suffix
+(count times Kullback-Leibler divergence) exceeds ``DIVERGENCE`` for each symbol
+that follows it. Retained distributions are smoothed by absolute discounting
 towards their suffix's, down to add-one counts of single bytes. A position is
 scored in the longest retained suffix of what precedes it.
 
 Scale: counts of seven-byte strings and of words are summed in every task
 before they are shuffled, as sorted arrays, and merged by key range; one hot
-key is one number from each task. A tree has at most DEPTH / P_MIN nodes
-whatever the corpus, which bounds what is broadcast. The base score needs the
+key is one number from each task. The tree grows with the corpus. Up to
+``NODES`` contexts it is broadcast; beyond that each chunk of texts sends its
+distinct seven-byte strings to the parts that hold the counts, gets their
+probabilities back, and only there its texts are scored. The base score needs the
 count of every word: the most frequent ones (at most ``HEAD``) are broadcast,
 all others are met with their counts by key range, so nothing is dropped.
 
@@ -26,6 +28,7 @@ as the empty string where documents are held out; repeated rows are scored
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -39,12 +42,13 @@ from .storage import documents, lean, small_batches, written
 from .words import PAD, Counter, Table, blocks, counted, hashed_words, mix, pack, unpack
 
 DEPTH = 6
-P_MIN = 1e-5
-LEAST = 8  # a context's least count in small corpora
+LEAST = 8  # a context's least count
 DISCOUNT = 0.75
 DIVERGENCE = 3.0  # nats for each symbol seen after the context
 HEAD = 500_000
-GRAMS, WORDS, TAIL, ROWS = 0, 1, 2, 3
+NODES = 100_000  # contexts that are broadcast at most
+CHUNK = 8_000_000  # bytes of text that are scored together
+GRAMS, WORDS, TAIL, ASK, ROWS = 0, 1, 2, 3, 4
 PACKED = "kind int, part int, pid long, blob binary"
 
 
@@ -54,7 +58,23 @@ def packed_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((kind, part, pid, blob), types, strict=True)], ["kind", "part", "pid", "blob"])
 
 
-def by_part(kind: int, part: np.ndarray, n: int, pid: int, *arrays: np.ndarray) -> pa.RecordBatch:
+def squeezed(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """``pack`` for keys in order: their steps, and all numbers byte by byte, compressed."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) for a in (np.diff(keys, prepend=keys.dtype.type(0)), *others)]
+    return pickle.dumps([(a.dtype.str, x.nbytes, pa.compress(x, "zstd", asbytes=True)) for a, x in zip((keys, *others), planes, strict=True)], protocol=5)
+
+
+def unsqueezed(blob: bytes) -> tuple[np.ndarray, ...]:
+    arrays = []
+    for kind, size, data in pickle.loads(blob):
+        dtype = np.dtype(kind)
+        plane = np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8).reshape(dtype.itemsize, -1)
+        arrays.append(np.ascontiguousarray(plane.T).view(dtype).ravel())
+    arrays[0] = np.cumsum(arrays[0], dtype=arrays[0].dtype)
+    return tuple(arrays)
+
+
+def by_part(kind: int, part: np.ndarray, n: int, pid: int, *arrays: np.ndarray, pack=pack) -> pa.RecordBatch:
     """One packed row for each part that has entries."""
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(n + 1))
@@ -76,6 +96,19 @@ def layout(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return data, at, np.searchsorted(at, starts)
 
 
+def strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The symbol at each position (last) after its context (nearest byte first)."""
+    key = data[at].astype(np.uint64)
+    for d in range(1, DEPTH + 1):
+        key |= data[at - d].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
+    return key
+
+
+def string_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """Strings are dealt by their two nearest context bytes, so that a part holds whole subtrees."""
+    return (mix(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(n_parts)).astype(np.int64)
+
+
 def count_strings(n_parts: int):
     """Of training texts: seven-byte strings (nearest context byte first, the
     next symbol last) and words."""
@@ -86,10 +119,7 @@ def count_strings(n_parts: int):
             for _, n, buffer, starts in blocks(batch.column(0).to_pylist()):
                 data, at, _ = layout(buffer, starts)
                 texts += n
-                key = data[at].astype(np.uint64)
-                for d in range(1, DEPTH + 1):
-                    key |= data[at - d].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
-                grams.add(key)
+                grams.add(strings(data, at))
                 words.add(hashed_words(buffer, starts)[0])
                 for kind, counter in ((GRAMS, grams), (WORDS, words)):
                     if counter.full:
@@ -100,9 +130,8 @@ def count_strings(n_parts: int):
 
     def flush(kind: int, counter: Counter) -> pa.RecordBatch:
         keys, counts = counter.take()
-        # strings are dealt by their two nearest context bytes, so that a part holds whole subtrees
-        part = mix(keys >> np.uint64(8 * (DEPTH - 1)) if kind == GRAMS else keys) % np.uint64(n_parts)
-        return by_part(kind, part.astype(np.int64), n_parts, 0, keys, narrow(counts))
+        part = string_part(keys, n_parts) if kind == GRAMS else (mix(keys) % np.uint64(n_parts)).astype(np.int64)
+        return by_part(kind, part, n_parts, 0, keys, narrow(counts), pack=squeezed if kind == GRAMS else pack)
 
     return run
 
@@ -113,7 +142,7 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         keys, counts = counter.take()
-        return packed_batch([(*now, 0, pack(keys, narrow(counts)))])
+        return packed_batch([(*now, 0, (squeezed if now[0] == GRAMS else pack)(keys, narrow(counts)))])
 
     for batch in batches:
         for kind, part, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
@@ -121,7 +150,7 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now:
                     yield done()
                 now = kind, part
-            keys, counts = unpack(blob)
+            keys, counts = (unsqueezed if kind == GRAMS else unpack)(blob)
             counter.add(keys, counts.astype(np.int64))
     if now:
         yield done()
@@ -131,7 +160,7 @@ def two_byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         total = np.zeros(1 << 16, np.int64)
         for blob in batch.column("blob").to_pylist():
-            keys, counts = unpack(blob)
+            keys, counts = unsqueezed(blob)
             pair = (keys >> np.uint64(8 * DEPTH) << np.uint64(8) | keys & np.uint64(255)).astype(np.int64)
             np.add.at(total, pair, counts.astype(np.int64))
         at = np.flatnonzero(total)
@@ -142,37 +171,82 @@ def estimates(count, total, types, low):
     return (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * low) / total
 
 
+def retained_levels(keys: np.ndarray, counts: np.ndarray, order1: np.ndarray, least: float):
+    """For two to DEPTH bytes: the contexts that pass the tests, their back-off
+    weights, how many symbols follow each, and these (after their context) with
+    their probabilities."""
+    counts = counts.astype(np.float64)
+    below = None
+    for d in range(2, DEPTH + 1):
+        context = keys >> np.uint64(8 * (DEPTH - d + 1))
+        both, n = counted(context << np.uint64(8) | keys & np.uint64(255), counts)
+        context = both >> np.uint64(8)
+        symbol = (both & np.uint64(255)).astype(np.int64)
+        begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        types = np.diff(np.append(begin, len(both)))
+        which = np.repeat(np.arange(len(begin)), types)
+        total = np.add.reduceat(n, begin)
+        nearer = context >> np.uint64(8)
+        if below is None:
+            low = order1[nearer.astype(np.int64), symbol]
+        else:
+            low = below[1][np.searchsorted(below[0], nearer << np.uint64(8) | symbol.astype(np.uint64))]
+        gain = np.add.reduceat(n * np.log(n / total[which] / low), begin)
+        keep = (total >= least) & (gain > DIVERGENCE * types)
+        p = np.where(keep[which], estimates(n, total[which], types[which], low), low)
+        below = both, p
+        if keep.any():
+            seen = keep[which]
+            yield d, context[begin][keep], DISCOUNT * types[keep] / total[keep], types[keep], both[seen], p[seen]
+
+
 def retained_contexts(pairs: np.ndarray, least: float):
-    """Contexts of two to DEPTH bytes that pass the tests, with what follows them."""
     order1 = first_orders(pairs, least)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                keys, counts = unpack(blob)
-                counts = counts.astype(np.float64)
-                below = None
-                for d in range(2, DEPTH + 1):
+                for d, context, back, types, both, p in retained_levels(*unsqueezed(blob), order1, least):
+                    yield packed_batch([(d, 0, 0, pack(context, back, types, (both & np.uint64(255)).astype(np.uint8), p))])
+
+    return run
+
+
+def number_of_contexts(pairs: np.ndarray, least: float):
+    order1 = first_orders(pairs, least)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(len(x[1]) for x in retained_levels(*unsqueezed(blob), order1, least)) for blob in batch.column("blob").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    return run
+
+
+def answer_strings(pairs: np.ndarray, least: float):
+    """Asked strings meet the contexts of their part; log10 probabilities go back."""
+    order1 = first_orders(pairs, least)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, levels = None, []
+        for batch in batches:
+            for kind, part, pid, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part != now:
+                    now, levels = part, []
+                if kind == GRAMS:
+                    levels = list(retained_levels(*unsqueezed(blob), order1, least))
+                    continue
+                (keys,) = unsqueezed(blob)
+                symbol = keys & np.uint64(255)
+                p = order1[(keys >> np.uint64(8 * DEPTH)).astype(np.int64), symbol.astype(np.int64)]
+                for d, contexts, back, _, both, own in levels:
                     context = keys >> np.uint64(8 * (DEPTH - d + 1))
-                    both, n = counted(context << np.uint64(8) | keys & np.uint64(255), counts)
-                    context = both >> np.uint64(8)
-                    symbol = (both & np.uint64(255)).astype(np.int64)
-                    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-                    types = np.diff(np.append(begin, len(both)))
-                    which = np.repeat(np.arange(len(begin)), types)
-                    total = np.add.reduceat(n, begin)
-                    nearer = context >> np.uint64(8)
-                    if below is None:
-                        low = order1[nearer.astype(np.int64), symbol]
-                    else:
-                        low = below[1][np.searchsorted(below[0], nearer << np.uint64(8) | symbol.astype(np.uint64))]
-                    gain = np.add.reduceat(n * np.log(n / total[which] / low), begin)
-                    keep = (total >= least) & (gain > DIVERGENCE * types)
-                    p = np.where(keep[which], estimates(n, total[which], types[which], low), low)
-                    below = both, p
-                    if keep.any():
-                        seen = keep[which]
-                        yield packed_batch([(d, 0, 0, pack(context[begin][keep], DISCOUNT * types[keep] / total[keep], types[keep], symbol[seen].astype(np.uint8), p[seen]))])
+                    at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+                    on = np.flatnonzero(contexts[at] == context)
+                    string = context[on] << np.uint64(8) | symbol[on]
+                    spot = np.minimum(np.searchsorted(both, string), len(both) - 1)
+                    p[on] = np.where(both[spot] == string, own[spot], back[at[on]] * p[on])
+                yield packed_batch([(ASK, 0, pid, squeezed(keys, np.log10(p).astype(np.float32)))])
 
     return run
 
@@ -273,22 +347,31 @@ _cache: dict[str, tuple[Scorer, Table]] = {}
 
 def score_texts(shared, n_parts: int):
     """Scores of texts and the base score of frequent words; other words go
-    out by part, packed with the rows they stand in."""
+    out by part, packed with the rows they stand in. Where the tree isn't
+    broadcast, distinct strings go out by part, and texts with their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if model["id"] not in _cache:
             _cache.clear()
-            _cache[model["id"]] = Scorer(model["tree"]), Table(*model["head"])
+            _cache[model["id"]] = model["tree"] and Scorer(model["tree"]), Table(*model["head"])
         scorer, head = _cache[model["id"]]
-        pid = TaskContext.get().partitionId()
+        chunk = TaskContext.get().partitionId() << 32
         columns: list[tuple] = []
         tail: list[tuple] = []
-        row = 0
+        texts: list[tuple] = []
+        asked = Counter(2_000_000)
+        row = size = 0
         for batch in batches:
             ids, held = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, n, buffer, starts in blocks(batch.column(0).to_pylist()):
-                score = scorer.scores(*layout(buffer, starts))
+                data, at, firsts = layout(buffer, starts)
+                if scorer:
+                    score = scorer.scores(data, at, firsts)
+                else:
+                    score = np.zeros(n)
+                    asked.add(strings(data, at))
+                    texts.append((pa.compress(buffer, "zstd", asbytes=True), len(buffer), starts))
                 words, per_text = hashed_words(buffer, starts)
                 of = np.repeat(np.arange(n), per_text)
                 count = head.get(words)
@@ -297,24 +380,25 @@ def score_texts(shared, n_parts: int):
                 tail.append((words[~known], (of[~known] + row).astype(np.int32)))
                 some = [i is None for i in ids[first : first + n]]
                 columns.append((np.array([i or 0 for i in ids[first : first + n]], np.int64), np.array(some), np.array(held[first : first + n]), per_text + 1, np.bincount(of[known], minlength=n), base, score))
-                row += n
-            if sum(len(x[0]) for x in tail) > 4_000_000:
-                yield tails(tail, pid)
-                tail = []
-        if tail:
-            yield tails(tail, pid)
+                row, size = row + n, size + len(data)
+                if size >= CHUNK:
+                    yield from flush(chunk, columns, tail, asked, texts)
+                    chunk, columns, tail, texts, row, size = chunk + 1, [], [], [], 0, 0
         if columns:
-            yield packed_batch([(ROWS, pid, pid, pack(*(np.concatenate(x) for x in zip(*columns, strict=True))))])
+            yield from flush(chunk, columns, tail, asked, texts)
 
-    def tails(tail: list[tuple], pid: int) -> pa.RecordBatch:
+    def flush(chunk: int, columns: list[tuple], tail: list[tuple], asked: Counter, texts: list[tuple]) -> Iterator[pa.RecordBatch]:
         words, rows = (np.concatenate(x) for x in zip(*tail, strict=True))
-        return by_part(TAIL, (mix(words) % np.uint64(n_parts)).astype(np.int64), n_parts, pid, words, rows)
+        yield by_part(TAIL, (mix(words) % np.uint64(n_parts)).astype(np.int64), n_parts, chunk, words, rows)
+        keys, _ = asked.take()
+        yield by_part(ASK, string_part(keys, n_parts), n_parts, chunk, keys, pack=squeezed)
+        yield packed_batch([(ROWS, 0, chunk, pack(*(np.concatenate(x) for x in zip(*columns, strict=True)), *texts))])
 
     return run
 
 
 def count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rare words meet their counts; sums go back to the rows' task by row."""
+    """Rare words meet their counts; sums go back to the rows' chunk by row."""
     now, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         for kind, part, pid, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -332,23 +416,34 @@ def count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, c = rows[:0], counts[:0]
             own, n = counted(rows)
             sums = np.bincount(np.searchsorted(own, rows), np.log10(c + 1.0), len(own)).astype(np.float64)
-            yield packed_batch([(TAIL, int(pid), pid, pack(own, n, sums))])
+            yield packed_batch([(TAIL, 0, pid, pack(own, n, sums))])
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def finish(ends: int, n_train: int, n_types: int):
-    """Join each task's packed rows with the sums of their rare words; rows come last in a part."""
+    """Join each chunk's packed rows with the sums of their rare words and the
+    probabilities of their strings; rows come last in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
+        answers: list[tuple] = []
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if kind == TAIL:
-                    parts.append(unpack(blob))
+                if kind != ROWS:
+                    (parts.append(unpack(blob)) if kind == TAIL else answers.append(unsqueezed(blob)))
                     continue
-                ids, nulls, held, tokens, known, base, score = unpack(blob)
+                ids, nulls, held, tokens, known, base, score, *texts = unpack(blob)
+                if texts:
+                    keys, logs = (np.concatenate(x) for x in zip(*answers, strict=True))
+                    order = np.argsort(keys)
+                    keys, logs = keys[order], logs[order].astype(np.float64)
+                    of_block = []
+                    for text, n, starts in texts:
+                        data, at, firsts = layout(pa.decompress(text, n, "zstd", asbytes=True), starts)
+                        of_block.append(np.add.reduceat(logs[np.searchsorted(keys, strings(data, at))], firsts))
+                    score, answers = np.concatenate(of_block), []
                 for own, n, sums in parts:
                     known[own] += n
                     base[own] += sums
@@ -383,10 +478,13 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     for x in grams.mapInArrow(lean(two_byte_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         pairs[x.pair] = x.n
     ends = sum(int(unpack(x.blob)[0].sum()) for x in merged.where(F.col("kind") == ROWS).collect())  # one row a part
-    least = max(float(LEAST), P_MIN * pairs.sum())
-    levels = [(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(pairs, least)), PACKED).collect()]  # DEPTH / P_MIN contexts at most
-    levels.sort()
-    tree = build_tree(pairs, least, levels)
+    least = float(LEAST)
+    contexts = grams.mapInArrow(lean(number_of_contexts(pairs, least)), "n long").agg(F.sum("n")).first()[0] or 0
+    tree = None
+    if contexts <= NODES:
+        levels = [(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(pairs, least)), PACKED).collect()]
+        levels.sort()
+        tree = build_tree(pairs, least, levels)
 
     sizes = words.mapInArrow(lean(count_of_counts), "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 64 * 16 rows at most
     n_types = sum(x.types for x in sizes) + (ends > 0)
@@ -404,8 +502,11 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
 
     scored = written(texts.mapInArrow(lean(score_texts(shared, n_parts)), PACKED), "suffix-scores")
     tails = words.unionByName(scored.where(F.col("kind") == TAIL)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    sums = tails.mapInArrow(lean(count_tails), PACKED)
-    rows = sums.unionByName(scored.where(F.col("kind") == ROWS)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
+    back = tails.mapInArrow(lean(count_tails), PACKED)
+    if tree is None:
+        asked = grams.unionByName(scored.where(F.col("kind") == ASK)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
+        back = back.unionByName(asked.mapInArrow(lean(answer_strings(pairs, least)), PACKED))
+    rows = back.unionByName(scored.where(F.col("kind") == ROWS)).repartition(n_parts, "pid").sortWithinPartitions("pid", "kind")
     return rows.mapInArrow(lean(finish(ends, n_train, n_types)), RESULT)
 
 

@@ -95,6 +95,30 @@ def test_suffix_tree_matches_plain_tree(spark):
         assert got[i] == pytest.approx(plain_tree_score(train, t, lm.LEAST), abs=2e-3)
 
 
+def test_rare_contexts_stay_in_a_larger_corpus(spark):
+    """A dozen occurrences among 1.4 million positions count, as they would in a small corpus."""
+    draw = random.Random(5)
+    filler = prose(draw, 400)
+    rows = [(i, filler * 16 + (" zqxjkv" if i % 4 == 0 else "")) for i in range(50)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 1e-5 * sum(map(len, train)) > lm.LEAST and 8 <= sum("zqx" in t for t in train) < 1e-5 * sum(map(len, train))
+    rows.append((50, "zqxjkv zqxjkv"))
+    train += ["zqxjkv zqxjkv"] if zlib.crc32(b"50") % 7 != 2 else []
+    got = {r.doc_id: r.score for r in lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == pytest.approx(plain_tree_score(train, "zqxjkv zqxjkv", lm.LEAST), abs=2e-3)
+
+
+def test_scores_without_a_broadcast_tree(docs, spark, monkeypatch):
+    draw = random.Random(9)
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, prose(draw, 60)) for i in range(90)], "doc_id long, text string"))
+    want = sorted((key_of(r.doc_id), r.n_tokens, r.score) for r in lm.suffix_tree_scores(table).collect())
+    monkeypatch.setattr(lm, "NODES", -1)
+    monkeypatch.setattr(lm, "CHUNK", 3000)
+    got = sorted((key_of(r.doc_id), r.n_tokens, r.score) for r in lm.suffix_tree_scores(table).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-4)
+
+
 def test_models_take_empty_tables(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert lm.suffix_tree_scores(no_docs).count() == 0
