@@ -6,7 +6,10 @@ every mask; a shared hash puts an item on a diagonal of a document, where all
 tokens that face each other are compared. A document leaks an item if some
 stretch of ``WINDOW`` facing tokens (or the whole item, if that is shorter)
 has at most ``MISSES`` differences: substitutions are tolerated, as a seed
-skips the positions that its mask ignores.
+skips the positions that its mask ignores. Wherever up to ``MISSES`` of the
+facing tokens differ, at least one mask finds a seed (tests go through all
+placements); items of under ``WINDOW`` tokens have masks of their own, and those
+of under ``SPAN`` tokens have to occur whole and unchanged.
 
 Scale: documents are read in one pass; stretches are never shuffled. Their
 hashes meet the items' in a broadcast table while these are at most
@@ -15,8 +18,7 @@ join. Only verified stretches leave the scan; the last aggregation is on
 (document, item).
 
 Defined results: tokens are runs of letters and digits in lower case; null
-texts have none; a document or item with fewer tokens than ``SPAN`` has no
-seeds and so no leaks; repeated rows and rows that share a doc_id count as one
+texts have none and no leaks; repeated rows and rows that share a doc_id count as one
 document; of equal items each is reported; an empty benchmark gives no rows.
 """
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from .sieve import thinned, without
 from .storage import documents, written
 
-#: Positions that count, out of SPAN; fixed, as seeds of items and documents must agree.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 2, 5, 8, 9))
+#: Positions that count; fixed, as seeds of items and documents must agree. SHORT is for items of SPAN to WINDOW - 1 tokens.
+MASKS = ((0, 1, 2, 4, 5), (0, 2, 7, 8, 9), (0, 1, 6, 8, 9))
+SHORT = ((0, 1, 3, 4), (0, 1, 6, 7), (0, 2, 4, 6))
 SPAN = 10
 WINDOW = 13
 MISSES = 3
@@ -42,10 +45,25 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def seeded(df: DataFrame, hashes: str) -> DataFrame:
-    """``df`` with a row for each stretch and mask: ``pos`` and ``seed``."""
-    places = df.where(F.size(hashes) >= SPAN).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size(hashes) - SPAN)))
-    seeds = [F.xxhash64(F.lit(number), *[F.get(F.col(hashes), F.col("pos") + k) for k in mask]) for number, mask in enumerate(MASKS)]
+def masks_for(sizes: set[int]) -> list[tuple[tuple[int, ...], int, int]]:
+    """The masks that items of these sizes (WINDOW stands for all from there on)
+    need, each with the least and the most tokens of its items."""
+    masks = [(mask, WINDOW, 1 << 30) for mask in MASKS]
+    if any(SPAN <= n < WINDOW for n in sizes):
+        masks += [(mask, SPAN, WINDOW - 1) for mask in SHORT]
+    return masks + [(tuple(range(n)), n, n) for n in sorted(sizes) if 0 < n < SPAN]
+
+
+def seeded(df: DataFrame, hashes: str, masks: list[tuple[tuple[int, ...], int, int]], by_size: bool) -> DataFrame:
+    """``df`` with a row for each stretch and mask: ``pos`` and ``seed``, which is
+    null where the mask doesn't fit (``by_size``: or isn't for an item of that size)."""
+    size, least = F.size(hashes), min(mask[-1] + 1 for mask, _, _ in masks)
+    places = df.where(size >= least).withColumn("pos", F.explode(F.sequence(F.lit(0), size - least)))
+    seeds = []
+    for mask, fewest, most in masks:
+        fits = F.col("pos") + mask[-1] < size
+        seed = F.xxhash64(F.lit(",".join(map(str, (fewest, *mask)))), *[F.get(F.col(hashes), F.col("pos") + k) for k in mask])
+        seeds.append(F.when(fits & size.between(fewest, most) if by_size else fits, seed))
     return places.withColumn("seed", F.explode(F.array(*seeds)))
 
 
@@ -54,8 +72,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) ->
     ``first_token`` and ``end_token`` of the verified stretches in the
     document, and ``n_matched``, most equal tokens on one diagonal."""
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item"))
-    item_seeds = seeded(items, "item").select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
-    seeds = seeded(docs.select("doc_id", token_hashes(F.col("text")).alias("h")), "h")
+    sizes = {x.n for x in items.select(F.least(F.size("item"), F.lit(WINDOW)).alias("n")).distinct().collect()}  # WINDOW + 1 rows at most
+    masks = masks_for(sizes)
+    item_seeds = seeded(items, "item", masks, True).where("seed is not null").select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
+    seeds = seeded(docs.select("doc_id", token_hashes(F.col("text")).alias("h")), "h", masks, False)
     number = item_seeds.limit(broadcast + 1).count()
     if number <= broadcast:
         met = seeds.join(F.broadcast(item_seeds), "seed")
@@ -66,9 +86,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) ->
     met = met.withColumn("in_doc", F.greatest(shift, F.lit(0))).withColumn("in_item", F.greatest(-shift, F.lit(0)))
     met = met.withColumn("n", F.least(F.size("h") - F.col("in_doc"), F.size("item") - F.col("in_item")))
     same = F.zip_with(F.expr("slice(h, in_doc + 1, n)"), F.expr("slice(item, in_item + 1, n)"), lambda a, b: F.when(a == b, 1).otherwise(0))
-    met = met.select("doc_id", "item_id", "in_doc", "n", same.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("window"))
+    met = met.select("doc_id", "item_id", "in_doc", "n", same.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("window"), F.when(F.size("item") < SPAN, 0).otherwise(MISSES).alias("misses"))
     # ends of stretches with few enough differences
-    good = F.expr(f"filter(sequence(0, n - window), i -> aggregate(slice(same, i + 1, window), 0, (a, x) -> a + x) >= window - {MISSES})")
+    good = F.expr("filter(sequence(0, n - window), i -> aggregate(slice(same, i + 1, window), 0, (a, x) -> a + x) >= window - misses)")
     met = met.where("n >= window").withColumn("good", good).where(F.size("good") > 0)
     found = met.select(
         "doc_id", "item_id", (F.col("in_doc") + F.array_min("good")).alias("first_token"), (F.col("in_doc") + F.array_max("good") + F.col("window")).alias("end_token"),

@@ -1,6 +1,7 @@
 """MPEG audio, near-duplicates, decontamination, personal data, mixing, pipeline."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -171,6 +172,26 @@ def test_one_of_each_class_stays(docs, corpus, no_docs):
 # benchmark
 
 
+def test_masks_hit_every_placement_of_substitutions():
+    for window, masks in ((seeds.WINDOW, seeds.MASKS), *((n, seeds.SHORT) for n in range(seeds.SPAN, seeds.WINDOW))):
+        for missed in itertools.combinations(range(window), seeds.MISSES):
+            assert any(not {at + k for k in mask} & set(missed) for mask in masks for at in range(window - mask[-1]))
+
+
+@pytest.mark.parametrize("broadcast", [seeds.BROADCAST, 0])
+def test_leaks_of_regular_substitutions_and_short_items(spark, broadcast):
+    draw = random.Random(17)
+    words = lambda k, n: [f"w{k}x{draw.randint(0, 10**9)}" for _ in range(n)]
+    items = {0: words(0, 59), 1: words(1, 10), 2: words(2, 12), 3: words(3, 6), 4: words(4, 1)}
+    rows = [(phase, [w if i % 5 != phase else "other" for i, w in enumerate(items[0])]) for phase in range(5)]
+    rows += [(10 + i, ["other" if i <= k < i + 3 else w for k, w in enumerate(items[1])]) for i in range(8)]
+    rows += [(20, ["other" if k in (2, 5, 8) else w for k, w in enumerate(items[2])]), (30, items[3]), (31, items[3][:5] + ["other"]), (40, items[4])]
+    table = spark.createDataFrame([(i, "before " + " ".join(w) + " after") for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    want = {(i, 0) for i in range(5)} | {(10 + i, 1) for i in range(8)} | {(20, 2), (30, 3), (40, 4)}
+    assert {(r.doc_id, r.item_id) for r in seeds.leaks(table, bench, broadcast).collect()} == want
+
+
 def test_leaks_with_substitutions(spark, docs, no_docs):
     draw = random.Random(7)
     items = [(k, prose(draw, n)) for k, n in enumerate((15, 30, 59, 4, 12))] + [(7, None), (8, "")]
