@@ -1,29 +1,43 @@
-"""Language-model scores from a probabilistic suffix tree over bytes.
-
-A text is the sequence of its lower-cased words, each followed by a space, the
-last by an end symbol. The tree holds contexts of up to six preceding bytes. A
-context is retained if it occurs at least ``LEAST`` times, whatever the corpus,
-and the likelihood gain of its next-symbol distribution over that of its suffix
-(count times Kullback-Leibler divergence) exceeds ``DIVERGENCE`` for each symbol
-that follows it. Retained distributions are smoothed by absolute discounting
-towards their suffix's, down to add-one counts of single bytes. A position is
-scored in the longest retained suffix of what precedes it.
+"""Language-model scores from a probabilistic suffix tree.
+
+A text is the sequence of its lower-cased words, each followed by a space, and
+an end symbol. The tree's states are suffixes of what precedes a symbol. Near
+the root they are up to six bytes and predict the next byte; beyond them
+stand ``PHRASE`` whole words, which predict the next word with its space.
+
+A state is retained if it occurs often enough (``LEAST`` times for bytes,
+``LEAST_PHRASE`` for words), whatever the corpus, and the likelihood gain of
+its distribution over that of the suffix below it (count times Kullback-Leibler
+divergence) exceeds ``DIVERGENCE`` for each symbol that follows it. For words
+the share of the next word among all words, rounded up to a power of two,
+stands for the suffix's probability. Byte distributions are smoothed by
+absolute discounting towards their suffix's, down to add-one counts of single
+bytes; word distributions keep the discounted counts of words that follow
+twice or more, and give the rest of their mass to the byte states' probability
+of the word. A position is scored in its longest retained suffix.
 
 Scale: counts of seven-byte strings and of words are summed in every task
 before they are shuffled, as sorted arrays, and merged by key range; one hot
-key is one number from each task. The tree grows with the corpus. Up to
-``NODES`` contexts it is broadcast; beyond that each chunk of texts sends its
-distinct seven-byte strings to the parts that hold the counts, gets their
-probabilities back, and only there its texts are scored. The base score needs the
-count of every word: the most frequent ones (at most ``HEAD``) are broadcast,
-all others are met with their counts by key range, so nothing is dropped.
+key is one number from each task. The tree grows with the corpus. Texts are
+packed into chunks once. Each chunk asks the parts that hold the counts, by
+sorted distinct keys: fingerprints of its phrases, which are counted there in
+the same step, its rare words, and, where the byte states outgrow a broadcast
+(``ENTRIES``), its seven-byte strings. Answers stand in the order of the keys,
+so keys travel one way only. A part holds one share of the keys, by
+``spark.sql.shuffle.partitions``. Of the words' counts at most ``HEAD`` are
+broadcast, the others are asked, so nothing is dropped.
 
 Words are told apart by 64-bit hashes: among a billion distinct words about
-one pair in a run of forty meets.
+one pair in a run of forty meets. The fingerprint of a phrase has eight bits
+more than the corpus has tokens: one in some hundred meets another, and then
+its count rises; a next word passes for another in one case of 4096.
 
 Defined results: null and empty texts are one end symbol; a null doc_id counts
-as the empty string where documents are held out; repeated rows are scored
-(and counted) each; without training text every byte has probability 1/256.
+as the empty string where documents are held out, and ids keep their type;
+repeated rows are scored (and counted) each; without training text every byte
+has probability 1/256; an empty table gives no rows; other columns are not
+read, whatever their names; a text is held whole in one task, however long;
+equal counts have no order that matters.
 """
 
 from __future__ import annotations
@@ -39,16 +53,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import documents, lean, small_batches, written
-from .words import PAD, Counter, Table, blocks, counted, hashed_words, mix, pack, unpack
+from .words import MULTIPLIER, PAD, Counter, Table, blocks, counted, hashed_spans, hashed_words, mix, pack, unpack
 
-DEPTH = 6
-LEAST = 8  # a context's least count
+DEPTH = 6  # bytes
+PHRASE = 3  # words
+LEAST, LEAST_PHRASE = 8, 2  # a state's least count
 DISCOUNT = 0.75
-DIVERGENCE = 3.0  # nats for each symbol seen after the context
+DIVERGENCE = 3.0  # nats for each symbol seen after the state
 HEAD = 500_000
-NODES = 100_000  # contexts that are broadcast at most
+ENTRIES = 4_000_000  # byte states and strings that are broadcast at most
 CHUNK = 8_000_000  # bytes of text that are scored together
-GRAMS, WORDS, TAIL, ASK, ROWS = 0, 1, 2, 3, 4
+CONTEXT_BITS, WORD_BITS = 8, 12  # of a phrase's fingerprint: beyond the corpus's tokens, and for the next word
+GRAMS, WORDS, TAIL, ASK, PHRASES, ROWS = range(6)
+CLOSING = b" "
 PACKED = "kind int, part int, pid long, blob binary"
 
 
@@ -58,26 +75,40 @@ def packed_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((kind, part, pid, blob), types, strict=True)], ["kind", "part", "pid", "blob"])
 
 
-def squeezed(keys: np.ndarray, *others: np.ndarray) -> bytes:
-    """``pack`` for keys in order: their steps, and all numbers byte by byte, compressed."""
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) for a in (np.diff(keys, prepend=keys.dtype.type(0)), *others)]
-    return pickle.dumps([(a.dtype.str, x.nbytes, pa.compress(x, "zstd", asbytes=True)) for a, x in zip((keys, *others), planes, strict=True)], protocol=5)
+def dense(*arrays: np.ndarray) -> bytes:
+    """``pack`` with all numbers byte by byte, compressed."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) for a in arrays]
+    return pickle.dumps([(a.dtype.str, x.nbytes, pa.compress(x, "zstd", asbytes=True)) for a, x in zip(arrays, planes, strict=True)], protocol=5)
 
 
-def unsqueezed(blob: bytes) -> tuple[np.ndarray, ...]:
+def undense(blob: bytes) -> tuple[np.ndarray, ...]:
     arrays = []
     for kind, size, data in pickle.loads(blob):
         dtype = np.dtype(kind)
         plane = np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8).reshape(dtype.itemsize, -1)
         arrays.append(np.ascontiguousarray(plane.T).view(dtype).ravel())
-    arrays[0] = np.cumsum(arrays[0], dtype=arrays[0].dtype)
     return tuple(arrays)
 
 
+def squeezed(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """``dense`` for keys in order: their steps."""
+    return dense(np.diff(keys, prepend=keys.dtype.type(0)), *others)
+
+
+def unsqueezed(blob: bytes) -> tuple[np.ndarray, ...]:
+    steps, *others = undense(blob)
+    return np.cumsum(steps, dtype=steps.dtype), *others
+
+
+def part_slices(part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in the order of their parts, and where each part begins."""
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(n + 1))
+
+
 def by_part(kind: int, part: np.ndarray, n: int, pid: int, *arrays: np.ndarray, pack=pack) -> pa.RecordBatch:
     """One packed row for each part that has entries."""
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(n + 1))
+    order, cut = part_slices(part, n)
     arrays = tuple(a[order] for a in arrays)
     return packed_batch([(kind, p, pid, pack(*(a[cut[p] : cut[p + 1]] for a in arrays))) for p in range(n) if cut[p] < cut[p + 1]])
 
@@ -86,14 +117,13 @@ def narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
 
 
-def layout(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, scored positions, and the first scored position of each text."""
+def layout(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, and the positions that are scored."""
     data = np.frombuffer(buffer, np.uint8)
     scored = np.ones(len(data), bool)
     scored[0] = False
     scored[(starts[:, None] - np.arange(1, PAD + 1)).ravel()] = False
-    at = np.flatnonzero(scored)
-    return data, at, np.searchsorted(at, starts)
+    return data, np.flatnonzero(scored)
 
 
 def strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,6 +139,25 @@ def string_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
     return (mix(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(n_parts)).astype(np.int64)
 
 
+def word_part(words: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mix(words) % np.uint64(n_parts)).astype(np.int64)
+
+
+def phrase_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    return word_part(keys >> np.uint64(WORD_BITS), n_parts)
+
+
+def phrases(words: np.ndarray, per_text: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with ``PHRASE`` words before them in their text, and fingerprints of
+    these words (``bits`` bits) and of the word itself (``WORD_BITS``)."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    at = np.flatnonzero(place >= PHRASE)
+    context = np.zeros(len(at), np.uint64)
+    for j in range(PHRASE, 0, -1):
+        context = mix(context * np.uint64(MULTIPLIER) + words[at - j])
+    return at, context >> np.uint64(64 - bits) << np.uint64(WORD_BITS) | mix(words[at]) >> np.uint64(64 - WORD_BITS)
+
+
 def count_strings(n_parts: int):
     """Of training texts: seven-byte strings (nearest context byte first, the
     next symbol last) and words."""
@@ -116,10 +165,9 @@ def count_strings(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words, texts = Counter(), Counter(), 0
         for batch in batches:
-            for _, n, buffer, starts in blocks(batch.column(0).to_pylist()):
-                data, at, _ = layout(buffer, starts)
+            for _, n, buffer, starts in blocks(batch.column(0).to_pylist(), closing=CLOSING):
                 texts += n
-                grams.add(strings(data, at))
+                grams.add(strings(*layout(buffer, starts)))
                 words.add(hashed_words(buffer, starts)[0])
                 for kind, counter in ((GRAMS, grams), (WORDS, words)):
                     if counter.full:
@@ -130,7 +178,7 @@ def count_strings(n_parts: int):
 
     def flush(kind: int, counter: Counter) -> pa.RecordBatch:
         keys, counts = counter.take()
-        part = string_part(keys, n_parts) if kind == GRAMS else (mix(keys) % np.uint64(n_parts)).astype(np.int64)
+        part = string_part(keys, n_parts) if kind == GRAMS else word_part(keys, n_parts)
         return by_part(kind, part, n_parts, 0, keys, narrow(counts), pack=squeezed if kind == GRAMS else pack)
 
     return run
@@ -171,10 +219,20 @@ def estimates(count, total, types, low):
     return (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * low) / total
 
 
-def retained_levels(keys: np.ndarray, counts: np.ndarray, order1: np.ndarray, least: float):
+def first_orders(pairs: np.ndarray) -> np.ndarray:
+    """The distribution after each single byte; where that isn't retained, of single bytes."""
+    n = pairs.reshape(256, 256).astype(np.float64)
+    root = (n.sum(0) + 1) / (n.sum() + 256)
+    total, types = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(n > 0, n * np.log(n / total / root), 0).sum(1)
+        keep = (total[:, 0] >= LEAST) & (gain > DIVERGENCE * types[:, 0])
+        return np.where(keep[:, None], estimates(n, total, types, root), root)
+
+
+def retained_levels(keys: np.ndarray, counts: np.ndarray, order1: np.ndarray) -> Iterator[tuple]:
     """For two to DEPTH bytes: the contexts that pass the tests, their back-off
-    weights, how many symbols follow each, and these (after their context) with
-    their probabilities."""
+    weights, and the strings of them and a symbol seen after them, with its probability."""
     counts = counts.astype(np.float64)
     below = None
     for d in range(2, DEPTH + 1):
@@ -192,268 +250,273 @@ def retained_levels(keys: np.ndarray, counts: np.ndarray, order1: np.ndarray, le
         else:
             low = below[1][np.searchsorted(below[0], nearer << np.uint64(8) | symbol.astype(np.uint64))]
         gain = np.add.reduceat(n * np.log(n / total[which] / low), begin)
-        keep = (total >= least) & (gain > DIVERGENCE * types)
+        keep = (total >= LEAST) & (gain > DIVERGENCE * types)
         p = np.where(keep[which], estimates(n, total[which], types[which], low), low)
         below = both, p
         if keep.any():
             seen = keep[which]
-            yield d, context[begin][keep], DISCOUNT * types[keep] / total[keep], types[keep], both[seen], p[seen]
+            yield d, context[begin][keep], (DISCOUNT * types[keep] / total[keep]).astype(np.float32), both[seen], p[seen].astype(np.float32)
 
 
-def retained_contexts(pairs: np.ndarray, least: float):
-    order1 = first_orders(pairs, least)[1]
-
+def retained_contexts(order1: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                for d, context, back, types, both, p in retained_levels(*unsqueezed(blob), order1, least):
-                    yield packed_batch([(d, 0, 0, pack(context, back, types, (both & np.uint64(255)).astype(np.uint8), p))])
+                for d, *arrays in retained_levels(*unsqueezed(blob), order1):
+                    yield packed_batch([(d, 0, 0, pack(*arrays))])
 
     return run
 
 
-def number_of_contexts(pairs: np.ndarray, least: float):
-    order1 = first_orders(pairs, least)[1]
-
+def number_of_entries(order1: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [sum(len(x[1]) for x in retained_levels(*unsqueezed(blob), order1, least)) for blob in batch.column("blob").to_pylist()]
+            n = [sum(len(context) + len(both) for _, context, _, both, _ in retained_levels(*unsqueezed(blob), order1)) for blob in batch.column("blob").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
     return run
 
 
-def answer_strings(pairs: np.ndarray, least: float):
-    """Asked strings meet the contexts of their part; log10 probabilities go back."""
-    order1 = first_orders(pairs, least)[1]
+def joined_levels(parts: list[tuple[int, bytes]]) -> list[tuple]:
+    """The contexts of all parts, by length and in order."""
+    levels = []
+    for d in range(2, DEPTH + 1):
+        own = [unpack(blob) for depth, blob in parts if depth == d]
+        if own:
+            context, back, both, p = (np.concatenate(x) for x in zip(*own, strict=True))
+            by_context, by_string = np.argsort(context), np.argsort(both)
+            levels.append((d, context[by_context], back[by_context], both[by_string], p[by_string]))
+    return levels
+
+
+def string_logs(keys: np.ndarray, order1: np.ndarray, levels: list[tuple]) -> np.ndarray:
+    """log10 probability of the last symbol of each string, in its longest retained context."""
+    symbol = keys & np.uint64(255)
+    p = order1[(keys >> np.uint64(8 * DEPTH)).astype(np.int64), symbol.astype(np.int64)]
+    for d, contexts, back, both, own in levels:
+        context = keys >> np.uint64(8 * (DEPTH - d + 1))
+        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        on = np.flatnonzero(contexts[at] == context)
+        string = context[on] << np.uint64(8) | symbol[on]
+        spot = np.minimum(np.searchsorted(both, string), len(both) - 1)
+        p[on] = np.where(both[spot] == string, own[spot], back[at[on]] * p[on])
+    return np.log10(p)
+
+
+def phrase_states(keys: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all fingerprints in order, with their counts in training texts and the
+    share of the next word among all words: the discounted probability of the word in
+    the phrase's state, and the state's weight of what lies below (1: not retained)."""
+    context = keys >> np.uint64(WORD_BITS)
+    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    which = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(keys))))
+    n = n.astype(np.float64)
+    total = np.add.reduceat(n, begin)
+    own = np.where(n >= 2, n - DISCOUNT, 0) / np.maximum(total, 1)[which]
+    back = 1 - np.add.reduceat(own, begin)
+    gain = np.add.reduceat(n * np.log(own / share + back[which]), begin)
+    keep = (total >= LEAST_PHRASE) & (gain > DIVERGENCE * np.add.reduceat((n > 0).astype(np.int64), begin))
+    return np.where(keep[which], own, 0.0), np.where(keep, back, 1.0)[which]
+
+
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts (text, id, held out), each with a number of its own."""
+    pid, size = TaskContext.get().partitionId() << 32, 0
+    ids, held, texts = [], [], []
+
+    def done() -> pa.RecordBatch:
+        return packed_batch([(ROWS, 0, pid, pickle.dumps((pa.concat_arrays(ids), np.concatenate(held), texts), protocol=5))])
+
+    for batch in batches:
+        for first, n, buffer, starts in blocks(batch.column(0).to_pylist(), closing=CLOSING):
+            ids.append(batch.column(1).slice(first, n))
+            held.append(np.array(batch.column(2).slice(first, n).to_pylist(), bool))
+            texts.append((pa.compress(buffer, "zstd", asbytes=True), len(buffer), starts))
+            size += len(buffer)
+            if size >= CHUNK:
+                yield done()
+                pid, size, ids, held, texts = pid + 1, 0, [], [], []
+    if texts:
+        yield done()
+
+
+class Chunk:
+    """The texts of a packed row, and the sorted distinct keys that they ask for."""
+
+    def __init__(self, blob: bytes, bits: int, head: Table):
+        self.ids, self.held, texts = pickle.loads(blob)
+        self.buffers = [(pa.decompress(data, size, "zstd", asbytes=True), starts) for data, size, starts in texts]
+        spans = [hashed_spans(*b) for b in self.buffers]
+        self.words = np.concatenate([s[0] for s in spans])
+        self.per_text = np.concatenate([s[3] for s in spans])
+        self.spans = [s[1:3] for s in spans]
+        self.count = head.get(self.words)
+        self.rare = np.unique(self.words[self.count < 0])
+        self.at, keys = phrases(self.words, self.per_text, bits)
+        self.phrases, self.first, self.phrase = np.unique(keys, return_index=True, return_inverse=True)
+
+    def strings(self) -> np.ndarray:
+        counter = Counter(2_000_000)
+        for b in self.buffers:
+            counter.add(strings(*layout(*b)))
+        return counter.take()[0]
+
+    def phrase_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """In training texts; and which power of two the frequent words' counts stay below (0: rare words)."""
+        text = np.repeat(np.arange(len(self.per_text)), self.per_text)
+        n = np.bincount(self.phrase, ~self.held[text[self.at]], len(self.phrases)).astype(np.int64)
+        count = self.count[self.at[self.first]]
+        return narrow(n), np.where(count > 0, 1 + np.log2(np.maximum(count, 1)), 0).astype(np.uint8)
+
+
+_heads: dict[str, Table] = {}
+
+
+def head_of(model: dict) -> Table:
+    """The frequent words' counts; a worker keeps the last model's table."""
+    if model["id"] not in _heads:
+        _heads.clear()
+        _heads[model["id"]] = Table(*model["head"])
+    return _heads[model["id"]]
+
+
+def ask(shared, n_parts: int):
+    """What the chunks ask: sorted distinct keys, by kind and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, levels = None, []
+        model = shared.value
         for batch in batches:
-            for kind, part, pid, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if part != now:
-                    now, levels = part, []
-                if kind == GRAMS:
-                    levels = list(retained_levels(*unsqueezed(blob), order1, least))
-                    continue
-                (keys,) = unsqueezed(blob)
-                symbol = keys & np.uint64(255)
-                p = order1[(keys >> np.uint64(8 * DEPTH)).astype(np.int64), symbol.astype(np.int64)]
-                for d, contexts, back, _, both, own in levels:
-                    context = keys >> np.uint64(8 * (DEPTH - d + 1))
-                    at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-                    on = np.flatnonzero(contexts[at] == context)
-                    string = context[on] << np.uint64(8) | symbol[on]
-                    spot = np.minimum(np.searchsorted(both, string), len(both) - 1)
-                    p[on] = np.where(both[spot] == string, own[spot], back[at[on]] * p[on])
-                yield packed_batch([(ASK, 0, pid, squeezed(keys, np.log10(p).astype(np.float32)))])
+            for pid, blob in zip(batch.column("pid").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                chunk = Chunk(blob, model["bits"], head_of(model))
+                yield by_part(TAIL, word_part(chunk.rare, n_parts), n_parts, pid, chunk.rare, pack=squeezed)
+                yield by_part(PHRASES, phrase_part(chunk.phrases, n_parts), n_parts, pid, chunk.phrases, *chunk.phrase_counts(), pack=squeezed)
+                if model["levels"] is None:
+                    keys = chunk.strings()
+                    yield by_part(ASK, string_part(keys, n_parts), n_parts, pid, keys, pack=squeezed)
 
     return run
 
 
-def first_orders(pairs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distribution of single bytes; those after each byte; which of these are retained."""
-    n = pairs.reshape(256, 256).astype(np.float64)
-    root = (n.sum(0) + 1) / (n.sum() + 256)
-    total, types = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(n > 0, n * np.log(n / total / root), 0).sum(1)
-        keep = (total[:, 0] >= least) & (gain > DIVERGENCE * types[:, 0])
-        order1 = np.where(keep[:, None], estimates(n, total, types, root), root)
-    return root, order1, keep
-
-
-def build_tree(pairs: np.ndarray, least: float, levels: list[tuple]) -> dict:
-    """Nodes as arrays: parent, the byte that leads there, back-off weight, and
-    the probabilities of what was seen. Suffixes of retained contexts are
-    nodes too; without a distribution of their own they pass their parent's on."""
-    root, order1, keep = first_orders(pairs, least)
-    own: list[dict[int, tuple]] = [{} for _ in range(DEPTH + 1)]
-    own[1] = {c: (None, None, None) for c in np.flatnonzero(keep).tolist()}
-    for depth, blob in levels:
-        codes, back, types, symbols, p = unpack(blob)
-        cut = np.append(0, np.cumsum(types))
-        for i, code in enumerate(codes.tolist()):
-            own[depth][code] = back[i], symbols[cut[i] : cut[i + 1]], p[cut[i] : cut[i + 1]]
-    for d in range(DEPTH, 1, -1):
-        for code in list(own[d]):
-            own[d - 1].setdefault(code >> 8, None)
-    index, parent, byte, back, seen, symbols, p = {(0, 0): 0}, [0], [0], [1.0], [0], [], []
-    for d in range(1, DEPTH + 1):
-        for code in sorted(own[d]):
-            index[d, code] = len(parent)
-            parent.append(index[d - 1, code >> 8])
-            byte.append(code & 255)
-            b, s, q = own[d][code] or (1.0, np.zeros(0, np.uint8), np.zeros(0))
-            back.append(1.0 if b is None else b)
-            seen.append(0 if s is None else len(s))
-            if s is not None:
-                symbols.append(s)
-                p.append(q)
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return {
-        "parent": np.array(parent, np.int32), "byte": np.array(byte, np.uint8), "back": np.array(back), "seen": np.array(seen, np.int32),
-        "symbols": join(symbols, np.uint8), "p": join(p, np.float64), "root": root, "order1": order1, "kept1": keep, "depth1": sorted(own[1]),
-    }
-
-
-class Scorer:
-    """The tree as tables of transitions and log10 probabilities by (node, byte class).
-
-    Bytes that training never had share a class, as each has the same probability."""
-
-    def __init__(self, tree: dict):
-        n = len(tree["parent"])
-        rare = tree["root"].min()
-        common = np.flatnonzero(tree["root"] > rare)
-        self.classes = np.zeros(256, np.int64)
-        self.classes[common] = np.arange(1, len(common) + 1)
-        self.width = len(common) + 1
-        of_class = np.append(rare, tree["root"][common])
-        p = np.empty((n, self.width))
-        p[0] = of_class
-        self.next = np.full(n * self.width, -1, np.int32)
-        self.next[tree["parent"][1:].astype(np.int64) * self.width + self.classes[tree["byte"][1:]]] = np.arange(1, n)
-        at = np.append(0, np.cumsum(tree["seen"]))
-        unseen = int(np.flatnonzero(tree["root"] == rare)[0]) if (tree["root"] == rare).any() else 0
-        for i in range(1, n):
-            up = tree["parent"][i]
-            if up == 0:
-                row = tree["order1"][tree["byte"][i]]
-                p[i, 0], p[i, 1:] = row[unseen], row[common]
-            else:
-                p[i] = tree["back"][i] * p[up]
-                own = slice(at[i], at[i + 1])
-                p[i, self.classes[tree["symbols"][own]]] = tree["p"][own]
-        self.log = np.log10(p).astype(np.float32).ravel()
-
-    def scores(self, data: np.ndarray, at: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        symbol = self.classes[data]
-        node = np.zeros(len(at), np.int64)
-        active = np.arange(len(at))
-        for d in range(1, DEPTH + 1):
-            if not len(active):
-                break
-            to = self.next.take(node[active] * self.width + symbol[at[active] - d])
-            on = to >= 0
-            active = active[on]
-            node[active] = to[on]
-        logs = self.log.take(node * self.width + symbol[at]).astype(np.float64)
-        return np.add.reduceat(logs, firsts)
-
-
-_cache: dict[str, tuple[Scorer, Table]] = {}
-
-
-def score_texts(shared, n_parts: int):
-    """Scores of texts and the base score of frequent words; other words go
-    out by part, packed with the rows they stand in. Where the tree isn't
-    broadcast, distinct strings go out by part, and texts with their rows."""
+def answer(order1: np.ndarray, n_train: int, rare_share: float):
+    """Asked keys meet the counts of their part, which come first; values go back
+    in the order of the keys."""
+
+    def of_phrases(part: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        arrays = [unsqueezed(blob) for _, blob in asked]
+        keys = np.concatenate([a[0] for a in arrays])
+        distinct, which = np.unique(keys, return_inverse=True)
+        n = np.bincount(which, np.concatenate([a[1] for a in arrays]).astype(np.float64))
+        level = np.zeros(len(distinct), np.int64)
+        np.maximum.at(level, which, np.concatenate([a[2] for a in arrays]).astype(np.int64))
+        share = np.minimum(np.where(level > 0, 2.0**level / max(1, n_train), rare_share), 1.0)
+        own, back = phrase_states(distinct, n, share)
+        end = 0
+        for (pid, _), a in zip(asked, arrays, strict=True):
+            mine = which[end : (end := end + len(a[0]))]
+            on = np.flatnonzero(back[mine] < 1)
+            yield packed_batch([(PHRASES, part, pid, squeezed(on.astype(np.uint32), own[mine[on]].astype(np.float32), back[mine[on]].astype(np.float32)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if model["id"] not in _cache:
-            _cache.clear()
-            _cache[model["id"]] = model["tree"] and Scorer(model["tree"]), Table(*model["head"])
-        scorer, head = _cache[model["id"]]
-        chunk = TaskContext.get().partitionId() << 32
-        columns: list[tuple] = []
-        tail: list[tuple] = []
-        texts: list[tuple] = []
-        asked = Counter(2_000_000)
-        row = size = 0
+        now, levels, counts, asked = None, [], (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
         for batch in batches:
-            ids, held = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for first, n, buffer, starts in blocks(batch.column(0).to_pylist()):
-                data, at, firsts = layout(buffer, starts)
-                if scorer:
-                    score = scorer.scores(data, at, firsts)
+            for kind, part, pid, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part != now:
+                    if asked:
+                        yield from of_phrases(now, asked)
+                    now, levels, counts, asked = part, [], (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+                if kind == GRAMS:
+                    levels = list(retained_levels(*unsqueezed(blob), order1))
+                elif kind == WORDS:
+                    counts = unpack(blob)
+                elif kind == PHRASES:
+                    asked.append((pid, blob))
+                elif kind == ASK:
+                    (keys,) = unsqueezed(blob)
+                    yield packed_batch([(ASK, part, pid, dense(string_logs(keys, order1, levels).astype(np.float32)))])
                 else:
-                    score = np.zeros(n)
-                    asked.add(strings(data, at))
-                    texts.append((pa.compress(buffer, "zstd", asbytes=True), len(buffer), starts))
-                words, per_text = hashed_words(buffer, starts)
-                of = np.repeat(np.arange(n), per_text)
-                count = head.get(words)
-                known = count >= 0
-                base = np.bincount(of[known], np.log10(count[known] + 1.0), n).astype(np.float64)  # integers where nothing is known
-                tail.append((words[~known], (of[~known] + row).astype(np.int32)))
-                some = [i is None for i in ids[first : first + n]]
-                columns.append((np.array([i or 0 for i in ids[first : first + n]], np.int64), np.array(some), np.array(held[first : first + n]), per_text + 1, np.bincount(of[known], minlength=n), base, score))
-                row, size = row + n, size + len(data)
-                if size >= CHUNK:
-                    yield from flush(chunk, columns, tail, asked, texts)
-                    chunk, columns, tail, texts, row, size = chunk + 1, [], [], [], 0, 0
-        if columns:
-            yield from flush(chunk, columns, tail, asked, texts)
-
-    def flush(chunk: int, columns: list[tuple], tail: list[tuple], asked: Counter, texts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words, rows = (np.concatenate(x) for x in zip(*tail, strict=True))
-        yield by_part(TAIL, (mix(words) % np.uint64(n_parts)).astype(np.int64), n_parts, chunk, words, rows)
-        keys, _ = asked.take()
-        yield by_part(ASK, string_part(keys, n_parts), n_parts, chunk, keys, pack=squeezed)
-        yield packed_batch([(ROWS, 0, chunk, pack(*(np.concatenate(x) for x in zip(*columns, strict=True)), *texts))])
+                    (words,) = unsqueezed(blob)
+                    keys, n = counts
+                    at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
+                    found = np.where(keys[at] == words, n[at], 0) if len(keys) else np.zeros(len(words), np.int64)
+                    yield packed_batch([(TAIL, part, pid, dense(narrow(found.astype(np.int64))))])
+        if asked:
+            yield from of_phrases(now, asked)
 
     return run
 
 
-def count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rare words meet their counts; sums go back to the rows' chunk by row."""
-    now, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        for kind, part, pid, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if part != now:
-                now, keys, counts = part, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            if kind == WORDS:
-                keys, counts = unpack(blob)
-                continue
-            words, rows = unpack(blob)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                found = keys[at] == words
-                rows, c = rows[found], counts[at[found]]
-            else:
-                rows, c = rows[:0], counts[:0]
-            own, n = counted(rows)
-            sums = np.bincount(np.searchsorted(own, rows), np.log10(c + 1.0), len(own)).astype(np.float64)
-            yield packed_batch([(TAIL, 0, pid, pack(own, n, sums))])
-
-
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, per_token double, n_in_phrase long"
 
 
-def finish(ends: int, n_train: int, n_types: int):
-    """Join each chunk's packed rows with the sums of their rare words and the
-    probabilities of their strings; rows come last in a chunk."""
+def finish(shared, n_parts: int, ends: int, n_train: int, n_types: int):
+    """Texts meet the answers to what their chunk asked; texts come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        answers: list[tuple] = []
+        answers: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for kind, part, blob in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if kind != ROWS:
-                    (parts.append(unpack(blob)) if kind == TAIL else answers.append(unsqueezed(blob)))
+                    answers.setdefault(kind, []).append((part, blob))
                     continue
-                ids, nulls, held, tokens, known, base, score, *texts = unpack(blob)
-                if texts:
-                    keys, logs = (np.concatenate(x) for x in zip(*answers, strict=True))
-                    order = np.argsort(keys)
-                    keys, logs = keys[order], logs[order].astype(np.float64)
-                    of_block = []
-                    for text, n, starts in texts:
-                        data, at, firsts = layout(pa.decompress(text, n, "zstd", asbytes=True), starts)
-                        of_block.append(np.add.reduceat(logs[np.searchsorted(keys, strings(data, at))], firsts))
-                    score, answers = np.concatenate(of_block), []
-                for own, n, sums in parts:
-                    known[own] += n
-                    base[own] += sums
-                parts = []
-                known = known + (ends > 0)
-                base = base + np.log10(ends + 1.0) - tokens * np.log10(n_train + n_types + 1.0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=nulls), pa.array(held), pa.array(tokens), pa.array(known), pa.array(np.full(len(ids), n_train)), pa.array(base), pa.array(np.round(score, 6))],
-                    [x.split()[0] for x in RESULT.split(", ")],
-                )
+                yield scored(shared.value, blob, answers)
+                answers = {}
+
+    def scored(model: dict, blob: bytes, answers: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
+        chunk = Chunk(blob, model["bits"], head_of(model))
+        n_texts = len(chunk.per_text)
+        of = np.repeat(np.arange(n_texts), chunk.per_text)
+
+        rare = np.zeros(len(chunk.rare), np.int64)
+        order, cut = part_slices(word_part(chunk.rare, n_parts), n_parts)
+        for part, values in answers.get(TAIL, []):
+            rare[order[cut[part] : cut[part + 1]]] = undense(values)[0]
+        count = chunk.count
+        unknown = count < 0
+        count[unknown] = rare[np.searchsorted(chunk.rare, chunk.words[unknown])]
+
+        logs = byte_logs(model, chunk, answers.get(ASK, []))
+        word_logs, end_logs = (np.concatenate(x) for x in zip(*logs, strict=True))
+        own, back = np.zeros(len(chunk.phrases)), np.ones(len(chunk.phrases))
+        order, cut = part_slices(phrase_part(chunk.phrases, n_parts), n_parts)
+        for part, values in answers.get(PHRASES, []):
+            on, a, b = unsqueezed(values)
+            at = order[cut[part] : cut[part + 1]][on]
+            own[at], back[at] = a, b
+        own, back = own[chunk.phrase], back[chunk.phrase]
+        on = np.flatnonzero(back < 1)
+        at = chunk.at[on]
+        word_logs[at] = np.log10(own[on] + back[on] * 10.0 ** word_logs[at])
+
+        tokens = chunk.per_text + 1
+        score = np.bincount(of, word_logs, n_texts) + end_logs
+        base = np.bincount(of, np.log10(count + 1.0), n_texts) + np.log10(ends + 1.0) - tokens * np.log10(n_train + n_types + 1.0)
+        known = np.bincount(of, count > 0, n_texts).astype(np.int64) + (ends > 0)
+        columns = [pa.array(chunk.held), pa.array(tokens), pa.array(known), pa.array(np.full(n_texts, n_train)), pa.array(base), pa.array(np.round(score, 6))]
+        columns += [pa.array(np.round(score / tokens, 6)), pa.array(np.bincount(of[at], minlength=n_texts))]
+        return pa.RecordBatch.from_arrays([chunk.ids, *columns], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
+
+    def byte_logs(model: dict, chunk: Chunk, asked: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """log10 probability of every word with its space, and of the texts' ends."""
+        if model["levels"] is None:
+            keys = chunk.strings()
+            logs = np.zeros(len(keys))
+            order, cut = part_slices(string_part(keys, n_parts), n_parts)
+            for part, values in asked:
+                logs[order[cut[part] : cut[part + 1]]] = undense(values)[0]
+        for (buffer, starts), (begin, end) in zip(chunk.buffers, chunk.spans, strict=True):
+            data, at = layout(buffer, starts)
+            own = strings(data, at)
+            if model["levels"] is None:
+                of_position = logs[np.searchsorted(keys, own)]
+            else:
+                distinct, which = np.unique(own, return_inverse=True)
+                of_position = string_logs(distinct, model["order1"], model["levels"])[which]
+            so_far = np.zeros(len(data) + 1)
+            so_far[at + 1] = of_position
+            feeds = np.append(starts[1:] - PAD, len(data))  # right behind the texts' ends
+            of_end = so_far[feeds]
+            np.cumsum(so_far, out=so_far)
+            yield so_far[end + 1] - so_far[begin], of_end
 
     return run
 
@@ -463,12 +526,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def suffix_tree_scores(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id long, text) → the columns of ``RESULT``, learning from
-    the documents that aren't held out."""
+    """``docs`` (doc_id, text) → doc_id and the columns of ``RESULT``, learning
+    from the documents that aren't held out. ``per_token`` is the score of a token
+    on average, ``n_in_phrase`` the number of words that were scored after a
+    retained phrase."""
     spark = docs.sparkSession
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"))
+    texts = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("held"))
     counts = texts.where("not held").select("text").mapInArrow(lean(count_strings(n_parts)), PACKED)
     dealt = counts.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part")
     merged = written(dealt.mapInArrow(lean(merge_or_keep), PACKED), "suffix-counts")
@@ -477,14 +542,12 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     pairs = np.zeros(1 << 16, np.int64)
     for x in grams.mapInArrow(lean(two_byte_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         pairs[x.pair] = x.n
+    order1 = first_orders(pairs)
     ends = sum(int(unpack(x.blob)[0].sum()) for x in merged.where(F.col("kind") == ROWS).collect())  # one row a part
-    least = float(LEAST)
-    contexts = grams.mapInArrow(lean(number_of_contexts(pairs, least)), "n long").agg(F.sum("n")).first()[0] or 0
-    tree = None
-    if contexts <= NODES:
-        levels = [(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(pairs, least)), PACKED).collect()]
-        levels.sort()
-        tree = build_tree(pairs, least, levels)
+    entries = grams.mapInArrow(lean(number_of_entries(order1)), "n long").agg(F.sum("n")).first()[0] or 0
+    levels = None
+    if entries <= ENTRIES:
+        levels = joined_levels([(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(order1)), PACKED).collect()])
 
     sizes = words.mapInArrow(lean(count_of_counts), "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 64 * 16 rows at most
     n_types = sum(x.types for x in sizes) + (ends > 0)
@@ -498,16 +561,18 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     head = [unpack(x.blob) for x in words.mapInArrow(lean(frequent_words(floor)), PACKED).collect()] if floor is not None else []  # HEAD words at most
     keys = np.concatenate([x[0] for x in head]) if head else np.zeros(0, np.uint64)
     values = np.concatenate([x[1] for x in head]).astype(np.int64) if head else np.zeros(0, np.int64)
-    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "tree": tree, "head": (keys, values)})
-
-    scored = written(texts.mapInArrow(lean(score_texts(shared, n_parts)), PACKED), "suffix-scores")
-    tails = words.unionByName(scored.where(F.col("kind") == TAIL)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    back = tails.mapInArrow(lean(count_tails), PACKED)
-    if tree is None:
-        asked = grams.unionByName(scored.where(F.col("kind") == ASK)).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-        back = back.unionByName(asked.mapInArrow(lean(answer_strings(pairs, least)), PACKED))
-    rows = back.unionByName(scored.where(F.col("kind") == ROWS)).repartition(n_parts, "pid").sortWithinPartitions("pid", "kind")
-    return rows.mapInArrow(lean(finish(ends, n_train, n_types)), RESULT)
+    rarest = max((x.bits for x in sizes), default=0) + 1 if floor is None else floor  # rare words' counts stay below 2 ** (rarest / 16)
+    bits = min(64 - WORD_BITS, max(32, n_train.bit_length() + CONTEXT_BITS))
+    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "bits": bits, "order1": order1, "levels": levels, "head": (keys, values)})
+
+    chunks = written(texts.mapInArrow(lean(pack_texts), PACKED), "suffix-chunks")
+    asked = chunks.mapInArrow(lean(ask(shared, n_parts)), PACKED)
+    asked = asked.unionByName(words if levels is not None else words.unionByName(grams))
+    met = asked.repartition(n_parts, "part").sortWithinPartitions("part", "kind", "pid")
+    answers = met.mapInArrow(lean(answer(order1, n_train, 2.0 ** (rarest / 16) / max(1, n_train))), PACKED)
+    rows = answers.unionByName(chunks).repartition(n_parts, "pid").sortWithinPartitions("pid", "kind")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(lean(finish(shared, n_parts, ends, n_train, n_types)), f"doc_id {id_type}, {RESULT}")
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:

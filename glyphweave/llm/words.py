@@ -41,16 +41,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def blocks(texts: Iterable[str | None], lower: bool = True, table: bytes | None = None) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def blocks(texts: Iterable[str | None], lower: bool = True, table: bytes | None = None, closing: bytes = b"") -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first text, number of texts, buffer, where each text's words begin).
 
-    ``table`` translates bytes before the split."""
+    ``table`` translates bytes before the split; ``closing`` follows the last word."""
     first, parts, size, starts = 0, [b"\n"], 1, []
     n = 0
     for text in texts:
         raw = (text or "").encode()
         raw = raw.lower() if lower else raw
         words = b" ".join((raw.translate(table) if table else raw).split())
+        words += closing if words else b""
         starts.append(size + PAD)
         parts.append(b"\n" * PAD + words + b"\n")
         size += PAD + len(words) + 1

@@ -1,6 +1,7 @@
 """Language model, quality, toxicity, token counts, secrets."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -41,10 +42,11 @@ def test_rare_words_reach_their_counts_without_a_broadcast_head(docs, monkeypatc
     assert sorted((key_of(r.doc_id), r.n_known, round(r.base_score, 6)) for r in lm.suffix_tree_scores(docs).collect()) == want
 
 
-def plain_tree_score(texts, text, least):
+def plain_tree_score(texts, text):
     """The tree again, over dictionaries."""
     count = [Counter() for _ in range(lm.DEPTH + 1)]
-    seq = lambda t: b" ".join((t or "").encode().lower().split()) + b"\n"
+    split = lambda t: (t or "").encode().lower().split()
+    seq = lambda t: b"".join(w + b" " for w in split(t)) + b"\n"
     for t in texts:
         s = b"\n" * lm.DEPTH + seq(t)
         for i in range(lm.DEPTH, len(s)):
@@ -75,24 +77,65 @@ def plain_tree_score(texts, text, least):
         d = len(ctx)
         if ctx not in kept[d]:
             n = total[d][ctx]
-            ok = n >= least
+            ok = n >= lm.LEAST
             if ok:
                 gain = sum(count[d][ctx, s] * math.log(count[d][ctx, s] / n / p(ctx[1:], s)) for s in follow[d][ctx])
                 ok = gain > lm.DIVERGENCE * types[d][ctx]
             kept[d][ctx] = ok
         return kept[d][ctx]
 
-    s = b"\n" * lm.DEPTH + seq(text)
-    return sum(math.log10(p(s[i - lm.DEPTH : i], s[i])) for i in range(lm.DEPTH, len(s)))
-
-
-def test_suffix_tree_matches_plain_tree(spark):
+    # phrases
+    words = Counter(w for t in texts for w in split(t))
+    tokens = sum(words.values()) + len(texts)
+    after = {}
+    for t in texts:
+        w = split(t)
+        for i in range(lm.PHRASE, len(w)):
+            after.setdefault(tuple(w[i - lm.PHRASE : i]), Counter())[w[i]] += 1
+
+    def state(phrase):
+        next_words = after.get(phrase, Counter())
+        n = sum(next_words.values())
+        own = {w: (c - lm.DISCOUNT) / n for w, c in next_words.items() if c >= 2}
+        back = 1 - sum(own.values())
+        share = lambda w: min(1.0, 2 ** (1 + int(math.log2(words[w]))) / tokens)
+        gain = sum(c * math.log(own.get(w, 0) / share(w) + back) for w, c in next_words.items())
+        return (own, back) if n >= lm.LEAST_PHRASE and gain > lm.DIVERGENCE * len(next_words) else None
+
+    s, at, score, n_in_phrase = b"\n" * lm.DEPTH + seq(text), lm.DEPTH, 0.0, 0
+    w = split(text)
+    for k, word in enumerate([*w, None]):
+        size = 1 if word is None else len(word) + 1
+        log = sum(math.log10(p(s[i - lm.DEPTH : i], s[i])) for i in range(at, at + size))
+        at += size
+        found = state(tuple(w[k - lm.PHRASE : k])) if word is not None and k >= lm.PHRASE else None
+        if found:
+            n_in_phrase += 1
+            log = math.log10(found[0].get(word, 0) + found[1] * 10**log)
+        score += log
+    return score, n_in_phrase
+
+
+def in_training(i):
+    return zlib.crc32(str(i).encode()) % 7 != 2
+
+
+@pytest.mark.parametrize("entries", [lm.ENTRIES, -1])
+def test_suffix_tree_matches_plain_tree(spark, monkeypatch, entries):
+    """States of bytes and of phrases, with the byte states broadcast and asked."""
+    monkeypatch.setattr(lm, "ENTRIES", entries)
+    monkeypatch.setattr(lm, "CHUNK", 3000)
     draw = random.Random(4)
     rows = [(i, prose(draw, 25)) for i in range(60)]
-    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    got = {r.doc_id: r.score for r in lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, t in rows[::9] + [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2][:3]:
-        assert got[i] == pytest.approx(plain_tree_score(train, t, lm.LEAST), abs=2e-3)
+    rows += [(60 + k, prose(draw, 4) + " " + rows[k % 7][1] + " " + prose(draw, 3)) for k in range(24)] + [(99, None), (100, "")]
+    train = [t for i, t in rows if in_training(i)]
+    table = spark.createDataFrame([(str(i), t, 1) for i, t in rows], "doc_id string, text string, score int")
+    got = {r.doc_id: r for r in lm.suffix_tree_scores(table.drop("score")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows[::9] + rows[60:70] + rows[-2:] + [r for r in rows if not in_training(r[0])][:3]:
+        score, n_in_phrase = plain_tree_score(train, t)
+        assert got[str(i)].score == pytest.approx(score, abs=2e-3) and got[str(i)].n_in_phrase == n_in_phrase
+    assert sum(r.n_in_phrase for r in got.values()) > 300
 
 
 def test_rare_contexts_stay_in_a_larger_corpus(spark):
@@ -100,23 +143,30 @@ def test_rare_contexts_stay_in_a_larger_corpus(spark):
     draw = random.Random(5)
     filler = prose(draw, 400)
     rows = [(i, filler * 16 + (" zqxjkv" if i % 4 == 0 else "")) for i in range(50)]
-    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    train = [t for i, t in rows if in_training(i)]
     assert 1e-5 * sum(map(len, train)) > lm.LEAST and 8 <= sum("zqx" in t for t in train) < 1e-5 * sum(map(len, train))
     rows.append((50, "zqxjkv zqxjkv"))
-    train += ["zqxjkv zqxjkv"] if zlib.crc32(b"50") % 7 != 2 else []
+    train += ["zqxjkv zqxjkv"] if in_training(50) else []
     got = {r.doc_id: r.score for r in lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[50] == pytest.approx(plain_tree_score(train, "zqxjkv zqxjkv", lm.LEAST), abs=2e-3)
+    assert got[50] == pytest.approx(plain_tree_score(train, "zqxjkv zqxjkv")[0], abs=2e-3)
 
 
-def test_scores_without_a_broadcast_tree(docs, spark, monkeypatch):
-    draw = random.Random(9)
-    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, prose(draw, 60)) for i in range(90)], "doc_id long, text string"))
-    want = sorted((key_of(r.doc_id), r.n_tokens, r.score) for r in lm.suffix_tree_scores(table).collect())
-    monkeypatch.setattr(lm, "NODES", -1)
-    monkeypatch.setattr(lm, "CHUNK", 3000)
-    got = sorted((key_of(r.doc_id), r.n_tokens, r.score) for r in lm.suffix_tree_scores(table).collect())
-    assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-4)
+def test_a_text_seen_twice_scores_apart(spark):
+    draw = random.Random(13)
+    texts = [prose(draw, 60) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200 + i, t) for i, t in enumerate(texts[:20])]
+    got = {r.doc_id: r.per_token for r in lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [got[i] for i in range(20) if in_training(i) and in_training(200 + i)]
+    once = [got[i] for i in range(20, 80)]
+    assert len(twice) >= 10 and min(twice) > max(once) + 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables aren't here")
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_held_out_scores_beat_the_base(spark, size):
+    rows = lm.op1(spark, f"/root/testdata/{size}").where("held_out")
+    score, base = rows.agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > base
 
 
 def test_models_take_empty_tables(spark, no_docs):
