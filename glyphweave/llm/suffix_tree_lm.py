@@ -62,7 +62,8 @@ DISCOUNT = 0.75
 DIVERGENCE = 3.0  # nats for each symbol seen after the state
 HEAD = 500_000
 ENTRIES = 4_000_000  # byte states and strings that are broadcast at most
-CHUNK = 8_000_000  # bytes of text that are scored together
+CHUNK, BY_PART = 3_000_000, 1000  # bytes of text that are scored together: so many, or so many for each part if that is more
+COUNTED = 2_000_000  # keys that a task counts before it passes their sums on
 CONTEXT_BITS, WORD_BITS = 8, 12  # of a phrase's fingerprint: beyond the corpus's tokens, and for the next word
 GRAMS, WORDS, TAIL, ASK, PHRASES, ROWS = range(6)
 CLOSING = b" "
@@ -127,16 +128,28 @@ def layout(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The symbol at each position (last) after its context (nearest byte first)."""
-    key = data[at].astype(np.uint64)
-    for d in range(1, DEPTH + 1):
-        key |= data[at - d].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
-    return key
+    """The symbol at each position, after it its context (nearest byte first), as one number."""
+    words = np.zeros(len(data), np.uint64)  # eight bytes that begin DEPTH before a position
+    for shift in range(8):
+        own = data[shift : shift + (len(data) - shift) // 8 * 8].view("<u8")
+        words[shift + DEPTH :: 8][: len(own)] = own
+    for i in range(max(DEPTH, len(data) - 7 + DEPTH), len(data)):  # fewer than eight bytes are left
+        words[i] = int.from_bytes(data[i - DEPTH : i + 1].tobytes(), "little")
+    return words[at] & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
 
 
-def string_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
+def context_first(keys: np.ndarray) -> np.ndarray:
+    """Strings with the symbol last, so that those of one context follow each other."""
+    return keys << np.uint64(8) & np.uint64((1 << 8 * (DEPTH + 1)) - 1) | keys >> np.uint64(8 * DEPTH)
+
+
+def string_part(context: np.ndarray, n_parts: int) -> np.ndarray:
     """Strings are dealt by their two nearest context bytes, so that a part holds whole subtrees."""
-    return (mix(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(n_parts)).astype(np.int64)
+    return (mix(context >> np.uint64(8 * (DEPTH - 2))) % np.uint64(n_parts)).astype(np.int64)
+
+
+def asked_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    return string_part(keys & np.uint64((1 << 8 * DEPTH) - 1), n_parts)
 
 
 def word_part(words: np.ndarray, n_parts: int) -> np.ndarray:
@@ -163,11 +176,11 @@ def count_strings(n_parts: int):
     next symbol last) and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words, texts = Counter(), Counter(), 0
+        grams, words, texts = Counter(COUNTED), Counter(COUNTED), 0
         for batch in batches:
             for _, n, buffer, starts in blocks(batch.column(0).to_pylist(), closing=CLOSING):
                 texts += n
-                grams.add(strings(*layout(buffer, starts)))
+                grams.add(context_first(strings(*layout(buffer, starts))))
                 words.add(hashed_words(buffer, starts)[0])
                 for kind, counter in ((GRAMS, grams), (WORDS, words)):
                     if counter.full:
@@ -178,7 +191,7 @@ def count_strings(n_parts: int):
 
     def flush(kind: int, counter: Counter) -> pa.RecordBatch:
         keys, counts = counter.take()
-        part = string_part(keys, n_parts) if kind == GRAMS else word_part(keys, n_parts)
+        part = string_part(keys >> np.uint64(8), n_parts) if kind == GRAMS else word_part(keys, n_parts)
         return by_part(kind, part, n_parts, 0, keys, narrow(counts), pack=squeezed if kind == GRAMS else pack)
 
     return run
@@ -186,7 +199,7 @@ def count_strings(n_parts: int):
 
 def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum packed counts that come sorted by (kind, part)."""
-    now, counter = None, Counter()
+    now, counter = None, Counter(COUNTED)
 
     def done() -> pa.RecordBatch:
         keys, counts = counter.take()
@@ -290,17 +303,24 @@ def joined_levels(parts: list[tuple[int, bytes]]) -> list[tuple]:
 
 
 def string_logs(keys: np.ndarray, order1: np.ndarray, levels: list[tuple]) -> np.ndarray:
-    """log10 probability of the last symbol of each string, in its longest retained context."""
-    symbol = keys & np.uint64(255)
-    p = order1[(keys >> np.uint64(8 * DEPTH)).astype(np.int64), symbol.astype(np.int64)]
+    """log10 probability of the first symbol of each string (in order), in its
+    longest retained context. Strings that agree that far share a length's search."""
+    heads = np.flatnonzero(np.append(True, keys[1:] >> np.uint64(8 * (DEPTH - 1)) != keys[:-1] >> np.uint64(8 * (DEPTH - 1))))
+    pair = (keys[heads] >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
+    p = order1[pair & 255, pair >> 8]
     for d, contexts, back, both, own in levels:
-        context = keys >> np.uint64(8 * (DEPTH - d + 1))
+        beyond = np.uint64(8 * (DEPTH - d))
+        short = keys >> beyond
+        here = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
+        p, heads = p[np.searchsorted(heads, here, side="right") - 1], here
+        short = short[here]
+        context, symbol = short & np.uint64((1 << 8 * d) - 1), short >> np.uint64(8 * d)
         at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
         on = np.flatnonzero(contexts[at] == context)
         string = context[on] << np.uint64(8) | symbol[on]
         spot = np.minimum(np.searchsorted(both, string), len(both) - 1)
         p[on] = np.where(both[spot] == string, own[spot], back[at[on]] * p[on])
-    return np.log10(p)
+    return np.repeat(np.log10(p), np.diff(np.append(heads, len(keys)))) if len(keys) else np.zeros(0)
 
 
 def phrase_states(keys: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,25 +339,28 @@ def phrase_states(keys: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[n
     return np.where(keep[which], own, 0.0), np.where(keep, back, 1.0)[which]
 
 
-def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_texts(most: int):
     """Chunks of texts (text, id, held out), each with a number of its own."""
-    pid, size = TaskContext.get().partitionId() << 32, 0
-    ids, held, texts = [], [], []
 
-    def done() -> pa.RecordBatch:
+    def done(pid: int, ids: list, held: list, texts: list) -> pa.RecordBatch:
         return packed_batch([(ROWS, 0, pid, pickle.dumps((pa.concat_arrays(ids), np.concatenate(held), texts), protocol=5))])
 
-    for batch in batches:
-        for first, n, buffer, starts in blocks(batch.column(0).to_pylist(), closing=CLOSING):
-            ids.append(batch.column(1).slice(first, n))
-            held.append(np.array(batch.column(2).slice(first, n).to_pylist(), bool))
-            texts.append((pa.compress(buffer, "zstd", asbytes=True), len(buffer), starts))
-            size += len(buffer)
-            if size >= CHUNK:
-                yield done()
-                pid, size, ids, held, texts = pid + 1, 0, [], [], []
-    if texts:
-        yield done()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, size = TaskContext.get().partitionId() << 32, 0
+        ids, held, texts = [], [], []
+        for batch in batches:
+            for first, n, buffer, starts in blocks(batch.column(0).to_pylist(), closing=CLOSING):
+                ids.append(batch.column(1).slice(first, n))
+                held.append(np.array(batch.column(2).slice(first, n).to_pylist(), bool))
+                texts.append((pa.compress(buffer, "zstd", asbytes=True), len(buffer), starts))
+                size += len(buffer)
+                if size >= most:
+                    yield done(pid, ids, held, texts)
+                    pid, size, ids, held, texts = pid + 1, 0, [], [], []
+        if texts:
+            yield done(pid, ids, held, texts)
+
+    return run
 
 
 class Chunk:
@@ -353,7 +376,7 @@ class Chunk:
         self.count = head.get(self.words)
         self.rare = np.unique(self.words[self.count < 0])
         self.at, keys = phrases(self.words, self.per_text, bits)
-        self.phrases, self.first, self.phrase = np.unique(keys, return_index=True, return_inverse=True)
+        self.phrases, self.phrase = np.unique(keys, return_inverse=True)
 
     def strings(self) -> np.ndarray:
         counter = Counter(2_000_000)
@@ -365,8 +388,10 @@ class Chunk:
         """In training texts; and which power of two the frequent words' counts stay below (0: rare words)."""
         text = np.repeat(np.arange(len(self.per_text)), self.per_text)
         n = np.bincount(self.phrase, ~self.held[text[self.at]], len(self.phrases)).astype(np.int64)
-        count = self.count[self.at[self.first]]
-        return narrow(n), np.where(count > 0, 1 + np.log2(np.maximum(count, 1)), 0).astype(np.uint8)
+        level = np.zeros(len(self.phrases), np.uint8)
+        count = self.count[self.at]
+        level[self.phrase] = np.where(count > 0, 1 + np.log2(np.maximum(count, 1)), 0).astype(np.uint8)
+        return narrow(n), level
 
 
 _heads: dict[str, Table] = {}
@@ -392,7 +417,7 @@ def ask(shared, n_parts: int):
                 yield by_part(PHRASES, phrase_part(chunk.phrases, n_parts), n_parts, pid, chunk.phrases, *chunk.phrase_counts(), pack=squeezed)
                 if model["levels"] is None:
                     keys = chunk.strings()
-                    yield by_part(ASK, string_part(keys, n_parts), n_parts, pid, keys, pack=squeezed)
+                    yield by_part(ASK, asked_part(keys, n_parts), n_parts, pid, keys, pack=squeezed)
 
     return run
 
@@ -402,17 +427,19 @@ def answer(order1: np.ndarray, n_train: int, rare_share: float):
     in the order of the keys."""
 
     def of_phrases(part: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        arrays = [unsqueezed(blob) for _, blob in asked]
-        keys = np.concatenate([a[0] for a in arrays])
-        distinct, which = np.unique(keys, return_inverse=True)
-        n = np.bincount(which, np.concatenate([a[1] for a in arrays]).astype(np.float64))
-        level = np.zeros(len(distinct), np.int64)
-        np.maximum.at(level, which, np.concatenate([a[2] for a in arrays]).astype(np.int64))
-        share = np.minimum(np.where(level > 0, 2.0**level / max(1, n_train), rare_share), 1.0)
-        own, back = phrase_states(distinct, n, share)
+        keys, n, level = (np.concatenate(x) for x in zip(*(unsqueezed(blob) for _, blob in asked), strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, n, level = keys[begin], np.add.reduceat(n[order], begin, dtype=np.int64), np.maximum.reduceat(level[order], begin)
+        which = np.empty(len(order), np.int32)
+        which[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(order))))
+        del order, begin
+        share = np.minimum(np.where(level > 0, np.exp2(level, dtype=np.float64) / max(1, n_train), rare_share), 1.0)
+        own, back = phrase_states(keys, n, share)
         end = 0
-        for (pid, _), a in zip(asked, arrays, strict=True):
-            mine = which[end : (end := end + len(a[0]))]
+        for pid, blob in asked:
+            mine = which[end : (end := end + len(undense(blob)[0]))]
             on = np.flatnonzero(back[mine] < 1)
             yield packed_batch([(PHRASES, part, pid, squeezed(on.astype(np.uint32), own[mine[on]].astype(np.float32), back[mine[on]].astype(np.float32)))])
 
@@ -500,7 +527,7 @@ def finish(shared, n_parts: int, ends: int, n_train: int, n_types: int):
         if model["levels"] is None:
             keys = chunk.strings()
             logs = np.zeros(len(keys))
-            order, cut = part_slices(string_part(keys, n_parts), n_parts)
+            order, cut = part_slices(asked_part(keys, n_parts), n_parts)
             for part, values in asked:
                 logs[order[cut[part] : cut[part + 1]]] = undense(values)[0]
         for (buffer, starts), (begin, end) in zip(chunk.buffers, chunk.spans, strict=True):
@@ -565,7 +592,7 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     bits = min(64 - WORD_BITS, max(32, n_train.bit_length() + CONTEXT_BITS))
     shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "bits": bits, "order1": order1, "levels": levels, "head": (keys, values)})
 
-    chunks = written(texts.mapInArrow(lean(pack_texts), PACKED), "suffix-chunks")
+    chunks = written(texts.mapInArrow(lean(pack_texts(max(CHUNK, BY_PART * n_parts))), PACKED), "suffix-chunks")
     asked = chunks.mapInArrow(lean(ask(shared, n_parts)), PACKED)
     asked = asked.unionByName(words if levels is not None else words.unionByName(grams))
     met = asked.repartition(n_parts, "part").sortWithinPartitions("part", "kind", "pid")
