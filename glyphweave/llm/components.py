@@ -28,3 +28,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "component")
         if not changed:
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame, broadcast: int = 1_000_000) -> DataFrame:
+    """``labels`` (node, component) after more ``links`` (a, b): only the
+    components that these touch are worked on."""
+    links = links.select("a", "b").distinct()
+    sided = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        sided = sided.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    sided = written(sided.select("a", "b", "of_a", "of_b"), "component-links", narrow=True)
+    merged = components(sided.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    ends = sided.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    few = above.limit(broadcast + 1).count() <= broadcast
+    moved = labels.unionByName(new).join(F.broadcast(above) if few else above, "component", "left")
+    return written(moved.select("node", F.coalesce("above", "component").alias("component")), "component-labels", narrow=True)

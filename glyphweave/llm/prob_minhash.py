@@ -24,7 +24,10 @@ members stay distributed.
 Defined results: null text is empty; equal texts share a class, empty ones
 included; texts without words have no shingles and join no other class; one to
 four words make one shingle; a null doc_id is a document like any other, but
-names a class only if the class has no other id; repeated rows count each.
+names a class only if the class has no other id; repeated rows count each; of
+rows that tie for a class's id the one with the least digest is kept; an empty
+table gives none; a text is one row of any length, and few texts are in a task's
+memory at once; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .sieve import thinned, without
+from .components import components, extended
+from .sieve import numbered, thinned, without
 from .storage import documents, lean, small_batches, written
 from .words import blocks, hashed_words, mix
 
@@ -47,7 +50,7 @@ BANDS, IN_BAND = 25, 5
 REGISTERS = BANDS * IN_BAND
 AGREE = 0.66  # of byte-wide signatures, before an exact comparison: 3.9 sd below 0.8, the miss rate of the bands
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 200_000  # of a side of a block pair
-STAR_ROWS = 65536
+STAR_ROWS, TURNS = 65536, 32
 PAIRS_AT_ONCE = 32  # pairs of texts in a Python worker's memory
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,12 +197,15 @@ def pair_rows(digests: list[bytes], pairs: list[tuple[int, int]]) -> pa.RecordBa
 
 
 def near_originals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row against the row nearest to the commonest registers of those left."""
+    """Every row against the row nearest to the commonest registers of those left,
+    ``TURNS`` times at most: this only saves comparisons that ``settle`` makes else."""
 
     def make(table: pa.Table) -> Iterator[pa.RecordBatch]:
         digests, signature, label, _ = columns_of(table)
         left = np.arange(len(signature))
-        while len(left) > 1:
+        for _ in range(TURNS):
+            if len(left) < 2:
+                break
             rows = signature[left]
             common = np.array([np.bincount(rows[:, r], minlength=256).argmax() for r in range(REGISTERS)], np.uint8)
             center = left[int((rows == common).sum(1).argmax())]
@@ -295,14 +301,25 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -
 
 
 def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, crossed: bool) -> DataFrame:
-    """Members of the buckets that hold several classes, dealt to blocks of
-    about ``rows``; ``crossed``: to pairs of blocks."""
+    """Members of the buckets that hold several classes, dealt to blocks of about
+    ``rows``; ``crossed``: to pairs of blocks. Members of a bucket's largest class
+    have blocks of their own, which meet those of the other members but not each
+    other: a bucket of n copies and m strays costs about n + m n / ``rows``."""
     named = shared.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    members = named.join(mixed, "band").join(nodes, "digest")
-    sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("length") / (rows / BLOCK_ROWS * BLOCK_SHINGLES))).cast("int").alias("n_blocks"))
-    members = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)") if crossed else F.array("own")))
+    groups = named.join(nodes.select("digest", "length"), "digest").groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    blocks = lambda n, length: F.greatest(F.ceil(n / rows), F.ceil(length / (rows / BLOCK_ROWS * BLOCK_SHINGLES))).cast("int")
+    most = F.max(F.struct("n", "length", "component")).alias("most")
+    sizes = groups.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("length").alias("length"), most).where("classes > 1")
+    large, n = blocks(F.col("most.n"), F.col("most.length")), blocks(F.col("n"), F.col("length"))
+    others = F.greatest(F.lit(1), blocks(F.col("n") - F.col("most.n"), F.col("length") - F.col("most.length")))
+    sizes = sizes.select("band", F.col("most.component").alias("largest"), (large if crossed else F.lit(0)).alias("large"), (large + others if crossed else n).alias("n_blocks"))
+    members = named.join(sizes, "band").join(nodes, "digest").withColumn("is_large", F.col("component") == F.col("largest"))
+    spread = F.xxhash64("digest")
+    if crossed:
+        own = F.when(F.col("is_large"), F.pmod(spread, F.col("large"))).otherwise(F.col("large") + F.pmod(spread, F.col("n_blocks") - F.col("large")))
+        dealt = members.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.expr("sequence(if(is_large, large, 0), n_blocks - 1)")))
+    else:
+        dealt = members.withColumn("own", F.pmod(spread, F.col("n_blocks")).cast("int")).withColumn("other", F.col("own"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "digest", "component", *[c for c in nodes.columns if c != "digest"])
     return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -330,7 +347,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     near = near.mapInArrow(lean(near_originals), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
     near = verified(written(near, "minhash-near", narrow=True), texts, threshold, "near")
     edges = written(edges.unionByName(near), "minhash-edges", narrow=True)
-    labels = components(edges)
+    labels = extended(labels, near)
 
     dealt = open_blocks(shared, nodes, labels, BLOCK_ROWS, crossed=True)
     left = written(dealt.mapInArrow(lean(still_open), dealt.schema), "minhash-open")
@@ -340,7 +357,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     links = written(met.mapInArrow(lean(settle(threshold)), "a binary, b binary"), "minhash-links", narrow=True)
     small_batches(spark)
     edges = edges.unionByName(links)
-    labels = components(edges)
+    labels = extended(labels, links)
 
     rows = with_digest(docs).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     rows = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -349,7 +366,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return docs.withColumn("digest", digest_of(F.col("text")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -379,18 +396,19 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     chosen = rows.groupBy("component").agg(F.min(own).alias("chosen"))
     fates = rows.join(chosen, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen")))
     # most rows have no entry here: those stand for their class and aren't repeated
-    apart = fates.where("not stays or n > 1").select(F.col("digest").alias("__gone"), F.col("doc_id").alias("__id"), "stays")
-    apart = written(apart, "minhash-apart", narrow=True)
-    at = docs.select(*columns, with_digest_column().alias("__digest"))
-    on = (F.col("__digest") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = without(at, apart.drop("stays"), on, "__digest", "__gone")
-    repeated = apart.where("stays").drop("stays")
-    several = thinned(at, "__digest", repeated.select("__gone")).join(repeated, on).select(*columns, "__digest").dropDuplicates(["__digest"])
-    return once.unionByName(several).select(*columns)
-
-
-def with_digest_column():
-    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    apart = written(fates.where("not stays or n > 1").select("digest", "doc_id", "stays"), "minhash-apart", narrow=True)
+    plain = numbered(docs)
+    doc_id, text = (f"c{columns.index(x)}" for x in ("doc_id", "text"))
+    at = plain.withColumn("digest", digest_of(F.col(text)))
+    once = without(at, ["digest", doc_id], apart.select("digest", "doc_id")).drop("digest")
+    repeated = apart.where("stays").select(F.col("digest").alias("stays"), F.col("doc_id").alias("stays_id"))
+    on = (F.col("digest") == F.col("stays")) & F.col(doc_id).eqNullSafe(F.col("stays_id"))
+    several = thinned(at, "digest", repeated.select("stays")).join(repeated, on).dropDuplicates(["digest"]).select(*plain.columns)
+    return once.unionByName(several).toDF(*columns)
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,11 +30,20 @@ def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return marked(df, key, wanted).where("__hit").drop("__hit")
 
 
-def without(df: DataFrame, gone: DataFrame, on: Column, key: str, gone_key: str, broadcast: int = 1_000_000) -> DataFrame:
-    """``df`` without the rows that ``gone`` meets by ``on``. Wide rows stay where
-    they are: ``gone`` is broadcast up to a number of rows, and beyond it only
-    rows that the bitmap doesn't clear are shuffled."""
+def without(df: DataFrame, keys: list[str], gone: DataFrame, broadcast: int = 1_000_000) -> DataFrame:
+    """``df`` without the rows whose ``keys`` are a row of ``gone``; nulls equal
+    each other. Wide rows stay where they are: ``gone`` is broadcast up to a number
+    of rows, and beyond it only rows that the bitmap doesn't clear are shuffled."""
+    plain, gone = numbered(df), gone.toDF(*(f"gone{i}" for i in range(len(keys))))
+    own = [f"c{df.columns.index(k)}" for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"gone{i}")) for i, k in enumerate(own)]
     if gone.limit(broadcast + 1).count() <= broadcast:
-        return df.join(F.broadcast(gone), on, "left_anti")
-    parted = marked(df, key, gone.select(gone_key))
-    return parted.where("__hit").drop("__hit").join(gone, on, "left_anti").unionByName(parted.where("not __hit").drop("__hit"))
+        return plain.join(F.broadcast(gone), on, "left_anti").toDF(*df.columns)
+    parted = marked(plain, own[0], gone.select("gone0"))
+    rest = parted.where("__hit").drop("__hit").join(gone, on, "left_anti")
+    return rest.unionByName(parted.where("not __hit").drop("__hit")).toDF(*df.columns)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that no other name clashes."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
