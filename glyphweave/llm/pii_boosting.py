@@ -4,24 +4,35 @@ select among them; in DataFrame operations only.
 Base spans are those of four patterns (email, ip, card, phone) that pass their
 check; they always stay. Where a base match fails its check, it may still hold
 personal data (a phone number with a card number behind it is one match of 27
-digits). Generators propose such spans, which may overlap each other. Features
-of a candidate's format and of its context go through boosted trees, written
-as one column expression; candidates at or above a calibrated threshold that
-don't overlap a base span are added, the likeliest of overlapping ones first.
-
-The trees learn from at most ``SAMPLE`` candidates, the first by a hash of
-document and place: a candidate that is a whole base match is positive if the
-match passes its check and negative if not; one inside a passing match is
-negative; the others have no label. The threshold is the least one with
-``PRECISION`` on the third of the sample that the trees don't see.
-
-Everything happens inside a row, in one pass and without a shuffle; positions
-come from the lengths of matches and of the pieces between them. Patterns are
-possessive, so that long runs neither backtrack nor recurse.
+digits). Generators propose such spans, which may overlap each other. Only
+proposals that pass their kind's check and don't overlap a base span can be
+added, the likeliest of overlapping ones first.
+
+Boosted trees, written as one column expression, see the format and the
+context of a candidate, but not the check: they learn how often candidates
+like it pass. Labels are the checks of whole base matches (passed: 1, failed:
+0). Candidates inside a match have no label, as they may be parts of a number; nor
+have those that no base match touches. They are scored as others of their format. A logistic curve on the
+third of the sample that the trees don't see calibrates them. A number that
+is no card passes its check by chance (``CHANCE``), so the share p that passes
+holds (p - chance) / (1 - chance) true ones; a candidate is added where at
+least ``LEAST`` of those that pass are true, and p is at least one half for
+kinds whose check isn't passed by chance.
+
+Learning searches about ``DOCUMENTS`` texts, drawn by a hash of the text, equal
+texts once, and uses at most ``SAMPLE`` candidates of them, the first by a hash
+of text and place.
+
+Everything else happens inside a row, in one pass and without a shuffle;
+positions come from the lengths of matches and of the pieces between them.
+Patterns are possessive, so that long runs neither backtrack nor recurse.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-results; without candidates of both labels no span is added; overlong numbers
-fail their checks.
+results; without candidates of both labels no span is added; of equally likely
+overlapping candidates the first one is added; overlong numbers fail their
+checks; an empty table gives no rows; long texts are searched whole; columns
+named ``base_spans`` or ``spans`` are replaced by these where spans are returned,
+and all columns pass through a redaction unchanged but for ``text``.
 """
 
 from __future__ import annotations
@@ -30,13 +41,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sieve import numbered
 from .storage import documents
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
+DOCUMENTS, SAMPLE = 20_000, 20_000
 ROUNDS, DEPTH, RATE = 30, 3, 0.3
-PRECISION = 0.995
-LEAST = 0.9
+SHRINK, LEAF = 1.0, 2.0  # of leaf values, and a leaf's least weight (candidates times the variance of their label)
+LEAST = 0.8  # share of true spans among added ones
+CHANCE = {"card": 0.1}  # of passing the check: one of ten check digits
 CONTEXT = 24
 
 #: Base matches. A start inside a run that the pattern has refused can't match
@@ -58,8 +71,15 @@ WIDE = {
         r"(?<![0-9+])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     ),
 }
-CUE = r"(?i)(mail|phone|tel|call|fax|mobil|card|visa|credit|account|\bip\b|addr|host|contact)"
-NAMES = ("kind", "n_chars", "n_digits", "n_groups", "passes", "plus", "parens", "before", "after", "cue", "distinct", "longest")
+CUES = {
+    "cue_email": r"(?i)\b(e-?mail|mailto|contact)",
+    "cue_phone": r"(?i)\b(phone|tel|call|fax|mobil|cell)",
+    "cue_card": r"(?i)\b(card|visa|credit|master|amex|payment)",
+    "cue_ip": r"(?i)\b(ip|addr|host|server)",
+    "cue_number": r"(?i)\b(order|ref|no|nr|id|serial|version|isbn|invoice|ticket)\b",
+}
+FORMAT = ("kind", "n_chars", "n_digits", "n_groups", "plus", "parens", "distinct", "longest")
+NAMES = (*FORMAT, "before", "after", "digits_near", *CUES)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -112,7 +132,7 @@ def base_matches(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """(s, kind number, e, f: features) of what the generators propose."""
+    """(s, kind number, e, ok, f: features) of what the generators propose."""
 
     def character(s: Column) -> Column:
         c = F.substring(text, s, F.lit(1))
@@ -123,11 +143,14 @@ def candidates(text: Column) -> Column:
             v, only = m["v"], digits(m["v"])
             left = F.substring(text, F.greatest(m["s"] - CONTEXT + 1, F.lit(1)), F.least(m["s"], F.lit(CONTEXT)))
             values = (
-                F.lit(number), F.length(v), F.length(only), F.size(F.split(v, "[^0-9A-Za-z]+")), passes(kind, v).cast("int"), v.contains("+").cast("int"), v.contains("(").cast("int"),
-                character(m["s"]), character(m["e"] + 1), left.rlike(CUE).cast("int"), F.size(F.array_distinct(F.split(only, ""))),
-                F.array_max(F.transform(F.split(v, "[^0-9]+"), lambda x: F.length(x))),
+                F.lit(number), F.length(v), F.length(only), F.size(F.split(v, "[^0-9A-Za-z]+")), v.contains("+").cast("int"), v.contains("(").cast("int"),
+                F.size(F.array_distinct(F.split(only, ""))), F.array_max(F.transform(F.split(v, "[^0-9]+"), lambda x: F.length(x))),
+                character(m["s"]), character(m["e"] + 1), F.length(digits(left)), *(left.rlike(cue).cast("int") for cue in CUES.values()),
+            )
+            return F.struct(
+                m["s"].alias("s"), F.lit(number).alias("k"), m["e"].alias("e"), passes(kind, v).alias("ok"),
+                F.struct(*[x.cast("double").alias(name) for x, name in zip(values, NAMES, strict=True)]).alias("f"),
             )
-            return F.struct(m["s"].alias("s"), F.lit(number).alias("k"), m["e"].alias("e"), F.struct(*[x.cast("double").alias(name) for x, name in zip(values, NAMES, strict=True)]).alias("f"))
 
         return F.transform(matches(text, pattern), featured)
 
@@ -138,17 +161,20 @@ Tree = tuple  # (feature, cut, low, high) or (value,)
 
 
 def grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int) -> Tree:
-    """A regression tree for one Newton step."""
-    leaf = (float(RATE * gradient.sum() / (hessian.sum() + 1.0)),)
-    if depth == 0 or len(x) < 8:
+    """A regression tree for one Newton step. Leaves need some weight, as noise
+    in a few candidates isn't worth a branch."""
+    leaf = (float(RATE * gradient.sum() / (hessian.sum() + SHRINK)),)
+    if depth == 0:
         return leaf
-    score = gradient.sum() ** 2 / (hessian.sum() + 1.0)
-    best = (1e-6, -1, 0.0)
+    score = gradient.sum() ** 2 / (hessian.sum() + SHRINK)
+    best = (1.0, -1, 0.0)
     for f in range(x.shape[1]):
         for cut in np.unique(x[:, f])[:-1][:64]:
             low = x[:, f] <= cut
-            a, b = gradient[low].sum(), gradient[~low].sum()
-            gain = a * a / (hessian[low].sum() + 1.0) + b * b / (hessian[~low].sum() + 1.0) - score
+            weights = hessian[low].sum(), hessian[~low].sum()
+            if min(weights) < LEAF:
+                continue
+            gain = gradient[low].sum() ** 2 / (weights[0] + SHRINK) + gradient[~low].sum() ** 2 / (weights[1] + SHRINK) - score
             if gain > best[0]:
                 best = (gain, f, float(cut))
     if best[1] < 0:
@@ -179,62 +205,85 @@ def as_column(tree: Tree, f: Column) -> Column:
     return F.when(f[NAMES[tree[0]]] <= tree[1], as_column(tree[2], f)).otherwise(as_column(tree[3], f))
 
 
-def searched(docs: DataFrame) -> DataFrame:
-    """Adds ``__base`` and ``__wide``; only texts that hold a digit, an at sign or its word are searched."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def searched(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``base`` and ``wide``; only texts that hold a digit, an at sign or its word are searched."""
+    text = F.coalesce(text, F.lit(""))
     some = text.rlike(r"[0-9@]|[\[(]at[\])]")
-    return docs.withColumn("__text", F.when(some, text).otherwise(F.lit(""))).withColumn("__base", base_matches(F.col("__text"))).withColumn("__wide", candidates(F.col("__text"))).drop("__text")
+    rows = df.withColumn("searched", F.when(some, text).otherwise(F.lit("")))
+    return rows.withColumn("base", base_matches(F.col("searched"))).withColumn("wide", candidates(F.col("searched"))).drop("searched")
+
+
+def labelled(docs: DataFrame, texts: int = DOCUMENTS) -> DataFrame:
+    """Candidates of about ``texts`` texts with their labels ``y`` and a hash ``h``."""
+    n, whole = docs.count(), 1 << 30
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    picked = docs.select(F.col("text"), key.alias("key"))
+    if n > texts:
+        picked = picked.where(F.pmod("key", F.lit(whole)) < int(whole * texts / n))
+    rows = searched(picked, F.col("text")).where(F.size("wide") > 0).select("key", "base", F.explode("wide").alias("c"))
+    same = "b.k = c.k and b.s = c.s and b.e = c.e"
+    label = F.expr(f"case when exists(base, b -> b.ok and {same}) then 1 when exists(base, b -> {same}) then 0 end")
+    rows = rows.select("key", "c.s", "c.e", "c.k", "c.f", label.alias("y")).where("y is not null")
+    return rows.withColumn("h", F.xxhash64("key", "s", "e", "k")).dropDuplicates(["h"])
+
+
+def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """A logistic curve (a, b) of margins by Newton's method, held near (0, 1)."""
+    a, b = 0.0, 1.0
+    design = np.stack([np.ones_like(margin), margin], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a + b * margin, -30, 30)))
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.eye(2)
+        da, db = np.linalg.solve(hess, design.T @ (y - p) - np.array([a, b - 1]))
+        a, b = a + float(np.clip(da, -2, 2)), b + float(np.clip(db, -2, 2))
+    return a, b
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Trees and threshold from labelled candidates."""
-    rows = searched(docs.select("doc_id", "text")).where(F.size("__wide") > 0).select("doc_id", "__base", F.explode("__wide").alias("c"))
-    whole = F.expr("exists(__base, b -> b.k = c.k and b.s = c.s and b.e = c.e)")
-    whole_ok = F.expr("exists(__base, b -> b.ok and b.k = c.k and b.s = c.s and b.e = c.e)")
-    inside_ok = F.expr("exists(__base, b -> b.ok and b.s <= c.s and b.e >= c.e)")
-    label = F.when(whole_ok, 1).when(whole | inside_ok, 0)
-    rows = rows.select("doc_id", "c.s", "c.e", "c.k", "c.f", label.alias("y")).where(F.col("y").isNotNull())
-    order = F.xxhash64("doc_id", "s", "e", "k")
-    found = rows.withColumn("h", order).orderBy("h", "doc_id", "s", "e", "k").limit(sample).select("f.*", "y", "h").collect()
-    if not found:
-        return None
+    """Trees, and for each kind the margin from where candidates are added."""
+    found = labelled(docs).orderBy("h").limit(sample).select("f.*", "y", "h").collect()
     x, y = np.array([r[: len(NAMES)] for r in found]), np.array([r.y for r in found], float)
-    seen = np.array([r.h % 3 != 0 for r in found])
+    seen = np.array([r.h % 3 != 0 for r in found], bool)
     if len(set(y[seen].tolist())) < 2:
         return None
     first, trees = boost(x[seen], y[seen])
-    p = 1 / (1 + np.exp(-(first + sum(walk(t, x[~seen]) for t in trees))))
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[~seen][order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(right >= PRECISION)
-    if not len(good):
+    a, b = calibrated(first + sum(walk(t, x[~seen]) for t in trees), y[~seen])
+    if b <= 0:
         return None
-    return {"first": first, "trees": trees, "threshold": max(LEAST, float(p[order[good[-1]]]))}
+    least = [c / (1 - LEAST * (1 - c)) if (c := CHANCE.get(kind, 0.0)) else 0.5 for kind in KINDS]
+    return {"first": first, "trees": trees, "cuts": [float((np.log(p / (1 - p)) - a) / b) for p in least]}
 
 
-def spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``spans``: arrays of (s, k, e), the
-    latter with the added ones, both by start and kind."""
-    model = learn(docs) if model is None else model
-    rows = searched(docs)
-    base = F.transform(F.filter("__base", lambda b: b["ok"]), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
+def found_spans(df: DataFrame, text: Column, model: dict | None) -> DataFrame:
+    """``df`` with ``base_spans`` and ``spans``; none of its columns may be named like a step's."""
+    rows = searched(df, text)
+    base = F.transform(F.filter("base", lambda b: b["ok"]), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
     rows = rows.withColumn("base_spans", base)
     if model is None:
-        return rows.withColumn("spans", F.col("base_spans")).drop("__base", "__wide")
+        return rows.withColumn("spans", F.col("base_spans")).drop("base", "wide")
 
     def scored(c: Column) -> Column:
         margin = F.lit(model["first"])
         for tree in model["trees"]:
             margin = margin + as_column(tree, c["f"])
-        return F.struct((F.lit(0.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("p"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))
+        return F.struct((-margin).alias("m"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))
 
-    free = F.expr("filter(__wide, c -> not exists(base_spans, b -> b.s < c.e and b.e > c.s))")
-    likely = F.filter(F.transform(free, scored), lambda c: c["p"] <= -model["threshold"])
-    rows = rows.withColumn("__likely", F.array_sort(likely))
-    taken = """aggregate(__likely, cast(array() as array<struct<s:int,k:int,e:int>>),
+    free = F.expr("filter(wide, c -> c.ok and not exists(base_spans, b -> b.s < c.e and b.e > c.s))")
+    cuts = F.array(*[F.lit(-x) for x in model["cuts"]])
+    likely = F.filter(F.transform(free, scored), lambda c: c["m"] <= F.element_at(cuts, c["k"] + 1))
+    rows = rows.withColumn("likely", F.array_sort(likely))
+    taken = """aggregate(likely, cast(array() as array<struct<s:int,k:int,e:int>>),
         (a, c) -> if(exists(a, b -> b.s < c.e and b.e > c.s), a, concat(a, array(named_struct('s', c.s, 'k', c.k, 'e', c.e)))))"""
     rows = rows.withColumn("spans", F.array_sort(F.concat("base_spans", F.expr(taken))))
-    return rows.drop("__base", "__wide", "__likely")
+    return rows.drop("base", "wide", "likely")
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``base_spans`` and ``spans``: arrays of (s, k, e), the
+    latter with the added ones, both by start and kind."""
+    names = docs.columns
+    found = found_spans(numbered(docs), F.col(f"c{names.index('text')}"), learn(docs))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in ("base_spans", "spans")), "base_spans", "spans")
 
 
 def joined(column: str) -> Column:
@@ -242,20 +291,23 @@ def joined(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, x -> concat_ws(':', element_at(array({kinds}), x.k + 1), x.s, x.e)), ',')")
 
 
-def redacted(docs: DataFrame, model: dict | None = None) -> DataFrame:
+def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets."""
-    columns = docs.columns
+    names = docs.columns
+    text = f"c{names.index('text')}"
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     rebuilt = f"""aggregate(spans, named_struct('at', 0, 'out', ''),
         (a, x) -> if(x.s >= a.at,
-            named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), element_at(array({kinds}), x.k + 1))),
+            named_struct('at', x.e, 'out', concat(a.out, substring({text}, a.at + 1, x.s - a.at), element_at(array({kinds}), x.k + 1))),
             named_struct('at', greatest(a.at, x.e), 'out', a.out)),
-        a -> concat(a.out, substring(text, a.at + 1)))"""
-    found = spans(docs, model)
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.expr(rebuilt)).otherwise(F.col("text"))).select(*columns)
+        a -> concat(a.out, substring({text}, a.at + 1)))"""
+    found = found_spans(numbered(docs), F.col(text), learn(docs))
+    found = found.withColumn(text, F.when(F.size("spans") > 0, F.expr(rebuilt)).otherwise(F.col(text)))
+    return found.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(documents(spark, sf_dir).select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base_spans, x -> x.k = {n})) as long)").alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    digest = F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

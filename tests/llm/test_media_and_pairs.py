@@ -268,6 +268,28 @@ def test_boosted_spans_find_what_base_matches_hide(personal):
     assert clean and all(not r.spans for r in clean)
 
 
+def test_trees_use_the_context_but_not_the_check(spark):
+    """Numbers behind a card's cue pass their check, those behind an order's don't but by
+    chance: hidden in longer matches, the former are added and the latter aren't."""
+    draw = random.Random(21)
+    number = lambda: "".join(draw.choice("0123456789") for _ in range(16))
+    rows = [(i, f"{prose(draw, 4)} {'paid by card' if i % 2 else 'see order'} {card(draw) if i % 2 else number()} {prose(draw, 4)}") for i in range(600)]
+    hidden = [(1000 + i, f"{prose(draw, 3)} {'paid by card' if i % 2 else 'see order'} {card(draw)} 17 {prose(draw, 3)}") for i in range(120)]
+    hidden = [(i, t) for i, t in hidden if not base(t)]
+    table = spark.createDataFrame(rows + hidden, TEXT)
+    model = pii.learn(table)
+
+    def features(tree):
+        return {tree[0]} | features(tree[2]) | features(tree[3]) if len(tree) > 1 else set()
+
+    used = {pii.NAMES[f] for tree in model["trees"] for f in features(tree)}
+    assert "passes" not in pii.NAMES and used & {"cue_card", "cue_number"}
+    got = {r.doc_id: [(pii.KINDS[x.k], r.text[x.s : x.e]) for x in r.spans] for r in pii.spans(table).where("doc_id >= 1000").collect()}
+    for i, text in hidden:
+        value = re.search(r"(card|order) ([0-9]{16})", text)[2]
+        assert got[i] == ([("card", value)] if i % 2 else [])
+
+
 def test_redaction(personal, no_docs, docs):
     got = {r.doc_id: r.text for r in pii.redacted(personal).collect()}
     for r in personal.collect():
