@@ -14,7 +14,10 @@ last.
 
 Defined results: null is the empty payload, which is padded to one frame;
 bytes without any frame give 0 frames, a null rate and an empty offset list;
-a cut last frame is not counted and shows in ``skipped_bytes``.
+a cut last frame is not counted and shows in ``skipped_bytes``; repeated rows are
+stored each, equal texts equally; an empty table gives no rows; a long text is one
+stream, held in its task alone; columns of any name pass through, but for those
+named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -228,9 +231,9 @@ def padded(text: bytes) -> bytes:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("__payload").to_pylist()
+        texts = batch.column("payload").to_pylist()
         media = pa.array([encode(padded(x or b"")) for x in texts], pa.binary())
-        names = [c for c in batch.schema.names if c != "__payload"]
+        names = [c for c in batch.schema.names if c != "payload"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(x or b"") for x in texts], pa.int64()), media], [*names, "n_bytes", "media"])
 
 
@@ -238,9 +241,10 @@ def store_as_audio(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """``keep`` with ``n_bytes`` (unpadded) and ``media``: the bytes of
     ``column`` as an MPEG stream."""
     small_batches(df.sparkSession)
-    kept = df.select(*keep, F.col(column).cast("binary").alias("__payload"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__payload")
-    return kept.mapInArrow(lean(_encode_batches), f"{schema}, n_bytes long, media binary")
+    keep = [c for c in keep if c not in ("n_bytes", "media")]
+    rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(column).cast("binary").alias("payload"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "payload")
+    return rows.mapInArrow(lean(_encode_batches), f"{schema}n_bytes long, media binary").toDF(*keep, "n_bytes", "media")
 
 
 PARSED = (

@@ -13,12 +13,16 @@ lines as their document; then a bad document's lines that the model finds good
 become good, except its worst one.
 
 Learning uses at most ``SAMPLE`` labelled documents, the first by a hash of
-doc_id, at most ``LINES`` lines of each. Scoring reads whole texts in one pass
-without a shuffle.
+doc_id, whole, as long as they have at most ``LINES`` lines together (one that
+alone has more is left out). Scoring reads whole texts in one pass without a
+shuffle; a long text is held in its task alone.
 
 Defined results: null and empty texts are one empty line and get a score like
-any other; repeated rows are scored each; without labels of both kinds every
-score is 0.5.
+any other; repeated rows are scored each; of rows that share a labelled doc_id one
+is learned from, the least by its features, and of several labels the largest
+counts; without labels of both kinds every score is 0.5, and no document is
+rejected; a score at the threshold is good; an empty table gives no rows; columns
+of any name pass through, but for one named like the result, which it replaces.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, lean, small_batches
+from .sieve import numbered
+from .storage import documents, lean, small_batches, written
 from .words import BLOCK, BYTE_VALUES, mix, powers
 
 SAMPLE = 6000
-LINES = 64
+LINES = 300_000
 BINS = 8
 THRESHOLD = 0.7
 NAMES = ("length", "words", "word_length", "capital", "digit", "sign", "separator", "loud", "repeated_word", "stop", "seen_line", "short_word")
@@ -227,14 +232,11 @@ def probability(model: dict | None, x: np.ndarray, lines: np.ndarray, length: np
 
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column("quality").to_pylist()
         rows = []
-        for first, n, lines, x, _ in line_features(batch.column("text").to_pylist()):
-            at = np.cumsum(lines) - lines
-            for i in range(n):
-                k = min(int(lines[i]), LINES)
-                rows.append((labels[first + i], x[at[i] : at[i] + k].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["quality", "lines"])
+        for _, n, lines, x, _ in line_features(batch.column("text").to_pylist()):
+            at = np.append(0, np.cumsum(lines))
+            rows += [x[at[i] : at[i + 1]].tobytes() for i in range(n)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("quality"), pa.array(rows, pa.binary())], ["key", "quality", "lines"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -246,21 +248,27 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")  # `sample` rows at most
-    # equal rows are in a fixed order, so that reruns agree
-    found = rows.mapInArrow(lean(sample_features), "quality int, lines binary").orderBy("quality", "lines").limit(2 * sample).collect()
-    if not found:
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id").alias("key"), "text", "quality")  # `sample` ids at most
+    lines = rows.mapInArrow(lean(sample_features), "key long, quality int, lines binary")
+    lines = written(lines.groupBy("key").agg(F.min(F.struct("lines", "quality")).alias("x")).select("key", "x.*"), "quality-lines")
+    width = 4 * len(NAMES)
+    sizes = lines.select("key", (F.length("lines") / width).cast("long").alias("n")).where(F.col("n") <= LINES).orderBy("key").collect()  # a row a document
+    total = np.cumsum([r.n for r in sizes])
+    if not len(total) or not (total <= LINES).any():
         return None
+    last = sizes[int((total <= LINES).sum()) - 1].key
+    found = lines.where((F.col("key") <= last) & (F.length("lines") <= LINES * width)).orderBy("key").collect()
     x = [np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES)) for r in found]
     return fit(np.concatenate(x), np.array([len(a) for a in x]), np.array([r.quality for r in found]))
 
 
-def score_texts(shared, keep: list[str]):
+def score_texts(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            out = [probability(model, x, lines, length) for _, _, lines, x, length in line_features(batch.column("__text").to_pylist())]
+            out = [probability(model, x, lines, length) for _, _, lines, x, length in line_features(batch.column(text).to_pylist())]
             score = np.round(np.concatenate(out), 6) if out else np.zeros(0)
+            keep = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
 
     return run
@@ -269,10 +277,11 @@ def score_texts(shared, keep: list[str]):
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` with ``score``, the probability of quality label 1."""
     keep = [c for c in keep if c != "score"]
-    rows = docs.select(*keep, docs["text"].alias("__text"))
+    rows = numbered(docs.select(*keep, "text"))
+    text = f"c{len(keep)}"
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(lean(score_texts(shared, keep)), f"{schema}score double")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != text)
+    return rows.mapInArrow(lean(score_texts(shared, text)), f"{schema}score double").toDF(*keep, "score")
 
 
 def line_marginals(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -296,13 +305,13 @@ def line_marginals(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those scored below the threshold."""
+    """``docs`` without those scored below the threshold; all, if there is no model."""
+    model = learn(docs, labels)
+    if model is None:
+        return docs
     columns = docs.columns
-    inner = [f"c{i}" for i in range(len(columns))]
-    plain = docs.toDF(*inner)
-    text, doc_id = inner[columns.index("text")], inner[columns.index("doc_id")]
-    rows = plain.withColumn("text", F.col(text)).withColumn("doc_id", F.col(doc_id))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(rows, labels))
+    plain, text = numbered(docs), f"c{columns.index('text')}"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,17 +5,22 @@ inflected words), hashed. P(grade <= k) = sigmoid(cut_k - w.x): one weight
 vector serves all ordered thresholds, x holds log(1 + count) of the features.
 The expected severity is the sum of the probabilities of reaching each grade.
 
-Labels say toxic or not. Grades of toxic training documents come from how many
-indicative features (those that toxic documents hold far more often) they
-have for their length: three grades of equal size above grade 0.
+Labels say toxic or not. Grades of toxic training documents come from their
+indicative features (those that toxic documents hold far more often), summed as
+the regression sees them: three grades of equal size above grade 0, and grade 1
+for a toxic document that has none.
 
 Learning uses at most ``SAMPLE`` labelled documents, the first by a hash of
-doc_id; features are chosen by a z test over that sample, at most ``FEATURES``
-of them. Scoring reads whole texts in one pass without a shuffle.
+doc_id, which are written once; features are chosen by a z test over that sample,
+at most ``FEATURES`` of them, counted by key range. Scoring reads whole texts in
+one pass without a shuffle; a long text is held in its task alone.
 
 Defined results: null and empty texts have no features and get the severity
-of the cuts alone; repeated rows are scored each; without labels of both
-kinds the severity is 0.
+of the cuts alone; repeated rows are scored each; of rows that share a labelled
+doc_id the one with the least text is learned from, and one toxic label makes it
+toxic; of features equally far from chance those with the lesser hash are chosen;
+without labels of both kinds the severity is 0; an empty table gives no rows;
+columns of any name pass through, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents, lean, small_batches
+from .sieve import numbered
+from .storage import documents, lean, small_batches, written
+from .suffix_tree_lm import PACKED, WORDS, by_part, word_part
 from .words import Counter, Table, blocks, hashed_spans, pack, unpack
 
 SAMPLE = 20_000
@@ -54,37 +61,44 @@ def text_features(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarra
         yield first, n, per_text, np.concatenate(hashes), np.concatenate(where)
 
 
-def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each feature, toxic ones in the upper half of the count."""
-    counter = Counter()
-    for batch in batches:
-        toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
-        for first, n, _, hashes, where in text_features(batch.column("text").to_pylist()):
-            order = np.lexsort((hashes, where))
-            h, w = hashes[order], where[order]
-            once = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])) if len(h) else np.zeros(0, bool)
-            h, w = h[once], w[once]
-            counter.add(h, np.where(toxic[first : first + n][w] == 1, 1 << 32, 1))
-    keys, counts = counter.take()
-    yield pa.RecordBatch.from_arrays([pa.array([pack(keys, counts)], pa.binary())], ["blob"])
+def count_features(n_parts: int):
+    """Documents with each feature, toxic ones in the upper half of the count, by key range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+        for batch in batches:
+            toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
+            for first, n, _, hashes, where in text_features(batch.column("text").to_pylist()):
+                order = np.lexsort((hashes, where))
+                h, w = hashes[order], where[order]
+                once = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])) if len(h) else np.zeros(0, bool)
+                h, w = h[once], w[once]
+                counter.add(h, np.where(toxic[first : first + n][w] == 1, 1 << 32, 1))
+                if counter.full:
+                    yield flush(counter)
+        yield flush(counter)
+
+    def flush(counter: Counter) -> pa.RecordBatch:
+        keys, counts = counter.take()
+        return by_part(WORDS, word_part(keys, n_parts), n_parts, 0, keys, counts)
+
+    return run
 
 
 def indicative(n_toxic: int, n_clean: int):
-    """Of merged counts: features whose shares among toxic and clean documents differ."""
+    """Of one key range's counts: features whose shares among toxic and clean documents differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                keys, counts = unpack(blob)
-                counter.add(keys, counts)
+                counter.add(*unpack(blob))
         keys, counts = counter.take()
         a, b = counts >> 32, counts & 0xFFFFFFFF
         share = (a + b) / (n_toxic + n_clean)
         with np.errstate(divide="ignore", invalid="ignore"):
             z = (a / n_toxic - b / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
         on = np.flatnonzero((np.abs(z) >= LEAST_Z) & (a + b >= 5))
-        on = on[np.argsort(-np.abs(z[on]), kind="stable")[:FEATURES]]
         yield pa.RecordBatch.from_arrays([pa.array(keys[on].view(np.int64)), pa.array(z[on]), pa.array((a[on] / n_toxic) / ((b[on] + 0.5) / n_clean))], ["key", "z", "ratio"])
 
     return run
@@ -138,13 +152,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     small_batches(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")  # `sample` rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `sample` ids at most
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "toxicity-sample")
     sizes = {x.toxic: x["count"] for x in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    # the sample bounds what meets in this one partition
-    merged = rows.mapInArrow(lean(count_features), "blob binary").repartition(1)
-    chosen = merged.mapInArrow(lean(indicative(sizes[1], sizes[0])), "key long, z double, ratio double").collect()
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.mapInArrow(lean(count_features(n_parts)), PACKED).repartition(n_parts, "part")
+    chosen = counts.mapInArrow(lean(indicative(sizes[1], sizes[0])), "key long, z double, ratio double").orderBy(F.abs("z").desc(), "key").limit(FEATURES).collect()
     if not chosen:
         return None
     chosen.sort(key=lambda c: c.key)
@@ -157,34 +172,39 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
         for batch in batches:
             toxic = batch.column("toxic").to_pylist()
             out = []
-            for first, n, per_text, row, feature, count in matrix_rows(table, n_features, batch.column("text").to_pylist()):
+            for first, n, _, row, feature, count in matrix_rows(table, n_features, batch.column("text").to_pylist()):
                 cut = np.searchsorted(row, np.arange(n + 1))
-                out += [(toxic[first + i], int(per_text[i]), pack(feature[cut[i] : cut[i + 1]].astype(np.int32), count[cut[i] : cut[i + 1]].astype(np.int32))) for i in range(n)]
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["toxic", "words", "blob"])
+                out += [(toxic[first + i], pack(feature[cut[i] : cut[i + 1]].astype(np.int32), count[cut[i] : cut[i + 1]].astype(np.int32))) for i in range(n)]
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], ["toxic", "blob"])
 
-    found = rows.mapInArrow(lean(rows_of), "toxic int, words long, blob binary").orderBy("toxic", "words", "blob").limit(2 * sample).collect()
+    found = rows.mapInArrow(lean(rows_of), "toxic int, blob binary").orderBy("toxic", "blob").collect()  # `sample` rows at most
     toxic = np.array([r.toxic for r in found])
     parts = [unpack(r.blob) for r in found]
     row = np.repeat(np.arange(len(found)), [len(p[0]) for p in parts])
     feature = np.concatenate([p[0] for p in parts]).astype(np.int64)
     count = np.concatenate([p[1] for p in parts]).astype(np.float64)
-    evidence = np.bincount(row, count * strong[feature], len(found)) / np.sqrt(1 + np.array([r.words for r in found]))
-    edges = np.quantile(evidence[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic == 1, 1 + np.searchsorted(edges, evidence, side="right"), 0)
+    grade = grades(toxic, np.bincount(row, np.log1p(count) * strong[feature], len(found)))
     w, cuts = fit(len(found), row, feature, np.log1p(count), grade, n_features)
     return {"keys": keys, "w": w, "cuts": cuts}
 
 
+def grades(toxic: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """0 for clean documents; toxic ones with evidence in equal shares of 1 to GRADES - 1."""
+    some = evidence[(toxic == 1) & (evidence > 0)]
+    edges = np.quantile(some, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(some) else np.full(GRADES - 2, np.inf)
+    return np.where(toxic == 1, 1 + np.searchsorted(edges, evidence, side="left") * (evidence > 0), 0)
+
+
 RESULT = "severity double, grade int, p_toxic double"
 
 
-def score_texts(shared, keep: list[str]):
+def score_texts(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table = Table(model["keys"], np.arange(len(model["keys"]))) if model else None
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(text).to_pylist()
             over = [np.zeros((0, GRADES - 1))]
             if model is None:
                 over = [np.zeros((len(texts), GRADES - 1))]
@@ -193,19 +213,24 @@ def score_texts(shared, keep: list[str]):
                     over.append(reach(model["cuts"], np.bincount(row, np.log1p(count) * model["w"][feature], n)))
             p = np.round(np.concatenate(over), 6)
             grade = (p >= 0.5).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.round(p.sum(1), 6)), pa.array(grade), pa.array(p[:, 0])], [*keep, "severity", "grade", "p_toxic"])
+            keep = [c for c in batch.schema.names if c != text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.round(p.sum(1), 6)), pa.array(grade), pa.array(p[:, 0])], [*keep, *RESULTS])
 
     return run
 
 
+RESULTS = [x.split()[0] for x in RESULT.split(", ")]
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` with ``severity`` (expected grade, 0 to 3), ``grade`` (the
     median grade) and ``p_toxic`` (probability of grade 1 or more)."""
-    keep = [c for c in keep if c not in ("severity", "grade", "p_toxic")]
-    rows = docs.select(*keep, docs["text"].alias("__text"))
+    keep = [c for c in keep if c not in RESULTS]
+    rows = numbered(docs.select(*keep, "text"))
+    text = f"c{len(keep)}"
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(lean(score_texts(shared, keep)), f"{schema}{RESULT}")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != text)
+    return rows.mapInArrow(lean(score_texts(shared, text)), f"{schema}{RESULT}").toDF(*keep, *RESULTS)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

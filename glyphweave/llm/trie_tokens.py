@@ -15,8 +15,13 @@ piece scores ten nats below the last piece and counts its UTF-8 bytes.
 Scale: no shuffle. A task holds one block of text, its trie and a cache of
 bounded size; the vocabulary is broadcast, whose size is the tokenizer's.
 
+Words of a block are told apart by 64-bit hashes, as are the cached ones.
+
 Defined results: null and blank texts have 0 words and 0 tokens; repeated rows
-count each; words of over 63 characters are segmented one by one.
+count each; words of over 63 characters are segmented one by one; of equally
+likely segmentations the one with fewest tokens counts; an empty table gives no
+rows; a long text is held in its task alone; columns of any name pass through, but
+for those named like the results.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .sieve import numbered
 from .storage import documents, lean, small_batches
 from .words import Table, blocks, hashed_spans, mix
 
@@ -141,7 +147,7 @@ class Pieces:
 _pieces: dict[str, tuple[Pieces, dict[int, int]]] = {}
 
 
-def count_tokens(shared, name: str, keep: list[str]):
+def count_tokens(shared, name: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _pieces:
             _pieces.clear()
@@ -149,7 +155,7 @@ def count_tokens(shared, name: str, keep: list[str]):
         pieces, cache = _pieces[name]
         for batch in batches:
             words, tokens = [], []
-            for _, n, buffer, starts in blocks(batch.column("__text").to_pylist(), lower=False):
+            for _, n, buffer, starts in blocks(batch.column(text).to_pylist(), lower=False):
                 hashes, begin, end, per_text = hashed_spans(buffer, starts)
                 distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
                 known = np.array([cache.get(x, -1) for x in distinct.tolist()], np.int64)
@@ -168,6 +174,7 @@ def count_tokens(shared, name: str, keep: list[str]):
                 words.append(per_text)
                 tokens.append(np.bincount(np.repeat(np.arange(n), per_text), known[which], n).astype(np.int64))
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+            keep = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), join(words), join(tokens)], [*keep, "n_words", "n_tokens"])
 
     return run
@@ -178,10 +185,11 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
     spark = docs.sparkSession
     small_batches(spark)
     keep = [c for c in keep if c not in ("n_words", "n_tokens")]
-    rows = docs.select(*keep, docs[text].alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
+    rows = numbered(docs.select(*keep, text))
+    inner = f"c{len(keep)}"
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != inner)
     shared = spark.sparkContext.broadcast(vocabulary_pieces(vocabulary))
-    return rows.mapInArrow(lean(count_tokens(shared, vocabulary, keep)), f"{schema}n_words long, n_tokens long")
+    return rows.mapInArrow(lean(count_tokens(shared, vocabulary, inner)), f"{schema}n_words long, n_tokens long").toDF(*keep, "n_words", "n_tokens")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .sieve import numbered
 from .storage import documents, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,11 +73,14 @@ def water_filling_mix(
     """``docs`` (doc_id, text, source, …) with ``size``, ``source_size``,
     ``target`` and ``taken`` added: every row stays, ``taken`` counts the
     words of it that the mix takes, repeats included."""
-    kept = [c for c in docs.columns if c not in RESULTS]
-    size = word_count(F.col("text"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    rows = docs.select(*kept, size.alias("size"), order.alias("__order"), source.alias("__source"))
+    plain = numbered(docs)
+    kept = [f"c{i}" for i, c in enumerate(docs.columns) if c not in RESULTS]
+    names = [c for c in docs.columns if c not in RESULTS]
+    doc_id, text, by = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source"))
+    size = word_count(F.col(text))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    source = F.when(F.col(by).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(by)))
+    rows = plain.select(*kept, size.alias("size"), order.alias("__order"), source.alias("__source"))
     rows = rows.withColumn("__bucket", F.substring("__order", 1, BUCKET_HEX))
 
     # Slim columns only: the scan reads text for its size and drops it.
@@ -103,12 +107,13 @@ def water_filling_mix(
     at_mark = F.coalesce(F.col("__bucket") == F.col("__mark"), F.lit(False))
     sure = F.when(F.col("__mark").isNull() | (F.col("__bucket") < F.col("__mark")), F.col("size")).otherwise(F.lit(0))
     plain = placed.where(~at_mark).withColumn("__part", sure.cast("long"))
-    before = W.partitionBy("__source").orderBy("__order", "doc_id", F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("__source").orderBy("__order", doc_id, F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
     crossing = placed.where(at_mark).withColumn("__run", F.col("__ahead") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__run")))
     crossing = crossing.withColumn("__part", part.cast("long")).drop("__run")
     out = plain.unionByName(crossing)
-    return out.select(*kept, "size", "source_size", "target", (F.col("__whole") * F.col("size") + F.col("__part")).alias("taken"))
+    taken = (F.col("__whole") * F.col("size") + F.col("__part")).alias("taken")
+    return out.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), "size", "source_size", "target", taken)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
