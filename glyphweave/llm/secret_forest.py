@@ -1,24 +1,35 @@
 """Secret findings with a random forest that removes false positives.
 
-A wide net proposes findings: every blank-delimited token of ``SHORTEST``
-bytes or more that holds a digit, without quotes, brackets and closing signs,
-and without a name before ``=`` or ``:``. Their features are length and kinds
-of characters, the likelihood of their character transitions under those of
-the corpus, how much of them the corpus's frequent words cover, path and
-address signs, and the neighbouring words. Trees vote on each finding.
+A wide net proposes findings, which may overlap:
+
+- blank-delimited tokens of ``SHORTEST`` bytes or more that hold a digit, without
+  quotes, brackets, closing signs and a name before ``=`` or ``:``, unless one of
+  the findings below lies inside;
+- what is assigned to a name by ``=`` or ``:``, also inside tokens (objects, URL
+  queries, connection strings): ``SHORTEST`` bytes with a digit, or ``SHORT`` bytes
+  of any kind behind a telling name;
+- passwords in URLs, and values of an issuer's format anywhere in a token.
+
+Features are length and kinds of characters, the likelihood of their character
+transitions under those of the corpus, how much of a finding and of the words
+beside it the corpus's frequent words cover, and path and address signs. Trees
+vote on each finding.
 
 The forest learns from labelled findings (doc_id, start, end, secret). Where
-no people have labelled any, ``rule_labels`` makes some from formats: issuers'
-prefixes and assignments to telling names are secrets; addresses, numbers,
-paths and unassigned hashes of data are not; the rest stays without a label.
+no people have labelled any, ``rule_labels`` makes some from evidence that is
+no feature: names and issuers' formats. What is assigned to a telling name or
+has an issuer's format is a secret; addresses, numbers and paths, and what has no
+name, are not; all else stays without a label, and is judged by its form alone.
 
 Character transitions and word counts cover all documents. They are summed in
 every task before they are shuffled. Learning uses at most ``SAMPLE`` labelled
 findings, the first by a hash of their place.
 
 Defined results: null and empty texts have no findings; repeated rows give
-their findings each; without labels of both kinds every finding stays, with
-score 1.
+their findings each; a span that several generators propose is one finding;
+without labels of both kinds every finding stays, with score 1; a score at the
+threshold is a secret; ids keep their type; an empty table gives no rows; a long
+text is held in its task alone; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +46,7 @@ from .storage import documents, lean, small_batches, written
 from .suffix_tree_lm import PACKED, WORDS, by_part, count_of_counts, frequent_words, merge_counts, narrow, packed_batch
 from .words import BLOCK, BYTE_VALUES, Counter, Table, blocks, hashed_spans, mix, pack, powers, unpack
 
-SHORTEST = 12
+SHORTEST, SHORT = 12, 6  # bytes
 SAMPLE = 20_000
 DICTIONARY = 50_000
 PIECES = range(4, 11)  # bytes of dictionary words that are sought in a finding
@@ -49,10 +60,14 @@ ISSUED = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr
 ADDRESS = re.compile(r"[^@]+@[^@]+\.[^@]+|(\d+\.){3}\d+|[+(]?\d[\d().+ -]*|\w+://.*|(/[\w.-]+)+/?|[\w.-]+(/[\w.-]+)+")
 NAMED = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)\s*[=:]+")
 SHELL = "\"'`()[]{}<>,;"
+BEFORE_SIGN = re.compile(rb"([A-Za-z_][A-Za-z0-9_.-]*)[\"'`]?[ \t]*$")
+ASSIGNED = re.compile(rb"[=:]+[ \t]*([\"'`]?)([^\s\"'`,;&|<>(){}\[\]]+)")
+IN_URL = re.compile(rb"://[^\s/:@\"']*:([^\s/@\"']{4,})@")
+REACH = 80  # bytes of a name
 
 FEATURES = (
-    "length", "digits", "upper", "lower", "signs", "distinct", "entropy", "hex", "transitions", "worst_transition", "runs", "covered", "at", "slashes", "dots", "dashes",
-    "assigned", "quoted", "name_before", "name_length", "before_is_sign", "issued", "before_covered", "after_capital",
+    "length", "digits", "upper", "lower", "signs", "distinct", "entropy", "hex", "transitions", "worst_transition", "runs", "covered", "longest_run", "at", "slashes", "dots", "dashes",
+    "quoted", "before_covered", "before_length", "after_covered", "after_length", "after_capital",
 )
 
 
@@ -96,28 +111,71 @@ def trimmed(token: str) -> tuple[int, int, str]:
     return b, e, name
 
 
+def assigned(buffer: bytes) -> Iterator[tuple[int, int, str, bool]]:
+    """(begin, end, name, quoted) of what stands behind names and signs, and of URLs' passwords."""
+    urls = dict(m.span(1) for m in IN_URL.finditer(buffer)) if b"://" in buffer else {}
+    yield from ((begin, end, "password", False) for begin, end in urls.items())
+    data = np.frombuffer(buffer, np.uint8)
+    sign = (data == 61) | (data == 58)
+    for at in (np.flatnonzero(sign[1:] & ~sign[:-1]) + 1).tolist():
+        name = BEFORE_SIGN.search(buffer, max(0, at - REACH), at)
+        value = ASSIGNED.match(buffer, at) if name else None
+        if not value or value[2].startswith(b"//"):
+            continue
+        begin, end = value.span(2)
+        if begin in urls:
+            continue
+        while end > begin and not buffer[end - 1 : end].isalnum() and buffer[end - 1] < 128 and buffer[end - 1] not in b"=/+-_!":
+            end -= 1
+        yield begin, end, name[1].decode(), value[1] != b""
+
+
+def telling(name: str) -> bool:
+    return any(x in name.lower() for x in NAMES)
+
+
 def findings(texts: list[str | None]) -> list[tuple]:
-    """(text, start, end, value, name, word before, sign before, word after, quoted) of all findings."""
+    """(text, start, end, value, name, word before, word after, quoted) of all findings."""
     out = []
     for first, _, buffer, begin, end, of, wide, starts in tokens(texts):
-        if not len(wide):
-            continue
-        cont = np.cumsum((np.frombuffer(buffer, np.uint8) & 0xC0) != 0x80)
-        word = lambda i, t: buffer[begin[i] : end[i]].decode() if 0 <= i < len(begin) and of[i] == t else ""  # noqa: B023, E731
+        inner: dict[tuple[int, int], tuple[str, bool]] = {}
+        for b, e, name, quoted in assigned(buffer):
+            if e - b >= SHORT and telling(name) or e - b >= SHORTEST and any(48 <= c <= 57 for c in buffer[b:e]):
+                inner[b, e] = name, quoted
+        for i in np.flatnonzero(end - begin >= SHORTEST + 2).tolist():
+            token = buffer[begin[i] : end[i]]
+            if (b"_" in token or any(x in token for x in (b"AKIA", b"ASIA", b"xox", b"AIza", b"eyJ"))) and (m := ISSUED.search(token.decode())):
+                b = int(begin[i]) + len(token.decode()[: m.start()].encode())
+                inner.setdefault((b, b + len(m[0].encode())), ("", False))
+        spans = dict(inner)
+        held = np.array(sorted(b for b, _ in inner), np.int64)
         for i in wide.tolist():
-            t = int(of[i])
-            token = word(i, t)
+            token = buffer[begin[i] : end[i]].decode()
             b, e, name = trimmed(token)
             value = token[b:e]
             if len(value.encode()) < SHORTEST or not any(c.isdigit() for c in value):
                 continue
-            at = int(cont[begin[i] - 1] - cont[starts[t] - 1]) + b
-            before, sign = word(i - 1, t), ""
-            if not name and before and not any(c.isalnum() for c in before):
-                before, sign = word(i - 2, t), before
-            if not name and ("=" in sign or ":" in sign or before.endswith((":", "="))):
+            at = int(begin[i]) + len(token[:b].encode())
+            to = at + len(value.encode())
+            if (at, to) in spans or (k := np.searchsorted(held, begin[i])) < len(held) and held[k] < end[i]:
+                continue
+            before = buffer[begin[i - 1] : end[i - 1]].decode() if i and of[i - 1] == of[i] else ""
+            if not name and before.endswith((":", "=")):
                 name = before.strip(SHELL + ":=")
-            out.append((first + t, at, at + e - b, value, name, before, sign, word(i + 1, t), b > 0 and token[b - 1] in "\"'`"))
+            spans[at, to] = name, b > 0 and token[b - 1] in "\"'`"
+        if not spans:
+            continue
+        cont = np.cumsum((np.frombuffer(buffer, np.uint8) & 0xC0) != 0x80)
+        word = lambda i, t: buffer[begin[i] : end[i]].decode() if 0 <= i < len(begin) and of[i] == t else ""  # noqa: B023, E731
+        for (b, e), (name, quoted) in sorted(spans.items()):
+            i = int(np.searchsorted(begin, b, side="right")) - 1
+            t = int(of[i])
+            before = word(i - 1, t)
+            if before and not any(c.isalnum() for c in before):
+                before = word(i - 2, t)
+            start = int(cont[b - 1] - cont[starts[t] - 1])
+            value = buffer[b:e].decode()
+            out.append((first + t, start, start + len(value), value, name, before, word(int(np.searchsorted(end, e)) + 1, t), quoted))
     return out
 
 
@@ -153,20 +211,21 @@ def covered_by(values: list[str], dictionary: Table) -> np.ndarray:
 
 
 def features(found: list[tuple], model: np.ndarray, dictionary: Table) -> np.ndarray:
+    """Form and neighbourhood of findings; names and issuers' formats aren't among them, as labels come from these."""
     values = [f[3] for f in found]
     mean, worst = transitions_of(values, model)
     cover = covered_by(values, dictionary)
-    cover_before = covered_by([f[5] or "-" for f in found], dictionary)
+    cover_before, cover_after = (covered_by([f[k] or "-" for f in found], dictionary) for k in (5, 6))
     rows = np.zeros((len(found), len(FEATURES)), np.float32)
-    for i, (_, _, _, v, name, before, sign, after, quoted) in enumerate(found):
+    for i, (_, _, _, v, _, before, after, quoted) in enumerate(found):
         n = len(v)
         counts = np.unique(list(v), return_counts=True)[1] / n
         kind = [("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s") for c in v]
         rows[i] = (
             n, kind.count("d") / n, kind.count("u") / n, kind.count("l") / n, kind.count("s") / n, len(counts) / n, -(counts * np.log2(counts)).sum(),
             sum(c in "0123456789abcdefABCDEF" for c in v) / n, mean[i], worst[i], sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / n, cover[i],
-            v.count("@"), v.count("/"), v.count("."), v.count("-") + v.count("_"), bool(name), quoted, any(x in name.lower() for x in NAMES), len(name), bool(sign),
-            ISSUED.fullmatch(v) is not None, cover_before[i], after[:1].isupper(),
+            max(map(len, re.findall("d+|u+|l+|s+", "".join(kind)))) / n, v.count("@"), v.count("/"), v.count("."), v.count("-") + v.count("_"),
+            quoted, cover_before[i], len(before), cover_after[i], len(after), after[:1].isupper(),
         )
     return rows
 
@@ -177,7 +236,7 @@ def rule_label(value: str, name: str) -> int | None:
         return 1
     if ADDRESS.fullmatch(value):
         return 0
-    if any(x in name.lower() for x in NAMES):
+    if telling(name):
         return 1
     if not name:
         return 0
@@ -314,13 +373,13 @@ def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All findings of a table (doc_id, text)."""
     for batch in batches:
         found = findings(batch.column("text").to_pylist())
-        cols = list(zip(*found, strict=True)) or [()] * 9
+        cols = list(zip(*found, strict=True)) or [()] * 8
         ids = batch.column("doc_id").take(pa.array(cols[0], pa.int64()))
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], [x.split()[0] for x in PROPOSED.split(", ")])
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], ["doc_id", *(x.split()[0] for x in PROPOSED.split(", "))])
 
 
-PROPOSED = "doc_id long, start long, end long, value string, name string, before string, sign string, after string, quoted boolean"
+PROPOSED = "start long, end long, value string, name string, before string, after string, quoted boolean"
 
 
 def rule_labels(proposed: DataFrame) -> DataFrame:
@@ -332,7 +391,7 @@ def rule_labels(proposed: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("end"), pa.array(secret, pa.int32())], ["doc_id", "start", "end", "secret"])
             yield out.filter(out.column("secret").is_valid())
 
-    return proposed.mapInArrow(lean(run), "doc_id long, start long, end long, secret int")
+    return proposed.mapInArrow(lean(run), f"doc_id {proposed.schema['doc_id'].dataType.simpleString()}, start long, end long, secret int")
 
 
 def learn(proposed: DataFrame, labelled: DataFrame, transitions: np.ndarray, dictionary: np.ndarray, sample: int = SAMPLE) -> Forest | None:
@@ -343,11 +402,11 @@ def learn(proposed: DataFrame, labelled: DataFrame, transitions: np.ndarray, dic
     y = np.array([r.secret for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    found = [(0, r.start, r.end, r.value, r.name, r.before, r.sign, r.after, r.quoted) for r in rows]
+    found = [(0, r.start, r.end, r.value, r.name, r.before, r.after, r.quoted) for r in rows]
     return Forest(features(found, transitions, Table(dictionary, np.arange(len(dictionary)))), y)
 
 
-RESULT = "doc_id long, start long, end long, n_chars long, name string, score double, is_secret boolean"
+RESULT = "start long, end long, n_chars long, name string, score double, is_secret boolean"
 
 
 def score_findings(shared):
@@ -363,7 +422,7 @@ def score_findings(shared):
                 score = np.round(model["forest"].predict(features(found, model["transitions"], dictionary)), 6)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("start"), batch.column("end"), pa.array([len(v) for v in cols[3]], pa.int64()), batch.column("name"), pa.array(score), pa.array(score >= THRESHOLD)],
-                [x.split()[0] for x in RESULT.split(", ")],
+                ["doc_id", *(x.split()[0] for x in RESULT.split(", "))],
             )
 
     return run
@@ -374,12 +433,12 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataF
     ``start`` and ``end`` count code points. Values themselves aren't returned."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    proposed = written(rows.mapInArrow(lean(propose), PROPOSED), "secret-proposed")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    proposed = written(docs.select("doc_id", "text").mapInArrow(lean(propose), f"doc_id {id_type}, {PROPOSED}"), "secret-proposed")
     transitions, dictionary = corpus_model(docs)
     forest = learn(proposed, rule_labels(proposed) if labelled is None else labelled, transitions, dictionary)
     shared = spark.sparkContext.broadcast({"forest": forest, "transitions": transitions, "dictionary": dictionary})
-    return proposed.mapInArrow(lean(score_findings(shared)), RESULT)
+    return proposed.mapInArrow(lean(score_findings(shared)), f"doc_id {id_type}, {RESULT}")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
