@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sieve import numbered
-from .storage import documents
+from .storage import documents, written
 
 KINDS = ("email", "ip", "card", "phone")
 DOCUMENTS, SAMPLE = 20_000, 20_000
@@ -220,6 +220,7 @@ def labelled(docs: DataFrame, texts: int = DOCUMENTS) -> DataFrame:
     picked = docs.select(F.col("text"), key.alias("key"))
     if n > texts:
         picked = picked.where(F.pmod("key", F.lit(whole)) < int(whole * texts / n))
+    picked = written(picked, "pii-sample")  # else the patterns run over all texts before the draw
     rows = searched(picked, F.col("text")).where(F.size("wide") > 0).select("key", "base", F.explode("wide").alias("c"))
     same = "b.k = c.k and b.s = c.s and b.e = c.e"
     label = F.expr(f"case when exists(base, b -> b.ok and {same}) then 1 when exists(base, b -> {same}) then 0 end")
