@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +50,23 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def decoded(text: Column) -> Column:
+    """All entities of HTML undone once: named ones, and numbers in either base."""
+    names = json.dumps({k: v for k, v in html5.items() if k.endswith(";")})
+
+    def one(piece: Column) -> Column:
+        decimal, base16 = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1), F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(decimal != "", decimal.cast("long")).when(base16 != "", F.conv(base16, 16, 10).cast("long"))
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code)), 8, "0")), "UTF-32")
+        named = F.element_at(F.from_json(F.lit(names), "map<string,string>"), F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*;)", 1))
+        return F.coalesce(F.concat(F.coalesce(char, named), F.regexp_replace(piece, "^[^;]*;", "")), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    whole = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def hyphen_ended(word: Column) -> Column:
     return word.rlike(r"[-—]\s*$")
 
@@ -121,3 +141,17 @@ def with_property(title: Column, key: str, value: Column) -> Column:
 def confidence_red(confidence: Column) -> Column:
     """Red share of the colour that shows a confidence of 0 to 100."""
     return (1 - confidence / 100) * 220 / 255
+
+
+def block_line_ids(word_id: Column) -> tuple[Column, Column]:
+    """The block's and the line's id in a word's (WORD_block_line_word); empty if it has another form."""
+    parts = F.split(word_id, "_")
+    block, line = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    some = F.size(parts) >= 4
+    return F.when(some, F.concat(F.lit("BLOCK_"), block)).otherwise(""), F.when(some, F.concat(F.lit("LINE_"), block, F.lit("_"), line)).otherwise("")
+
+
+def word_id(line_id: Column, number: Column) -> Column:
+    """The id of a line's word by its number from 1."""
+    parts = F.split(F.replace(line_id, F.lit("LINE_"), F.lit("")), "_")
+    return F.concat(F.lit("WORD_"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.lit("_"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.lit("_"), F.lpad(number.cast("string"), 3, "0"))

@@ -49,6 +49,19 @@ def layout_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumn("layout_tag", F.last("own", ignorenulls=True).over(above)).where(F.col("own").isNull()).select("doc_id", "line", "text", "layout_tag")
 
 
+def prepared_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, word, norm, layout_tag, clean_para_id): the tokens of texts
+    without their tag lines, with the tag above them and their paragraph."""
+    lines = layout_lines(docs)
+    each = lines.select("doc_id", "line", "layout_tag", F.posexplode(tx.tokens(F.col("text"))).alias("i", "word"))
+    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("line", "i")) - 1
+    tagged = each.select("doc_id", seq.alias("seq"), "word", tx.normalized(F.col("word")).alias("norm"), "layout_tag")
+    joined = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"))
+    plain = joined.select("doc_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    paragraphs = paragraph_tokens(plain).select("doc_id", "seq", F.col("para_id").alias("clean_para_id"))
+    return tagged.join(paragraphs, ["doc_id", "seq"])
+
+
 def word_search(words: DataFrame, query: str) -> DataFrame:
     """Words that contain the query, or that end in a hyphen and whose stem is part of it."""
     low = F.lower("content")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.similarity import indel_ratio
 from ..functions.text import ABBREVIATIONS, STOPWORDS
 from ..operators.gates import LEAST_SIMILARITY, LENGTH_TOLERANCE, NOVEL_SHARE, TABLE_LINES
@@ -102,6 +103,14 @@ def chunks(docs: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WORDS, ov
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, CHUNKS)
 
 
+def single_chunks(docs: DataFrame) -> DataFrame:
+    """Each text as one chunk, as pages are refined."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("start_line"),
+        (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) - 1).alias("end_line"), F.lit("").alias("overlap_prefix"), F.lit(False).alias("is_table"),
+    )
+
+
 def stitched(parts: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
     """(doc_id, text): chunks in order without the lines that repeat those of
     chunks before. ``compat`` takes the number of lines from the chunk's own
@@ -195,8 +204,8 @@ def identity(question: str) -> str:
 REFINED = f"{CHUNKS}, refined string, rounds int, objections array<string>"
 
 
-def refine(docs: DataFrame, refiner: Callable[[str], str] = identity, rounds: int = 6, **sizes: int) -> DataFrame:
-    """Every chunk of ``docs`` with its refined text; a failing refiner leaves the chunk as it is."""
+def refine_chunks(parts: DataFrame, refiner: Callable[[str], str] = identity, rounds: int = 6) -> DataFrame:
+    """Chunks with their refined text; a failing refiner leaves a chunk as it is."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -211,4 +220,16 @@ def refine(docs: DataFrame, refiner: Callable[[str], str] = identity, rounds: in
             frame["rounds"], frame["objections"] = column([r[1] for r in rows]), column([r[2] for r in rows])
             yield frame
 
-    return chunks(docs, **sizes).mapInPandas(run, REFINED)
+    return parts.mapInPandas(run, REFINED)
+
+
+def refine(docs: DataFrame, refiner: Callable[[str], str] = identity, rounds: int = 6, **sizes: int) -> DataFrame:
+    """Every chunk of ``docs`` with its refined text."""
+    return refine_chunks(chunks(docs, **sizes), refiner, rounds)
+
+
+def refined_documents(docs: DataFrame, refiner: Callable[[str], str] = identity, rounds: int = 6, page_mode: bool = False, **sizes: int) -> DataFrame:
+    """(doc_id, text): chunked (``page_mode``: one chunk a text), refined, stitched, without lines of dashes."""
+    parts = single_chunks(docs) if page_mode else chunks(docs, **sizes)
+    whole = stitched(refine_chunks(parts, refiner, rounds), "refined")
+    return whole.select("doc_id", tx.without_rules(F.col("text")).alias("text"))

@@ -12,18 +12,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .functions import similarity, text as tx
 from .operators import candidates, context, gates, geometry, hyphens, reports, words
 from .plans import align as aligning
 from .plans import refine as refining
-from .sources import derived, files, hocr, sinks
+from .sources import alto, derived, files, hocr, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-TOK = r"""tok AS (
+TOK = r"""tok AS MATERIALIZED (
   SELECT doc_id, (unnest(range(1, len(l) + 1)) - 1)::INT AS seq, unnest(l) AS word
   FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)),
 tn AS (SELECT *, regexp_replace(lower(word), '[^\p{L}\p{N}\-–—]', '', 'g') AS norm FROM tok)"""
@@ -33,19 +34,19 @@ o1 AS (SELECT doc_id, seq, seq // 10 AS line_seq, (seq // 10) // 25 AS block_seq
     CASE WHEN seq % 17 = 0 AND nx IS NOT NULL THEN word || '*' || nx
          WHEN seq % 11 = 0 AND length(word) > 1 THEN left(word, length(word) - 1)
          WHEN seq % 7 = 0 THEN regexp_replace(word, 'e', 'c') ELSE word END AS content FROM o0),
-ocr AS (SELECT doc_id, seq, line_seq, block_seq, content, regexp_replace(lower(content), '[^\p{L}\p{N}\-–—]', '', 'g') AS norm,
+ocr AS MATERIALIZED (SELECT doc_id, seq, line_seq, block_seq, content, regexp_replace(lower(content), '[^\p{L}\p{N}\-–—]', '', 'g') AS norm,
     (1000 * block_seq + 12 * coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id, line_seq ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS hpos,
     40 * (line_seq % 25) AS vpos, 12 * length(content) AS width, 30 AS height, 40 + (seq * 7) % 60 AS wc FROM o1)"""
 KEYED = """,
 kt AS (SELECT doc_id, seq, norm, coalesce(lag(norm) OVER w, chr(1)) AS b, coalesce(lead(norm) OVER w, chr(1)) AS a FROM tn WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
 ko AS (SELECT doc_id, seq, norm, coalesce(lag(norm) OVER w, chr(1)) AS b, coalesce(lead(norm) OVER w, chr(1)) AS a FROM ocr WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
-choice AS (SELECT ko.doc_id, min(ko.seq) AS seq, k.tok_seq FROM ko JOIN
+choice AS MATERIALIZED (SELECT ko.doc_id, min(ko.seq) AS seq, k.tok_seq FROM ko JOIN
     (SELECT doc_id, norm, b, a, min(seq) AS tok_seq FROM kt GROUP BY ALL HAVING count(*) = 1) k USING (doc_id, norm, b, a)
     WHERE NOT (ko.b = chr(1) AND ko.a = chr(1)) GROUP BY ko.doc_id, k.tok_seq),
 st0 AS (SELECT o.*, c.tok_seq, t.last_tok, v.norm IS NOT NULL AS has FROM ocr o LEFT JOIN choice c USING (doc_id, seq)
     LEFT JOIN (SELECT doc_id, max(seq) AS last_tok FROM tn GROUP BY 1) t USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, norm FROM tn) v USING (doc_id, norm)),
 st1 AS (SELECT *, coalesce(lag(tok_seq) OVER w = tok_seq - 1, false) AS ll, coalesce(lead(tok_seq) OVER w = tok_seq + 1, false) AS rl FROM st0 WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
-st AS (SELECT *, CASE WHEN tok_seq IS NOT NULL AND NOT (tok_seq > 0 AND NOT ll OR tok_seq < last_tok AND NOT rl) THEN 'MATCHED' WHEN tok_seq IS NOT NULL OR has THEN 'PENDING' ELSE 'ERROR' END AS status FROM st1)"""
+st AS MATERIALIZED (SELECT *, CASE WHEN tok_seq IS NOT NULL AND NOT (tok_seq > 0 AND NOT ll OR tok_seq < last_tok AND NOT rl) THEN 'MATCHED' WHEN tok_seq IS NOT NULL OR has THEN 'PENDING' ELSE 'ERROR' END AS status FROM st1)"""
 CONV = r"""conv AS (SELECT conv_id AS doc_id, string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text
   FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)"""
 TURNS = "pairs AS (SELECT * FROM (SELECT conv_id, turn, text AS ocr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS out FROM conversations) WHERE out IS NOT NULL AND ocr IS NOT NULL)"
@@ -77,8 +78,6 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as the OCR text of the next."""
-    from pyspark.sql.window import Window as W
-
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return rows.select("conv_id", "turn", F.col("text").alias("ocr"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("out")).where("out is not null and ocr is not null")
 
@@ -160,6 +159,36 @@ def _(s, d):
     return words.layout_lines(conversations(s, d))
 
 
+LAYOUT = rf"""{CONV}, l AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM conv)),
+t AS (SELECT *, nullif(replace(lower(trim(regexp_extract(text, '^\s*\[([^\]]+)\]\s*$', 1))), ' ', '_'), '') AS own FROM l),
+pl AS (SELECT doc_id, line, text, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS layout_tag FROM t QUALIFY own IS NULL),
+ta AS (SELECT doc_id, line, layout_tag, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM (SELECT doc_id, line, layout_tag, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM pl)),
+tb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, i) - 1 AS seq FROM ta),
+pp AS (SELECT doc_id, unnest(range(0, len(p)))::INT AS para, unnest(p) AS part FROM (SELECT doc_id, string_split_regex(string_agg(text, chr(10) ORDER BY line), '\n\s*\n+') AS p FROM pl GROUP BY doc_id)),
+pa AS (SELECT doc_id, para, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, para, list_filter(string_split_regex(part, '\s+'), lambda x: x <> '') AS w FROM pp)),
+pb AS (SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id ORDER BY para, i) - 1 AS seq FROM pa)"""
+
+
+@query("prepared_tokens", f"WITH {LAYOUT} SELECT doc_id, seq, word, layout_tag, para AS clean_para_id FROM tb JOIN pb USING (doc_id, seq)")
+def _(s, d):
+    return words.prepared_tokens(conversations(s, d)).select("doc_id", "seq", "word", "layout_tag", "clean_para_id")
+
+
+@query("aligned_layout", f"WITH {LAYOUT} SELECT doc_id, seq, layout_tag, para AS clean_para_id FROM tb JOIN pb USING (doc_id, seq) WHERE seq % 3 <> 1 UNION ALL SELECT doc_id, seq, NULL, NULL FROM tb WHERE seq % 3 = 1")
+def _(s, d):
+    # two of three words hold the token at their place
+    clean = words.prepared_tokens(conversations(s, d))
+    held = clean.select("doc_id", "seq", F.when(F.col("seq") % 3 != 1, F.col("seq")).cast("long").alias("tok_seq"))
+    return aligning.with_layout(held, clean).drop("tok_seq")
+
+
+@query("word_line_block_ids", f"WITH {OCR}, i AS (SELECT doc_id, seq, printf('WORD_%03d_%03d_%03d', block_seq, line_seq, seq % 10 + 1) AS id FROM ocr) SELECT doc_id, seq, 'BLOCK_' || split_part(id, '_', 2) AS block_id, 'LINE_' || split_part(id, '_', 2) || '_' || split_part(id, '_', 3) AS line_id, id AS word_id FROM i")
+def _(s, d):
+    rows = ocr(s, d).withColumn("id", F.format_string("WORD_%03d_%03d_%03d", "block_seq", "line_seq", F.col("seq") % 10 + 1))
+    block, line = tx.block_line_ids(F.col("id"))
+    return rows.select("doc_id", "seq", block.alias("block_id"), line.alias("line_id"), tx.word_id(line, F.col("seq") % 10 + 1).alias("word_id"))
+
+
 # candidates
 
 
@@ -274,10 +303,18 @@ def _(s, d):
     return reports.missing_neighbours(statuses(s, d))
 
 
-@query("swap_edges", f"""WITH {OCR}{KEYED}{MISSING} SELECT a.doc_id, a.seq AS src, b.seq AS dst FROM mi a JOIN mi b ON a.doc_id = b.doc_id AND a.side = 'right' AND b.side = 'left' AND a.expected = b.tok_seq AND b.expected = a.tok_seq
-WHERE abs(a.vpos - b.vpos) <= 50 AND abs(a.seq - b.seq) <= 200 AND a.seq <> b.seq""")
+@query("swap_edges", f"""WITH {TOK}, c AS (SELECT doc_id, seq AS tok_seq, 10 * (seq // 10) + (seq + 5) % 10 AS place, 40 * (seq // 10) AS vpos FROM tok),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS seq, max(tok_seq) OVER (PARTITION BY doc_id) AS last_tok FROM c),
+k AS (SELECT *, coalesce(lag(tok_seq) OVER w = tok_seq - 1, false) AS ll, coalesce(lead(tok_seq) OVER w = tok_seq + 1, false) AS rl FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
+SELECT a.doc_id, a.seq AS src, b.seq AS dst FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.tok_seq = a.tok_seq + 1 WHERE NOT a.rl AND NOT b.ll AND abs(a.vpos - b.vpos) <= 50 AND abs(a.seq - b.seq) <= 200 AND a.seq <> b.seq""")
 def _(s, d):
-    return reports.swap_edges(statuses(s, d))
+    # the halves of every line of ten words are read in the wrong order
+    rows = tokens(s, d).select("doc_id", F.col("seq").alias("tok_seq"), (10 * F.floor(F.col("seq") / 10) + (F.col("seq") + 5) % 10).alias("place"), (40 * F.floor(F.col("seq") / 10)).alias("vpos"))
+    by_page = W.partitionBy("doc_id")
+    rows = rows.withColumn("seq", F.row_number().over(by_page.orderBy("place")) - 1).withColumn("last_tok", F.max("tok_seq").over(by_page))
+    order = by_page.orderBy("seq")
+    left, right = (F.coalesce(x, F.lit(False)) for x in (F.lag("tok_seq").over(order) == F.col("tok_seq") - 1, F.lead("tok_seq").over(order) == F.col("tok_seq") + 1))
+    return reports.swap_edges(rows.withColumn("left_linked", left).withColumn("right_linked", right))
 
 
 @query("gap_fill_scores", f"""WITH {OCR}{KEYED}, g AS (SELECT *, lag(tok_seq) OVER w AS lt, lead(tok_seq) OVER w AS rt FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
@@ -408,6 +445,73 @@ def _(s, d):
     return hocr.words(sinks.hocr(ocr(s, d))).select("doc_id", "seq", "content", "hpos", "vpos", "width", "height", "wc")
 
 
+ITEMS = """,
+rd AS (SELECT *, CASE WHEN seq % 10 = 4 OR seq % 10 = 0 AND seq > 0 THEN seq - 1 ELSE seq END AS reading FROM ocr),
+rw AS (SELECT *, count(*) OVER r > 1 AND min(line_seq) OVER r = max(line_seq) OVER r AND min(vpos) OVER r = max(vpos) OVER r AND NOT bool_or(regexp_matches(content, '-\\s*$')) OVER r AS m,
+  min(hpos) OVER r AS l, max(hpos + width) OVER r AS e, max(vpos + height) OVER r AS b FROM rd WINDOW r AS (PARTITION BY doc_id, reading)),
+it AS (SELECT doc_id, line_seq AS line_no, seq, row_number() OVER (PARTITION BY doc_id, line_seq ORDER BY seq) AS n, CASE WHEN reading < seq THEN '' ELSE content END AS content,
+  CASE WHEN m THEN l ELSE hpos END AS hpos, vpos, CASE WHEN m THEN e - l ELSE width END AS width, CASE WHEN m THEN b - vpos ELSE height END AS height, wc, block_seq FROM rw WHERE NOT m OR seq = reading)""".replace("\\\\", "\\")
+
+
+def joined_readings(s: SparkSession, d: str) -> DataFrame:
+    """Words as they are, but for the fourth and fifth of each line, and the last and the next line's first, which are one reading."""
+    rows = ocr(s, d)
+    place = F.col("seq") % 10
+    reading = F.when((place == 4) | (place == 0) & (F.col("seq") > 0), F.col("seq") - 1).otherwise(F.col("seq"))
+    rows = rows.withColumn("ocr", F.col("content")).withColumn("reading", reading).withColumn("content", F.when(F.col("reading") < F.col("seq"), "").otherwise(F.col("content")))
+    return rows.select("doc_id", "seq", F.lit(0).alias("part"), "content", "hpos", "vpos", "width", "height", "wc", F.col("seq").alias("tok_seq"), "ocr", "reading", F.col("wc").alias("align_conf"))
+
+
+@query("line_items", f"WITH {OCR}{ITEMS} SELECT doc_id, line_no, seq, content, hpos, vpos, width, height FROM it")
+def _(s, d):
+    lines = ocr(s, d).select("doc_id", "seq", F.col("line_seq").alias("line_no"))
+    return sinks.line_items(joined_readings(s, d), lines).select("doc_id", "line_no", "seq", "content", "hpos", "vpos", "width", "height")
+
+
+@query("alto_write_back", f"WITH {OCR}{ITEMS} SELECT doc_id, line_no, printf('WORD_%d_%d_%03d', block_seq, line_no, n) AS word_id, content, hpos, vpos, width, height, wc AS alignconf FROM it")
+def _(s, d):
+    written = sinks.updated_alto(sinks.alto(ocr(s, d)), joined_readings(s, d))
+    return alto.marked_strings(written).select("doc_id", "line_no", "word_id", "content", "hpos", "vpos", "width", "height", "alignconf")
+
+
+@query("alto_scan", f"WITH {OCR} SELECT doc_id, seq, line_seq AS line_no, content, hpos, vpos, width, height, wc FROM ocr")
+def _(s, d):
+    return alto.marked_strings(sinks.alto(ocr(s, d))).select("doc_id", "seq", "line_no", "content", "hpos", "vpos", "width", "height", "wc")
+
+
+@query("hocr_write_back", f"""WITH {OCR}{KEYED} SELECT st.doc_id, st.seq, coalesce(tok.word, st.content) AS content, st.wc, least(100, greatest(0, round_even(wc * CASE WHEN status = 'MATCHED' THEN 1.0 WHEN tok_seq IS NOT NULL THEN 0.60 WHEN NOT has THEN 0.25 ELSE 0.45 END, 0)::INT)) AS align_conf, st.block_seq AS clean_para
+FROM st LEFT JOIN tok ON tok.doc_id = st.doc_id AND tok.seq = st.tok_seq""")
+def _(s, d):
+    rows = context.with_confidence(statuses(s, d)).join(tokens(s, d).select("doc_id", F.col("seq").alias("tok_seq"), "word"), ["doc_id", "tok_seq"], "left")
+    aligned = rows.select("doc_id", "seq", F.lit(0).alias("part"), F.coalesce("word", "content").alias("content"), "align_conf", F.col("block_seq").alias("clean_para_id"))
+    found = hocr.elements(sinks.updated_hocr(sinks.hocr(ocr(s, d)), aligned)).where(F.col("class") == "ocrx_word")
+    of = lambda key: F.regexp_extract("title", rf"\b{key} (\d+)", 1).cast("int")
+    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("at")) - 1
+    return found.select("doc_id", seq.alias("seq"), "content", of("x_wconf").alias("wc"), of("alignconf").alias("align_conf"), of("cleanpara").alias("clean_para"))
+
+
+@query("merged_alto", f"WITH {TOK} SELECT doc_id // 10 AS document, count(DISTINCT doc_id) AS n_pages, count(*) AS n_words, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS ids FROM tok GROUP BY 1")
+def _(s, d):
+    pages = sinks.alto(ocr(s, d)).withColumn("document", F.floor(F.col("doc_id") / 10))
+    ids = F.regexp_extract_all("markup", F.lit(r'<Page ID="PAGE_([^"]*)"'), F.lit(1))
+    rows = sinks.merged_alto(pages, "document", "doc_id")
+    return rows.select("document", F.size(ids).cast("long").alias("n_pages"), F.regexp_count("markup", F.lit("<String ")).cast("long").alias("n_words"), F.array_join(F.sort_array(ids), ",").alias("ids"))
+
+
+@query("combined_hocr", f"WITH {TOK} SELECT doc_id // 10 AS document, count(DISTINCT doc_id) AS n_pages, count(*) AS n_words FROM tok GROUP BY 1")
+def _(s, d):
+    rows = sinks.combined_hocr(sinks.hocr(ocr(s, d)).withColumn("document", F.floor(F.col("doc_id") / 10)), "document", "doc_id")
+    count = lambda word: F.regexp_count("markup", F.lit(word)).cast("long")
+    return rows.select("document", count("class='ocr_page'").alias("n_pages"), count("class='ocrx_word'").alias("n_words"))
+
+
+@query("title_append", f"WITH {OCR} SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN 'alignconf 5' WHEN seq % 3 = 1 THEN 'bbox 1 2 3 4; alignconf ' || wc ELSE 'alignconf ' || wc END AS title FROM ocr")
+def _(s, d):
+    kind = F.col("seq") % 3
+    title = F.when(kind == 0, "alignconf 5").when(kind == 1, "bbox 1 2 3 4").otherwise("")
+    return ocr(s, d).select("doc_id", "seq", tx.with_property(title, "alignconf", F.col("wc")).alias("title"))
+
+
 @query("html_class_scan", r"""SELECT page_id, len(regexp_extract_all(html, '<[a-z0-9]+\b[^>]*\bclass="ad"[^>]*>')) AS n FROM pages""")
 def _(s, d):
     pages = s.read.parquet(f"{d}/pages.parquet")
@@ -446,10 +550,12 @@ def _(s, d):
     return gates.table_runs(gates.lines_of(docs(s, d)))
 
 
-@query("probable_tables", r"""SELECT doc_id FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
+@query("probable_tables", r"""SELECT doc_id FROM (SELECT doc_id, list_filter(string_split(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\s+', ' 1,' || chr(10), 'g') ELSE text END, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
 WHERE len(l) >= 5 AND len(list_filter(l, lambda x: length(trim(x)) <= 35)) >= 0.6 * len(l) AND len(list_filter(l, lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[,.;:/|]'))) >= 0.4 * len(l)""")
 def _(s, d):
-    return docs(s, d).where(tx.probable_table(F.col("text"))).select("doc_id")
+    # every second text as a column of words and numbers
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"\s+", " 1,\n")).otherwise(F.col("text"))
+    return docs(s, d).where(tx.probable_table(text)).select("doc_id")
 
 
 SQUEEZE = r"regexp_replace(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
@@ -511,6 +617,17 @@ def _(s, d):
     return refining.stitched(refining.chunks(docs(s, d), split_tables=False)).select("doc_id", F.regexp_replace("text", r"\s+", "").alias("text"))
 
 
+@query("single_chunks", "SELECT doc_id, 0 AS chunk_id, 0 AS start_line, len(string_split(text, chr(10))) - 1 AS end_line, text FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return refining.single_chunks(docs(s, d)).select("doc_id", "chunk_id", "start_line", "end_line", "text")
+
+
+@query("refined_docs", r"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '---'), ''), '\s+', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    rows = refining.refined_documents(docs(s, d), page_mode=True)
+    return rows.select("doc_id", F.regexp_replace("text", r"\s+", "").alias("text"))
+
+
 @query("refine_loop")
 def _(s, d):
     return refining.refine(docs(s, d)).select("doc_id", "chunk_id", "rounds", F.size("objections").alias("n_objections"), (F.col("refined") == F.col("text")).alias("unchanged"))
@@ -557,10 +674,8 @@ def _(s, d):
 
 @query("natural_page_order", r"SELECT page_id, row_number() OVER (ORDER BY length(regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1)), regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1), page_id) AS place FROM pages".replace("\\\\", "\\"))
 def _(s, d):
-    from pyspark.sql.window import Window as W
-
     rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
-    return rows.select("page_id", F.row_number().over(W.orderBy(*files.natural_order(F.col("url")), "page_id")).alias("place"))
+    return files.ranked(rows, "place", *files.natural_order(F.col("url")), F.col("page_id")).select("page_id", "place")
 
 
 @query("cutoff_sweep")

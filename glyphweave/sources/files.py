@@ -25,13 +25,36 @@ def natural_order(path: Column) -> tuple[Column, Column]:
     return F.length(name), name
 
 
+def page_name(path: Column) -> Column:
+    """A page's name: its file's, up to the first full stop."""
+    return F.regexp_extract(path, r"([^/.]*)[^/]*$", 1)
+
+
+def ranked(rows: DataFrame, place: str, *keys: Column) -> DataFrame:
+    """``rows`` with their place by ``keys``, the first two of them a length and a
+    text. Counts of their beginnings are added up first, so that no task sorts all rows."""
+    from pyspark.sql.window import Window as W
+
+    rows = rows.withColumns({"__n": keys[0], "__head": F.substring(keys[1], 1, 8)})
+    heads = rows.groupBy("__n", "__head").agg(F.count("*").alias("__in"))
+    ahead = F.coalesce(F.sum("__in").over(W.orderBy("__n", "__head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("__n", "__head").orderBy(*keys))
+    placed = rows.join(heads.withColumn("__ahead", ahead), ["__n", "__head"])
+    return placed.withColumn(place, (own + F.col("__ahead")).cast("int")).drop("__n", "__head", "__in", "__ahead")
+
+
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, kind, stem) of the page files of a folder: ALTO where there is any, else hOCR."""
+    """(path, kind, stem) of the page files below a folder, each document by itself:
+    its folder ``alto`` if that holds XML, else its folder ``hocr``, else hOCR files beside these."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    kind = F.when(F.lower("path").rlike(r"\.xml$"), "alto").when(F.lower("path").rlike(r"\.hocr(\.html?)?(\.gz)?$|hocr[^/]*\.html?$"), "hocr")
-    rows = files.withColumn("kind", kind).where("kind is not null").withColumn("stem", stem(F.col("path")))
-    best = rows.agg(F.min("kind").alias("kind"))  # one row
-    return rows.join(F.broadcast(best), "kind").select("path", "kind", "stem").orderBy(*natural_order(F.col("path")))
+    parent, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+    page = name.rlike(r"\.hocr(\.html?)?(\.gz)?$|\.html?(\.gz)?$")
+    rank = F.when(parent.endswith("/alto") & name.endswith(".xml"), 0).when(parent.endswith("/hocr") & page, 1).when(name.endswith(".xml"), 2).when(page & name.contains("hocr"), 3)
+    rows = files.withColumn("rank", rank).where("rank is not null")
+    rows = rows.withColumn("document", F.when(F.col("rank") < 2, F.regexp_extract(parent, r"^(.*)/[^/]*$", 1)).otherwise(parent))
+    best = rows.groupBy("document").agg(F.min("rank").alias("rank"))
+    rows = rows.join(best, ["document", "rank"]).withColumn("kind", F.when(F.col("rank") % 2 == 0, "alto").otherwise("hocr"))
+    return rows.select("path", "kind", stem(F.col("path")).alias("stem")).orderBy(*natural_order(F.col("path")))
 
 
 def clean_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +67,6 @@ def clean_file_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("norm", tx.normalized(F.col("word")))
 
 
-def first_page(pages: DataFrame, order: str) -> DataFrame:
-    """The page that comes first in ``order`` for each file."""
-    return pages.groupBy("path").agg(F.min_by("page", order).alias("page"))
-
-
 def recognised(spark: SparkSession, images: str, language: str = "eng", layout: int = 3, program: str = "tesseract") -> DataFrame:
     """(path, markup): hOCR of page images by an outside program, which must be
     on every worker; images spread over the cluster one by one."""

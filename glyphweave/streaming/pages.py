@@ -14,23 +14,39 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as tx
 from ..plans.align import align
 from ..sources import hocr
+from ..sources.files import page_name
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
-
-
-def stem(path):
-    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+MOST = 1000  # files in a batch
 
 
 def aligned_pages(spark: SparkSession, markup_dir: str, clean_dir: str, out: str, checkpoint: str, cutoff: float = 60.0) -> StreamingQuery:
-    """Start a query over hOCR files in ``markup_dir``; clean texts are read from ``clean_dir`` when their page comes."""
-    arriving = spark.readStream.format("binaryFile").schema(FILES).load(markup_dir)
+    """Start a query over hOCR files in ``markup_dir`` (plain or gzip); of the clean
+    texts in ``clean_dir`` only those of a batch's pages are read. Pages whose text
+    isn't there yet are listed in ``out``/_waiting, and tried again in later batches."""
+    arriving = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", MOST).load(markup_dir)
 
     def batch(files: DataFrame, number: int) -> None:
-        pages = files.select(F.xxhash64(stem(F.col("path"))).alias("doc_id"), F.decode("content", "UTF-8").alias("markup"))
-        clean = spark.read.format("binaryFile").load(clean_dir).select(F.xxhash64(stem(F.col("path"))).alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
-        clean = clean.join(pages.select("doc_id"), "doc_id", "left_semi")
+        paths = [r.path for r in files.select("path").collect()] + waiting(spark, out, number)  # MOST names, and those that wait
+        if not paths:
+            return
+        pages = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("markup"))  # undoes gzip
+        pages = pages.withColumn("doc_id", F.xxhash64(page_name(F.col("path"))))
+        names = sorted({p.rsplit("/", 1)[-1].split(".")[0] for p in paths})
+        texts = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}.*").load(clean_dir)
+        clean = texts.select(F.xxhash64(page_name(F.col("path"))).alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+        here = pages.join(clean.select("doc_id"), "doc_id", "left_semi")
+        pages.join(clean.select("doc_id"), "doc_id", "left_anti").select("path").write.mode("overwrite").parquet(f"{out}/_waiting/batch={number}")
         tokens = clean.select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("seq", "word"))
-        align(hocr.words(pages), tokens, cutoff).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        sizes = hocr.page_sizes(here).select("doc_id", F.col("height").alias("page_height"))
+        align(hocr.words(here).join(sizes, "doc_id", "left"), tokens, cutoff).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def waiting(spark: SparkSession, out: str, number: int) -> list[str]:
+    """Files that the batch before left without a text."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_waiting/batch={number - 1}")
+    if number == 0 or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return []
+    return [r.path for r in spark.read.parquet(f"{out}/_waiting/batch={number - 1}").collect()]
