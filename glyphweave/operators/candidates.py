@@ -38,9 +38,9 @@ def fuzzy_candidates(words: DataFrame, tokens: DataFrame, cutoff: float) -> Data
     exact clean word at 100, or else all clean words of the page at or above
     the cutoff. Pages meet their own vocabulary only, in one shuffle."""
     vocab = vocabulary(tokens).select("doc_id", "norm", "first_seq")
-    distinct = words.select("doc_id", "norm").distinct()
-    exact = distinct.join(vocab, ["doc_id", "norm"]).select("doc_id", "norm", F.col("norm").alias("clean_form"), F.lit(100.0).alias("score"), F.col("first_seq").cast("long"))
-    rest = distinct.join(vocab, ["doc_id", "norm"], "left_anti")
+    met = words.select("doc_id", "norm").distinct().join(vocab, ["doc_id", "norm"], "left")
+    exact = met.where("first_seq is not null").select("doc_id", "norm", F.col("norm").alias("clean_form"), F.lit(100.0).alias("score"), F.col("first_seq").cast("long"))
+    rest = met.where("first_seq is null").select("doc_id", "norm")
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = left["norm"].tolist(), right["norm"].tolist()
@@ -49,7 +49,7 @@ def fuzzy_candidates(words: DataFrame, tokens: DataFrame, cutoff: float) -> Data
         columns = {"doc_id": np.full(len(i), page, np.int64), "norm": np.array(a, object)[i], "clean_form": np.array(b, object)[j], "score": score, "first_seq": right["first_seq"].to_numpy()[j]}
         return pd.DataFrame(columns)
 
-    found = by_page(rest).cogroup(by_page(vocab.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"))).applyInPandas(match, CANDIDATES)
+    found = by_page(rest).cogroup(by_page(vocab)).applyInPandas(match, CANDIDATES)
     return exact.unionByName(found)
 
 

@@ -19,12 +19,9 @@ def edges(words: DataFrame) -> DataFrame:
         F.min("hpos").alias("l"), F.max(right).alias("r"), F.min_by("hpos", "seq").alias("first"), F.max_by(right, "seq").alias("last")
     )
     blocks = lines.groupBy("doc_id", "block_seq").agg(F.min("l").alias("l"), F.max("r").alias("r"))
-    pairs = [(blocks, "left", "l"), (blocks, "right", "r"), (lines, "left", "l"), (lines, "right", "r"), (lines, "left", "first"), (lines, "right", "last")]
-    out = None
-    for table, side, column in pairs:
-        one = table.select("doc_id", F.lit(side).alias("side"), F.col(column).cast("long").alias("position"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    sides = lambda **of: F.array(*[F.struct(F.lit(name.split("_")[0]).alias("side"), F.col(c).cast("long").alias("position")) for name, c in of.items()])
+    of_blocks = blocks.select("doc_id", F.inline(sides(left="l", right="r")))
+    return of_blocks.unionByName(lines.select("doc_id", F.inline(sides(left="l", right="r", left_word="first", right_word="last"))))
 
 
 def edge_clusters(positions: DataFrame) -> DataFrame:

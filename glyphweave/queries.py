@@ -680,8 +680,4 @@ def _(s, d):
 
 @query("cutoff_sweep")
 def _(s, d):
-    out = None
-    for cutoff in (60.0, 70.0, 80.0):
-        one = aligning.quality(aligning.align(ocr(s, d), tokens(s, d), cutoff)).withColumn("cutoff", F.lit(cutoff))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return aligning.quality(aligning.align_at(ocr(s, d), tokens(s, d), [60.0, 70.0, 80.0]), "cutoff")
