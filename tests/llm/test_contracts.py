@@ -211,3 +211,64 @@ def test_components_grow_by_later_links(spark):
     grown = comps.extended(comps.components(frame(edges)), frame(later))
     whole = comps.components(frame(edges + later))
     assert sorted((bytes(r.node), bytes(r.component)) for r in grown.collect()) == sorted((bytes(r.node), bytes(r.component)) for r in whole.collect())
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Every stage again in plain Python (the line model's scores as they are), on the whole run's rows."""
+    import corpus_pipeline as pipeline
+    from test_media_and_pairs import base, classes_of, plain_targets
+    from test_models import junk
+
+    draw = random.Random(37)
+    bench = [(1, prose(draw, 30)), (2, prose(draw, 14)), (3, "tiny item here")]
+    rows = []
+    for i in range(150):
+        lines = [prose(draw, draw.randint(10, 30)) for _ in range(3)]
+        if i % 5 == 0:
+            lines = [junk(draw) for _ in range(4)]
+        if i % 7 == 3:
+            lines[1] += f" mail{i}@mail.example.com and +1 (383) 555-{1000 + i}"
+        if i % 11 == 4:
+            lines[2] = edited(draw, bench[0][1].rstrip("."), 2)
+        rows.append((i, "\n".join(lines), "en", f"src{i % 3}", 1))
+    rows += [(200 + i, rows[4 * i + 1][1], "en", "src1", 1) for i in range(9)] + [(300 + i, edited(draw, rows[4 * i + 1][1], 1), "en", "src2", 1) for i in range(9)]
+    rows += [(400, None, None, None, None), rows[2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    score = {r.doc_id: r.score for r in crf.quality_scores(docs, labels, ["doc_id"]).collect()}
+    left = [r for r in rows if score[r[0]] >= crf.THRESHOLD]
+    assert 100 < len(left) < len(rows)
+    classes = classes_of([r[1] for r in left])
+    least = {}
+    for r, c in zip(left, classes):
+        least[c] = min(least.get(c, r[0]), r[0])
+    left = sorted({r[0]: r for r, c in zip(left, classes) if least[c] == r[0]}.values())
+    leaky = {d for d, _ in leaks_by_brute_force([(r[0], r[1]) for r in left], bench)}
+    assert leaky
+    left = [r for r in left if r[0] not in leaky]
+
+    def redacted(text):
+        if text is None:
+            return None
+        out, at = "", 0
+        for s, k, e in base(text):
+            out, at = out + text[at:s] + f"[{pii.KINDS[k].upper()}]", e
+        return out + text[at:]
+
+    left = [(r[0], redacted(r[1]), *r[2:]) for r in left]
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in left}
+    sizes = Counter()
+    for r in left:
+        sizes[r[3]] += size[r[0]]
+    targets = plain_targets(sizes)
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in got} <= {(r[0], r[1]) for r in left} and len({r.doc_id for r in got}) == len(got)
+    taken = Counter()
+    for r in got:
+        assert r.size == size[r.doc_id] and 0 < r.taken <= 2 * r.size and r.copies == r.taken // r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
