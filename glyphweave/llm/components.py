@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) → (node, component), the component named by its least node.
 
-    Every round writes its labels to the shared folder; only a count reaches
-    the driver. A path of n nodes takes about log n rounds, a star two.
+    Every round writes its labels to the shared folder, where they replace those of
+    the round before; only a count reaches the driver. A path of n nodes takes about
+    log n rounds, a star two.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = written(both.where("node != other").distinct(), "component-edges", narrow=True)
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.min("node")).alias("component")), "component-labels", narrow=True)
+    held = written(both.groupBy("node").agg(F.least(F.min("other"), F.min("node")).alias("component")), "component-labels", narrow=True)
     while True:
+        labels = held.select("node", "component")
         of_other = labels.select(F.col("node").alias("other"), F.col("component").alias("offered"))
         offers = both.join(of_other, "other").groupBy("node").agg(F.min("offered").alias("offered"))
         hooked = labels.join(offers, "node").select("node", F.least("component", "offered").alias("component"), F.col("component").alias("was"))
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("above"))
         jumped = hooked.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "was")
         jumped = written(jumped, "component-labels", narrow=True)
-        changed = jumped.where("component != was").limit(1).count()
-        labels = jumped.select("node", "component")
-        if not changed:
-            return labels
+        discard(held)
+        held = jumped
+        if not jumped.where("component != was").limit(1).count():
+            discard(both)
+            return jumped.select("node", "component")
 
 
 def extended(labels: DataFrame, links: DataFrame, broadcast: int = 1_000_000) -> DataFrame:

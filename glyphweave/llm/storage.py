@@ -40,7 +40,16 @@ def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that no later plan reads; a session may run for long."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
