@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot_keys import hot, looked_up
 from .storage import discard, written
 
 
@@ -13,23 +14,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round writes its labels to the shared folder, where they replace those of
     the round before; only a count reaches the driver. A path of n nodes takes about
-    log n rounds, a star two.
+    log n rounds, a star two. Neither a hub's edges nor a large component's nodes meet
+    in one task.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = written(both.where("node != other").distinct(), "component-edges", narrow=True)
     held = written(both.groupBy("node").agg(F.least(F.min("other"), F.min("node")).alias("component")), "component-labels", narrow=True)
+    hubs = hot(both, "other", "component-hubs")
     while True:
         labels = held.select("node", "component")
         of_other = labels.select(F.col("node").alias("other"), F.col("component").alias("offered"))
-        offers = both.join(of_other, "other").groupBy("node").agg(F.min("offered").alias("offered"))
+        offers = looked_up(both, "other", of_other, F.col("node"), hubs).groupBy("node").agg(F.min("offered").alias("offered"))
         hooked = labels.join(offers, "node").select("node", F.least("component", "offered").alias("component"), F.col("component").alias("was"))
+        hooked = written(hooked, "component-hooked", narrow=True)
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = hooked.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "was")
+        large = hot(hooked, "component", "component-large")
+        jumped = looked_up(hooked, "component", up, F.col("node"), large).select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "was")
         jumped = written(jumped, "component-labels", narrow=True)
-        discard(held)
+        for table in (held, hooked, large):
+            discard(table)
         held = jumped
         if not jumped.where("component != was").limit(1).count():
             discard(both)
+            discard(hubs)
             return jumped.select("node", "component")
 
 
@@ -46,6 +53,10 @@ def extended(labels: DataFrame, links: DataFrame, broadcast: int = 1_000_000) ->
     ends = sided.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
     above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
-    few = above.limit(broadcast + 1).count() <= broadcast
-    moved = labels.unionByName(new).join(F.broadcast(above) if few else above, "component", "left")
+    grown = labels.unionByName(new)
+    if above.limit(broadcast + 1).count() <= broadcast:
+        moved = grown.join(F.broadcast(above), "component", "left")
+    else:
+        grown = written(grown, "component-grown", narrow=True)
+        moved = looked_up(grown, "component", above, F.col("node"), hot(grown, "component", "component-large"))
     return written(moved.select("node", F.coalesce("above", "component").alias("component")), "component-labels", narrow=True)

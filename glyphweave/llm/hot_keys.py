@@ -1,0 +1,37 @@
+"""Look-ups that no frequent key brings into one task.
+
+Of any number of rows at most ``HOT_KEYS`` keys stand on more than one row in
+``HOT_KEYS``. What these look up is broadcast, and their rows are dealt by
+another column; all other keys are shuffled as ever.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .storage import written
+
+HOT_KEYS = 1000
+
+
+def hot(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(``key``) of ``rows``, a written table, that are frequent."""
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return frequent(counted, key, rows.count(), label)
+
+
+def frequent(counted: DataFrame, key: str, rows: int, label: str) -> DataFrame:
+    """The same of counts ``n`` that are there already, at most ``rows`` in all."""
+    return written(counted.where(F.col("n") > max(1.0, rows / HOT_KEYS)).select(key), f"{label}-hot", narrow=True)
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, spread: Column, hot_keys: DataFrame) -> DataFrame:
+    """``rows`` with the other columns of ``table`` (one row a key), null where it has
+    none. ``spread`` has the key's type; what it meets in ``table`` isn't looked at."""
+    values = [c for c in table.columns if c != key]
+    few = table.join(F.broadcast(hot_keys), key, "left_semi").select(key, F.struct(*values).alias("few"))
+    rest = table.select(F.col(key).alias("meet"), F.struct(*values).alias("rest"))
+    is_hot = F.col("few").isNotNull()
+    met = rows.join(F.broadcast(few), key, "left").withColumn("meet", F.when(is_hot, spread).otherwise(F.col(key))).join(rest, "meet", "left")
+    return met.select(*rows.columns, *(F.when(is_hot, F.col("few")[v]).otherwise(F.col("rest")[v]).alias(v) for v in values))

@@ -19,7 +19,8 @@ tasks, in blocks of bounded size: members with a partner of another class
 whose signature agrees get their texts, pairs are compared exactly in the
 order of agreement, and a pair that a link has meanwhile put into one class is
 skipped. Only links go out. Hot buckets span many blocks; labels, edges and
-members stay distributed.
+members stay distributed, and what a large bucket, class or group of equal texts
+looks up is broadcast, so that its rows needn't meet.
 
 Defined results: null text is empty; equal texts share a class, empty ones
 included; texts without words have no shingles and join no other class; one to
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, extended
+from .hot_keys import frequent, hot, looked_up
 from .sieve import numbered, thinned, without
 from .storage import documents, lean, small_batches, written
 from .words import blocks, hashed_words, mix
@@ -300,7 +302,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, label: str) -
     return edges
 
 
-def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, crossed: bool) -> DataFrame:
+def open_blocks(shared: DataFrame, hot_bands: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, crossed: bool) -> DataFrame:
     """Members of the buckets that hold several classes, dealt to blocks of about
     ``rows``; ``crossed``: to pairs of blocks. Members of a bucket's largest class
     have blocks of their own, which meet those of the other members but not each
@@ -313,7 +315,7 @@ def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: in
     large, n = blocks(F.col("most.n"), F.col("most.length")), blocks(F.col("n"), F.col("length"))
     others = F.greatest(F.lit(1), blocks(F.col("n") - F.col("most.n"), F.col("length") - F.col("most.length")))
     sizes = sizes.select("band", F.col("most.component").alias("largest"), (large if crossed else F.lit(0)).alias("large"), (large + others if crossed else n).alias("n_blocks"))
-    members = named.join(sizes, "band").join(nodes, "digest").withColumn("is_large", F.col("component") == F.col("largest"))
+    members = looked_up(named, "band", sizes, F.xxhash64("digest"), hot_bands).where("n_blocks is not null").join(nodes, "digest").withColumn("is_large", F.col("component") == F.col("largest"))
     spread = F.xxhash64("digest")
     if crossed:
         own = F.when(F.col("is_large"), F.pmod(spread, F.col("large"))).otherwise(F.col("large") + F.pmod(spread, F.col("n_blocks") - F.col("large")))
@@ -327,8 +329,8 @@ def open_blocks(shared: DataFrame, nodes: DataFrame, labels: DataFrame, rows: in
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text): one row for each distinct text (``digest``,
-    ``component``: the least digest of its class, ``class_id``: the least doc_id of its class, ``class_size`` in rows), and
-    the links found (``a``, ``b``: digests)."""
+    ``component``: the least digest of its class, ``class_id``: the least doc_id of its class, ``class_size`` in rows,
+    ``chosen``: the digest of the class's text that is kept), and the links found (``a``, ``b``: digests)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = with_digest(docs).select("digest", F.coalesce("text", F.lit("")).alias("text"))
@@ -336,20 +338,21 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     nodes = written(signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("length").alias("length")), "minhash-nodes")
 
     members = nodes.select("digest", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(buckets, "band"), "minhash-buckets")
-    centers = shared.groupBy("band").agg(F.min("digest").alias("a"))
-    star = written(shared.join(centers, "band").where("digest != a").select("a", F.col("digest").alias("b")).distinct(), "minhash-star", narrow=True)
+    buckets = written(members.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("a")).where("n > 1"), "minhash-sizes", narrow=True)
+    hot_bands = frequent(buckets, "band", BANDS * nodes.count(), "minhash-bands")
+    shared = looked_up(members, "band", buckets, F.xxhash64("digest"), hot_bands).where("a is not null")
+    shared = written(shared.select("digest", "band", "a"), "minhash-buckets")
+    star = written(shared.where("digest != a").select("a", F.col("digest").alias("b")).distinct(), "minhash-star", narrow=True)
     edges = verified(star, texts, threshold, "star")
     labels = components(edges)
 
-    near = open_blocks(shared, nodes.select("digest", "signature", "length"), labels, STAR_ROWS, crossed=False)
+    near = open_blocks(shared, hot_bands, nodes.select("digest", "signature", "length"), labels, STAR_ROWS, crossed=False)
     near = near.mapInArrow(lean(near_originals), "a binary, b binary").distinct().join(star, ["a", "b"], "left_anti")
     near = verified(written(near, "minhash-near", narrow=True), texts, threshold, "near")
     edges = written(edges.unionByName(near), "minhash-edges", narrow=True)
     labels = extended(labels, near)
 
-    dealt = open_blocks(shared, nodes, labels, BLOCK_ROWS, crossed=True)
+    dealt = open_blocks(shared, hot_bands, nodes, labels, BLOCK_ROWS, crossed=True)
     left = written(dealt.mapInArrow(lean(still_open), dealt.schema), "minhash-open")
     own = texts_of(left.select("digest"), texts, "open")
     met = left.join(own, "digest").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -360,9 +363,20 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     labels = extended(labels, links)
 
     rows = with_digest(docs).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    rows = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    return rows.join(classes, "component").select("digest", "component", "class_id", "class_size"), edges
+    rows = written(rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest")), "minhash-rows", narrow=True)
+    # of a class's texts with its id the first one is chosen, an id may stand on several
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("least")
+    classes = rows.groupBy("component").agg(least, F.sum("rows").alias("class_size"))
+    classes = classes.select("component", F.col("least.doc_id").alias("class_id"), F.col("least.digest").alias("chosen"), "class_size")
+    found = looked_up(rows, "component", classes, F.col("digest"), hot(rows, "component", "minhash-classes"))
+    return found.select("digest", "component", "class_id", "class_size", "chosen"), edges
+
+
+def with_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, digest, copies) of ``docs``, with what ``classes`` say of the digest."""
+    copies = written(with_digest(docs).groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "minhash-copies", narrow=True)
+    spread = digest_of(F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    return looked_up(copies, "digest", classes, spread, hot(copies, "digest", "minhash-equal"))
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -376,12 +390,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ids = docs.select("doc_id", "text")
     classes, edges = duplicate_classes(ids, threshold)
     links = edges.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
-    rows = with_digest(ids).select("doc_id", "digest").join(classes, "digest").join(links, "digest", "left")
+    each = with_class(ids, classes.join(links, "digest", "left")).withColumn("nth", F.explode(F.expr("sequence(1L, copies)")))
     # of several rows with the class's id one is kept
-    copies = rows.groupBy("doc_id", "digest", "component", "class_id", "class_size", "n_links").agg(F.count("*").alias("copies"))
-    own = F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("digest"))
-    chosen = copies.groupBy("component").agg(F.min(own).alias("chosen"))
-    each = copies.join(chosen, "component").withColumn("nth", F.explode(F.expr("sequence(1L, copies)")))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen")) & (F.col("nth") == 1)
     return each.select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("is_kept"))
 
@@ -390,13 +400,9 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """``docs`` without the rows that another row of their class stands for."""
     columns = docs.columns
     classes, _ = duplicate_classes(docs.select("doc_id", "text"), threshold)
-    rows = with_digest(docs.select("doc_id", "text")).groupBy("digest", "doc_id").agg(F.count("*").alias("n")).join(classes, "digest")
-    # of a class's texts with its id the first one stays, an id may stand on several
-    own = F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("digest"))
-    chosen = rows.groupBy("component").agg(F.min(own).alias("chosen"))
-    fates = rows.join(chosen, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen")))
+    fates = with_class(docs.select("doc_id", "text"), classes).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen")))
     # most rows have no entry here: those stand for their class and aren't repeated
-    apart = written(fates.where("not stays or n > 1").select("digest", "doc_id", "stays"), "minhash-apart", narrow=True)
+    apart = written(fates.where("not stays or copies > 1").select("digest", "doc_id", "stays"), "minhash-apart", narrow=True)
     plain = numbered(docs)
     doc_id, text = (f"c{columns.index(x)}" for x in ("doc_id", "text"))
     at = plain.withColumn("digest", digest_of(F.col(text)))

@@ -1,0 +1,30 @@
+"""Look-ups of frequent and rare keys, against a plain dictionary."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from glyphweave.llm import hot_keys
+
+
+@pytest.mark.parametrize("share", [3, 1000])
+def test_look_ups_equal_a_plain_join(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", share)
+    draw = random.Random(share)
+    rows = [(i, 7 if i % 2 else draw.randrange(40)) for i in range(400)] + [(400 + i, None) for i in range(5)] + [(405, 39), (405, 39)]
+    values = {k: None if k % 9 == 7 else 10 * k for k in range(0, 60, 1) if k % 4}
+    left = spark.createDataFrame(rows, "id long, key long")
+    table = spark.createDataFrame(list(values.items()), "key long, value long")
+    left.write.parquet(f"{tmp_path}/rows")
+    hot = hot_keys.hot(spark.read.parquet(f"{tmp_path}/rows"), "key", "test")
+    assert 7 in {r.key for r in hot.collect()} and hot.count() <= share
+    got = hot_keys.looked_up(left, "key", table, F.col("id"), hot).collect()
+    assert sorted((r.id, r.key or -1, r.value or -1) for r in got) == sorted((i, k or -1, values.get(k) or -1) for i, k in rows)
+
+
+def test_no_rows(spark):
+    none = spark.createDataFrame([], "key long")
+    hot = hot_keys.hot(none, "key", "test")
+    assert hot.count() == 0
+    assert hot_keys.looked_up(none, "key", none.withColumn("value", F.lit(1)), F.col("key"), hot).columns == ["key", "value"]
