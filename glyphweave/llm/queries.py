@@ -35,8 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def part(name: str, *columns: str, rounded: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
     """The columns of a query that SQL can express."""
-    shown = [F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in columns]
-    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).select(*shown)
+    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).select(*(F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in columns))
 
 
 QUERIES |= {
