@@ -88,11 +88,22 @@ def tables_apart(chunks: list[dict], least: int = TABLE_LINES) -> list[dict]:
     return out
 
 
+#: Characters of text that a task holds as rows of Python at a time; a text is never parted.
+AT_ONCE = 1_000_000
+
+
+def sliced(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch, some at a time by the length of their texts, so that memory doesn't grow with the batch."""
+    total = frame["text"].str.len().fillna(0).cumsum()
+    for _, rows in frame.groupby((total // AT_ONCE).to_numpy(), sort=False):
+        yield rows
+
+
 def chunks(docs: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WORDS, overlap: int = OVERLAP, split_tables: bool = True) -> DataFrame:
     """All chunks of ``docs`` (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for whole in frames for part in sliced(whole)):
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 found = chunked(text or "", least, most, overlap)
@@ -208,7 +219,7 @@ def refine_chunks(parts: DataFrame, refiner: Callable[[str], str] = identity, ro
     """Chunks with their refined text; a failing refiner leaves a chunk as it is."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part.copy() for whole in frames for part in sliced(whole)):
             rows = []
             for text, table in zip(frame["text"], frame["is_table"], strict=True):
                 try:
