@@ -86,3 +86,15 @@ def test_small_text_functions(spark):
     assert one(spark, tx.with_property(F.col("t"), "alignconf", F.lit(7)), t="alignconf 3") == "alignconf 3"
     assert one(spark, tx.table_line(F.col("t")), t="Total | 12") and not one(spark, tx.table_line(F.col("t")), t="plain words")
     assert one(spark, tx.probable_table(F.col("t")), t="\n".join(f"a {i}, b" for i in range(5)))
+
+
+def test_word_ratios_bounds_by_characters_lose_no_pair(monkeypatch):
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("abé漢\U0001f600-") for _ in range(rng.choice([0, 1, 4, 9, 31, 62, 63, 64, 70]))) for _ in range(60)})
+    pairs = []
+    monkeypatch.setattr(sim, "lcs_pairs", lambda left, right, i, j, of=sim.lcs_pairs: pairs.append(len(i)) or of(left, right, i, j))
+    for cutoff in (0.0, 50.0, 60.0, 90.0, 100.0):
+        i, j, r = sim.word_ratios(words, sim.Words(words), cutoff)
+        want = {(a, b) for a, x in enumerate(words) for b, y in enumerate(words) if sim.indel_ratio(x, y) >= cutoff}
+        assert set(zip(i.tolist(), j.tolist())) == want
+    assert pairs[-1] < pairs[0] / 2  # words without the same characters are not compared
