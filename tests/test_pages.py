@@ -65,3 +65,19 @@ def test_writers_skip_places_without_words(spark, docs):
     before = {r.seq: r.content for r in hocr.words(markup).collect()}
     after = {r.seq: r.content for r in hocr.words(sinks.updated_hocr(markup, rows)).collect()}
     assert after == before | {3: "new", 9: "more"}
+
+
+def test_fuzzy_candidates_need_no_shuffle_of_words(spark, tmp_path):
+    texts = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu alpha"), (2, " "), (3, None), (4, "élan vital ... beta betas"), (5, "same " * 40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet").where("text is not null")
+    own, clean = derived.ocr_words(docs_), derived.clean_tokens(docs_)
+    of = lambda rows: sorted((r.doc_id, r.norm, r.clean_form, round(r.score, 6), r.first_seq) for r in rows.collect())
+    for cutoff in (60, 80, 90):
+        rows = QUERIES[f"fuzzy_candidates_{cutoff}"](spark, str(tmp_path))
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of texts
+        assert of(rows) == of(candidates.fuzzy_candidates(own, clean, float(cutoff)))
+    best = candidates.best_matches(candidates.fuzzy_candidates(own, clean, 60.0))
+    assert of(QUERIES["best_match_top1"](spark, str(tmp_path))) == of(best)
+    counts = lambda rows: {r.bucket: (r.n, r.percent) for r in rows.collect()}
+    assert counts(QUERIES["ocr_accuracy_buckets"](spark, str(tmp_path))) == counts(candidates.accuracy_buckets(own, best))
