@@ -81,3 +81,14 @@ def test_fuzzy_candidates_need_no_shuffle_of_words(spark, tmp_path):
     assert of(QUERIES["best_match_top1"](spark, str(tmp_path))) == of(best)
     counts = lambda rows: {r.bucket: (r.n, r.percent) for r in rows.collect()}
     assert counts(QUERIES["ocr_accuracy_buckets"](spark, str(tmp_path))) == counts(candidates.accuracy_buckets(own, best))
+
+
+def test_line_items_join_no_words(spark):
+    from glyphweave import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        plan = queries.QUERIES["line_items"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
