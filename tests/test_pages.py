@@ -92,3 +92,10 @@ def test_line_items_join_no_words(spark):
         assert "Join" not in plan and plan.count("Exchange") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_gap_scores_join_no_words(spark):
+    from glyphweave import queries
+
+    plan = queries.QUERIES["gap_fill_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # with a page's width
