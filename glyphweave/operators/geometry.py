@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.derived import Read
+
 #: Pixels, as the alignment's contract states them.
 CLUSTER_GAP, AT_EDGE, AT_TYPICAL_EDGE = 100, 100, 150
 SAME_LINE, LINE_WRAP, LINE_WRAP_ACROSS, COLUMN_WRAP = 50, 100, 1000, 200
@@ -91,6 +97,64 @@ def neighbour_distances(words: DataFrame) -> DataFrame:
     )
 
 
+#: Larger than any place on a page, so that page and place are one number.
+WIDE = 1 << 40
+
+
+def clusters(page: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and edges of ``edge_clusters`` for one side, in order."""
+    order = np.lexsort((position, page))
+    page, position = page[order], position[order]
+    first = np.flatnonzero(np.append(True, (page[1:] != page[:-1]) | (np.diff(position) >= CLUSTER_GAP)))
+    return page[first], position[first + np.diff(np.append(first, len(page))) // 2]
+
+
+def typical(page: np.ndarray, position: np.ndarray, pages: int) -> np.ndarray:
+    """The position of ``typical_edges`` for one side of each page."""
+    keys, n = np.unique(page * WIDE + position, return_counts=True)
+    order = np.lexsort((keys, -n, keys // WIDE))
+    own, at = np.unique(keys[order] // WIDE, return_index=True)
+    out = np.zeros(pages, np.int64)
+    out[own] = keys[order][at] % WIDE
+    return out
+
+
+def edge_indexes(page: np.ndarray, position: np.ndarray, own: np.ndarray, edge: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """``edge_index`` of positions among the edges (``own``, ``edge``) of their pages; -1 for none."""
+    begins, ends = np.searchsorted(own, page), np.searchsorted(own, page, "right")
+    k = np.searchsorted(own * WIDE + edge, page * WIDE + position - AT_EDGE, "right")
+    near = (k < ends) & (edge[np.minimum(k, len(edge) - 1)] < position + AT_EDGE)
+    return np.where(near, k - begins, np.where(np.abs(position - common[page]) < AT_TYPICAL_EDGE, ends - begins - 1, -1))
+
+
+def distance_columns(r: Read) -> Iterator[tuple]:
+    """The page of each word that another follows, its seq, distance and adjacent as ``neighbour_distances`` gives them."""
+    n, right = len(r.seq), (r.hpos + r.width).astype(np.int64)
+    if not n:
+        return
+    hpos, vpos, pages = r.hpos.astype(np.int64), r.vpos.astype(np.int64), len(r.at) - 1
+    new_page = np.append(True, r.page[1:] != r.page[:-1])
+    new_block = new_page | np.append(True, r.block[1:] != r.block[:-1])
+    first = np.flatnonzero(new_block | np.append(True, r.line[1:] != r.line[:-1]))
+    last = np.append(first[1:], n) - 1
+    low, high, own = np.minimum.reduceat(hpos, first), np.maximum.reduceat(right, first), r.page[first]
+    blocks = np.flatnonzero(new_block[first])
+    page = np.concatenate([own[blocks], own, own])
+    indexes = []
+    word = np.flatnonzero(~new_page) - 1  # words that another of their page follows
+    for least, ends, edge_of_word, place in ((np.maximum.reduceat(high, blocks), high, right[last], right[word]), (np.minimum.reduceat(low, blocks), low, hpos[first], hpos[word + 1])):
+        position = np.concatenate([least, ends, edge_of_word])
+        indexes.append(edge_indexes(r.page[word], place, *clusters(page, position), typical(page, position, pages)))
+    ends, begins = indexes
+    h1, h2, v1, v2 = hpos[word], hpos[word + 1], vpos[word], vpos[word + 1]
+    dx, dy, wraps = np.abs(h1 - h2), np.abs(v1 - v2), (ends >= 0) & (begins >= 0)
+    distance = np.select(
+        [dy < SAME_LINE, wraps & (dy < LINE_WRAP) & (dx < LINE_WRAP_ACROSS), wraps & (h2 < h1) & ((dy < COLUMN_WRAP) | (v2 < v1))],
+        [dx.astype(float), 0.1 * dy, 10 * dy + 0.1 * dx], (1000 * dy + dx).astype(float),
+    )
+    yield r.page[word], r.seq[word], distance, wraps & ((begins == ends + 1) | (h2 < h1))
+
+
 def merged_bounds(words: DataFrame, *key: str) -> DataFrame:
     """The box around all boxes of each key."""
     return words.groupBy(*key).agg(
