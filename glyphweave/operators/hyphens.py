@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from ..sources.derived import Read
+from .pages import known
 from .words import reading
 
 
@@ -31,6 +38,53 @@ def merged_pairs(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return best.select("doc_id", "seq", "part_no", F.col("b.norm").alias("merged"), (F.col("b.o") == 1).alias("kept_hyphen"))
 
 
+#: A page's tokens, and what its words that end in a hyphen are followed by.
+PAIRS = "words array<string>, pairs array<struct<seq:int,part_no:int,content:string,following:string>>"
+
+
+def broken_pairs(r: Read, every: int = 19, shortest: int = 6) -> Iterator[tuple]:
+    """Of the parts that ``broken_words`` gives, those that end in a hyphen and the ones after them: the pages that
+    have any, then the columns of ``PAIRS``."""
+    broken = np.flatnonzero((r.seq % every == 0) & (pc.utf8_length(r.tokens).to_numpy() >= shortest))
+    whole = r.tokens.take(pa.array(broken)).to_pylist()
+    halves = [pa.array([f(w, len(w) // 2) for w in whole], pa.string()) for f in (lambda w, k: w[:k] + "-", lambda w, k: w[k:])]
+    times = np.ones(len(r.seq), np.int64)
+    times[broken] = 2
+    token = np.repeat(np.arange(len(r.seq)), times)
+    part = np.append(False, token[1:] == token[:-1]).astype(int)[: len(token)]
+    place = token.copy()
+    for no, half in enumerate(halves):
+        place[np.flatnonzero((times[token] == 2) & (part == no))] = len(r.seq) + no * len(broken) + np.arange(len(half))
+    content = pa.concat_arrays([r.tokens, *halves]).take(pa.array(place))
+    # the end is that of Java, before a last line's end as well
+    ended = pc.match_substring_regex(content, r"[-—][\t-\r ]*[\x{85}\x{2028}\x{2029}]?$").to_numpy(zero_copy_only=False)
+    page = r.page[token]
+    at = np.flatnonzero(ended[:-1] & (page[1:] == page[:-1])) if len(page) else np.zeros(0, np.int64)
+    own, first = np.unique(page[at], return_index=True)
+    if not len(own):
+        return
+    pairs = pa.StructArray.from_arrays([pa.array(r.seq[token[at]]), pa.array(part[at].astype(np.int32)), content.take(pa.array(at)), content.take(pa.array(at + 1))], ["seq", "part_no", "content", "following"])
+    words = pa.ListArray.from_arrays(pa.array(r.at, pa.int32()), r.tokens).take(pa.array(own))
+    yield own, words, pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pairs)
+
+
+def merged_within(pages: DataFrame) -> DataFrame:
+    """``merged_pairs`` for pages (doc_id, words, pairs), whose pairs meet their tokens within their row."""
+
+    def forms(p: Column) -> Column:
+        stem, after = tx.normalized(F.regexp_replace(p["content"], r"[-—]+\s*$", "")), tx.normalized(p["following"])
+        return F.array(F.concat(stem, after), F.concat(stem, F.lit("-"), after))
+
+    def places(p: Column) -> Column:
+        return F.array(*(F.struct(p["seq"].alias("seq"), p["part_no"].alias("part_no"), F.lit(o).alias("o")) for o in (0, 1)))
+
+    norms = F.transform("words", tx.normalized)
+    tokens = F.transform("words", lambda _, k: F.struct(k.alias("seq")))
+    found = known(pages.select("doc_id", F.flatten(F.transform("pairs", places)).alias("words"), F.flatten(F.transform("pairs", forms)).alias("norms"), tokens.alias("tokens"), norms.alias("token_norms")))
+    best = found.groupBy("doc_id", "seq", "part_no").agg(F.min(F.struct("o", "norm")).alias("b"))
+    return best.select("doc_id", "seq", "part_no", F.col("b.norm").alias("merged"), (F.col("b.o") == 1).alias("kept_hyphen"))
+
+
 def triplets(tokens: DataFrame) -> DataFrame:
     """Three tokens in a row whose middle one is a lone hyphen: (doc_id, seq, left_word, right_word)."""
     rows = tokens.select("doc_id", "seq", "word", F.lead("word", 1).over(reading()).alias("middle"), F.lead("word", 2).over(reading()).alias("right_word"))
