@@ -99,3 +99,23 @@ def test_gap_scores_join_no_words(spark):
 
     plan = queries.QUERIES["gap_fill_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1  # with a page's width
+
+
+def test_linked_columns_equal_linked_pages(spark, docs, tmp_path, monkeypatch):
+    draw = random.Random(5)
+    odd = [(10, " \n\t "), (11, "É"), (12, "ΑΣ ας ÉTÉ été İ — –x -- x"), (13, " ".join(draw.choice(["Ää", "ä", "...", "Zoë", "e-e", "ΟΔΟΣ"]) for _ in range(200))), (14, None)]
+    table = docs.unionAll(spark.createDataFrame(odd, "doc_id long, text string")).repartition(1)
+    rows = context.linked_pages(derived.pages(table.where("text is not null")), True)
+    rows = derived.boxes(rows, *(c for c in rows.columns if c not in ("doc_id", "seq", "content", "norm", "before"))).select("doc_id", *context.LINKED)
+    want = sorted(rows.collect(), key=lambda r: r[:2])
+    schema = ", ".join(f"{c} {t}" for c, t in context.LINKED.items())
+    for at_once in (1, 200_000):
+        monkeypatch.setattr(derived, "AT_ONCE", at_once)
+        got = derived.each_read(table, schema, context.linked_columns(*context.LINKED))
+        assert got.dtypes == rows.dtypes
+        assert sorted(got.collect(), key=lambda r: r[:2]) == want
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    links = QUERIES["link_pairs"](spark, str(tmp_path))
+    assert sorted(links.collect()) == [(r.doc_id, r.seq, r.seq + 1) for r in want if r.right_linked]
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (links,)):
+        assert "transform(" not in plan  # words are whole columns, not elements of a row's arrays
