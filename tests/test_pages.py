@@ -117,5 +117,10 @@ def test_linked_columns_equal_linked_pages(spark, docs, tmp_path, monkeypatch):
     table.write.parquet(f"{tmp_path}/documents.parquet")
     links = QUERIES["link_pairs"](spark, str(tmp_path))
     assert sorted(links.collect()) == [(r.doc_id, r.seq, r.seq + 1) for r in want if r.right_linked]
-    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (links,)):
+    colours = QUERIES["confidence_colours"](spark, str(tmp_path))
+    red = {}
+    for r in want:
+        red[r.doc_id, r.status] = red.get((r.doc_id, r.status), 0) + (1 - r.wc / 100) * 220 / 255
+    assert {(r.doc_id, r.status): r.red for r in colours.collect()} == {k: pytest.approx(v, abs=1e-4) for k, v in red.items()}
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (links, colours)):
         assert "transform(" not in plan  # words are whole columns, not elements of a row's arrays
