@@ -33,13 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_water_filling": water_filling.op10,
 }
 
-def part(name: str, *columns: str, rounded: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+def part(name: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     """The columns of a query that SQL can express."""
-    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).select(*(F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in columns))
+    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).select(*columns)
 
 
 QUERIES |= {
-    "lm_base_scores": part("op1_suffix_tree_lm", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", rounded=("base_score",)),
+    "lm_base_scores": lambda spark, sf_dir: suffix_tree_lm.base_scores(spark, sf_dir).withColumn("base_score", F.round("base_score", 4)),
     "audio_payloads": part("op2_mpeg_audio", "doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
     "personal_data_counts": part("op6_pii_boosting", "doc_id", "n_email", "n_ip", "n_card", "n_phone"),
     "quality_fold": part("op7_quality_crf", "doc_id", "held_out"),

@@ -171,16 +171,17 @@ def phrases(words: np.ndarray, per_text: np.ndarray, bits: int) -> tuple[np.ndar
     return at, context >> np.uint64(64 - bits) << np.uint64(WORD_BITS) | mix(words[at]) >> np.uint64(64 - WORD_BITS)
 
 
-def count_strings(n_parts: int):
+def count_strings(n_parts: int, base: bool = False):
     """Of training texts: seven-byte strings (nearest context byte first, the
-    next symbol last) and words."""
+    next symbol last; none for the base alone) and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words, texts = Counter(COUNTED), Counter(COUNTED), 0
         for batch in batches:
             for _, n, buffer, starts in blocks(batch.column(0).to_pylist(), closing=CLOSING):
                 texts += n
-                grams.add(context_first(strings(*layout(buffer, starts))))
+                if not base:
+                    grams.add(context_first(strings(*layout(buffer, starts))))
                 words.add(hashed_words(buffer, starts)[0])
                 for kind, counter in ((GRAMS, grams), (WORDS, words)):
                     if counter.full:
@@ -366,7 +367,7 @@ def pack_texts(most: int):
 class Chunk:
     """The texts of a packed row, and the sorted distinct keys that they ask for."""
 
-    def __init__(self, blob: bytes, bits: int, head: Table):
+    def __init__(self, blob: bytes, bits: int | None, head: Table):
         self.ids, self.held, texts = pickle.loads(blob)
         self.buffers = [(pa.decompress(data, size, "zstd", asbytes=True), starts) for data, size, starts in texts]
         spans = [hashed_spans(*b) for b in self.buffers]
@@ -375,8 +376,9 @@ class Chunk:
         self.spans = [s[1:3] for s in spans]
         self.count = head.get(self.words)
         self.rare = np.unique(self.words[self.count < 0])
-        self.at, keys = phrases(self.words, self.per_text, bits)
-        self.phrases, self.phrase = np.unique(keys, return_inverse=True)
+        if bits is not None:  # None: the base alone
+            self.at, keys = phrases(self.words, self.per_text, bits)
+            self.phrases, self.phrase = np.unique(keys, return_inverse=True)
 
     def strings(self) -> np.ndarray:
         counter = Counter(2_000_000)
@@ -414,6 +416,8 @@ def ask(shared, n_parts: int):
             for pid, blob in zip(batch.column("pid").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 chunk = Chunk(blob, model["bits"], head_of(model))
                 yield by_part(TAIL, word_part(chunk.rare, n_parts), n_parts, pid, chunk.rare, pack=squeezed)
+                if model["bits"] is None:
+                    continue
                 yield by_part(PHRASES, phrase_part(chunk.phrases, n_parts), n_parts, pid, chunk.phrases, *chunk.phrase_counts(), pack=squeezed)
                 if model["levels"] is None:
                     keys = chunk.strings()
@@ -422,7 +426,7 @@ def ask(shared, n_parts: int):
     return run
 
 
-def answer(order1: np.ndarray, n_train: int, rare_share: float):
+def answer(order1: np.ndarray | None, n_train: int, rare_share: float):
     """Asked keys meet the counts of their part, which come first; values go back
     in the order of the keys."""
 
@@ -472,7 +476,8 @@ def answer(order1: np.ndarray, n_train: int, rare_share: float):
     return run
 
 
-RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, per_token double, n_in_phrase long"
+BASE = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+RESULT = f"{BASE}, score double, per_token double, n_in_phrase long"
 
 
 def finish(shared, n_parts: int, ends: int, n_train: int, n_types: int):
@@ -501,6 +506,13 @@ def finish(shared, n_parts: int, ends: int, n_train: int, n_types: int):
         unknown = count < 0
         count[unknown] = rare[np.searchsorted(chunk.rare, chunk.words[unknown])]
 
+        tokens = chunk.per_text + 1
+        base = np.bincount(of, np.log10(count + 1.0), n_texts) + np.log10(ends + 1.0) - tokens * np.log10(n_train + n_types + 1.0)
+        known = np.bincount(of, count > 0, n_texts).astype(np.int64) + (ends > 0)
+        columns = [pa.array(chunk.held), pa.array(tokens), pa.array(known), pa.array(np.full(n_texts, n_train)), pa.array(base)]
+        if model["bits"] is None:
+            return pa.RecordBatch.from_arrays([chunk.ids, *columns], ["doc_id", *(x.split()[0] for x in BASE.split(", "))])
+
         logs = byte_logs(model, chunk, answers.get(ASK, []))
         word_logs, end_logs = (np.concatenate(x) for x in zip(*logs, strict=True))
         own, back = np.zeros(len(chunk.phrases)), np.ones(len(chunk.phrases))
@@ -514,12 +526,8 @@ def finish(shared, n_parts: int, ends: int, n_train: int, n_types: int):
         at = chunk.at[on]
         word_logs[at] = np.log10(own[on] + back[on] * 10.0 ** word_logs[at])
 
-        tokens = chunk.per_text + 1
         score = np.bincount(of, word_logs, n_texts) + end_logs
-        base = np.bincount(of, np.log10(count + 1.0), n_texts) + np.log10(ends + 1.0) - tokens * np.log10(n_train + n_types + 1.0)
-        known = np.bincount(of, count > 0, n_texts).astype(np.int64) + (ends > 0)
-        columns = [pa.array(chunk.held), pa.array(tokens), pa.array(known), pa.array(np.full(n_texts, n_train)), pa.array(base), pa.array(np.round(score, 6))]
-        columns += [pa.array(np.round(score / tokens, 6)), pa.array(np.bincount(of[at], minlength=n_texts))]
+        columns += [pa.array(np.round(score, 6)), pa.array(np.round(score / tokens, 6)), pa.array(np.bincount(of[at], minlength=n_texts))]
         return pa.RecordBatch.from_arrays([chunk.ids, *columns], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
     def byte_logs(model: dict, chunk: Chunk, asked: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -552,30 +560,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def suffix_tree_scores(docs: DataFrame) -> DataFrame:
+def byte_states(grams: DataFrame) -> tuple[np.ndarray, list[tuple] | None]:
+    """The distributions after single bytes, and the retained contexts if they are few enough to be broadcast."""
+    pairs = np.zeros(1 << 16, np.int64)
+    for x in grams.mapInArrow(lean(two_byte_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[x.pair] = x.n
+    order1 = first_orders(pairs)
+    entries = grams.mapInArrow(lean(number_of_entries(order1)), "n long").agg(F.sum("n")).first()[0] or 0
+    if entries > ENTRIES:
+        return order1, None
+    return order1, joined_levels([(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(order1)), PACKED).collect()])
+
+
+def suffix_tree_scores(docs: DataFrame, base: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) → doc_id and the columns of ``RESULT``, learning
     from the documents that aren't held out. ``per_token`` is the score of a token
     on average, ``n_in_phrase`` the number of words that were scored after a
-    retained phrase."""
+    retained phrase. With ``base`` only the columns of ``BASE``, by the same steps
+    without the tree, which they don't depend on."""
     spark = docs.sparkSession
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("held"))
-    counts = texts.where("not held").select("text").mapInArrow(lean(count_strings(n_parts)), PACKED)
+    counts = texts.where("not held").select("text").mapInArrow(lean(count_strings(n_parts, base)), PACKED)
     dealt = counts.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part")
     merged = written(dealt.mapInArrow(lean(merge_or_keep), PACKED), "suffix-counts")
 
     grams, words = merged.where(F.col("kind") == GRAMS), merged.where(F.col("kind") == WORDS)
-    pairs = np.zeros(1 << 16, np.int64)
-    for x in grams.mapInArrow(lean(two_byte_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[x.pair] = x.n
-    order1 = first_orders(pairs)
+    order1, levels = (None, []) if base else byte_states(grams)
     ends = sum(int(unpack(x.blob)[0].sum()) for x in merged.where(F.col("kind") == ROWS).collect())  # one row a part
-    entries = grams.mapInArrow(lean(number_of_entries(order1)), "n long").agg(F.sum("n")).first()[0] or 0
-    levels = None
-    if entries <= ENTRIES:
-        levels = joined_levels([(x.kind, x.blob) for x in grams.mapInArrow(lean(retained_contexts(order1)), PACKED).collect()])
-
     sizes = words.mapInArrow(lean(count_of_counts), "bits int, types long, tokens long").groupBy("bits").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 64 * 16 rows at most
     n_types = sum(x.types for x in sizes) + (ends > 0)
     n_train = sum(x.tokens for x in sizes) + ends
@@ -589,7 +602,7 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     keys = np.concatenate([x[0] for x in head]) if head else np.zeros(0, np.uint64)
     values = np.concatenate([x[1] for x in head]).astype(np.int64) if head else np.zeros(0, np.int64)
     rarest = max((x.bits for x in sizes), default=0) + 1 if floor is None else floor  # rare words' counts stay below 2 ** (rarest / 16)
-    bits = min(64 - WORD_BITS, max(32, n_train.bit_length() + CONTEXT_BITS))
+    bits = None if base else min(64 - WORD_BITS, max(32, n_train.bit_length() + CONTEXT_BITS))
     shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "bits": bits, "order1": order1, "levels": levels, "head": (keys, values)})
 
     chunks = written(texts.mapInArrow(lean(pack_texts(max(CHUNK, BY_PART * n_parts))), PACKED), "suffix-chunks")
@@ -599,7 +612,7 @@ def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     answers = met.mapInArrow(lean(answer(order1, n_train, 2.0 ** (rarest / 16) / max(1, n_train))), PACKED)
     rows = answers.unionByName(chunks).repartition(n_parts, "pid").sortWithinPartitions("pid", "kind")
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(finish(shared, n_parts, ends, n_train, n_types)), f"doc_id {id_type}, {RESULT}")
+    return rows.mapInArrow(lean(finish(shared, n_parts, ends, n_train, n_types)), f"doc_id {id_type}, {BASE if base else RESULT}")
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -647,3 +660,7 @@ def merge_or_keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(documents(spark, sf_dir).select("doc_id", "text"), base=True)

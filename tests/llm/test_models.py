@@ -388,3 +388,20 @@ def test_junk_behind_many_good_lines_is_learned(spark):
 def test_without_a_model_no_document_is_rejected(spark, docs, corpus):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert crf.keep_good(docs, labels).count() == len(corpus)
+
+
+@pytest.mark.parametrize("head", [5, 500_000])
+def test_base_scores_need_no_tree(spark, docs, no_docs, tmp_path, monkeypatch, head):
+    from glyphweave.llm.queries import QUERIES
+
+    monkeypatch.setattr(lm, "HEAD", head)  # 5: most words are asked
+    names = ["doc_id", *(c.split()[0] for c in lm.BASE.split(", "))]
+    want = lm.suffix_tree_scores(docs).select(*names).collect()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(lm, "first_orders", None)  # where the tree begins
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(lm.suffix_tree_scores(docs, base=True).collect(), key=key) == sorted(want, key=key)
+    rows = QUERIES["lm_base_scores"](spark, str(tmp_path))
+    assert rows.columns == names
+    assert sorted((r.asDict() for r in rows.collect()), key=lambda r: key(r.values())) == [dict(r.asDict(), base_score=pytest.approx(r.base_score, abs=6e-5)) for r in sorted(want, key=key)]
+    assert lm.suffix_tree_scores(no_docs, base=True).count() == 0
